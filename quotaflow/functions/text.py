@@ -160,11 +160,9 @@ def normalize_sector(c: Column) -> Column:
 
 def is_brick(sector: Column) -> Column:
     """Normalised sector contains any brick keyword (non-null boolean)."""
-    norm = normalize_sector(sector)
-    hit = F.lit(False)
-    for kw in BRICK_KEYWORDS:
-        hit = hit | norm.contains(kw)
-    return (norm != "") & hit
+    # One alternation over the literal keywords (none holds a regex
+    # metacharacter): the normalised text is evaluated once per row.
+    return F.coalesce(normalize_sector(sector).rlike("|".join(BRICK_KEYWORDS)), F.lit(False))
 
 
 def segment(sector: Column) -> Column:

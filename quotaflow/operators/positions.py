@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quotaflow.functions import numeric as N
 from quotaflow.functions import text as T
 
 # Fixed values of the sheets (column positions of the fund sheet and the
@@ -161,7 +162,7 @@ def valuation(df: DataFrame) -> DataFrame:
 def portfolio_totals(df: DataFrame) -> DataFrame:
     """Per-portfolio scalars used by weights and screens (partial aggregate)."""
     return df.groupBy("portfolio_id").agg(
-        F.sum("market_value").alias("total_value"),
+        N.exact_money_sum(F.col("market_value")).alias("total_value"),
         F.count(F.lit(1)).alias("n_positions"),
     )
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quotaflow.functions import numeric as N
 from quotaflow.functions import text as T
 from quotaflow.params import ScreenParams
 
@@ -30,14 +31,24 @@ EXPENSIVE, LOW_YIELD, TRAP, WATCH = "Caro", "Baixo Yield", "Armadilha", "Observa
 
 
 def portfolio_means(positions: DataFrame) -> DataFrame:
-    """A1/A10: per portfolio total value and the mean weight and mean DY
-    over *all* rows (non-funds count with DY 0; NaN skipped as pandas does)."""
-    def skip_nan(c: str) -> Column:
-        return F.when(~F.isnan(F.col(c)), F.col(c))
-    return positions.groupBy("portfolio_id").agg(
-        F.sum("market_value").alias("total_value"),
-        F.avg(skip_nan("weight")).alias("mean_weight"),
-        F.avg(skip_nan("dy_12m")).alias("mean_dy"),
+    """A1/A10: per portfolio total value, mean weight and mean DY over *all*
+    rows (non-funds count with DY 0; NaN skipped as pandas does).
+
+    The weights of a portfolio with a positive total sum to exactly 1, so
+    their mean is 1/n and ``total * mean weight`` is ``total / n``
+    (``target_value``); both are computed in that exact form from a
+    fixed-point total, so screens do not flip with summation order."""
+    agg = positions.groupBy("portfolio_id").agg(
+        N.exact_money_sum(F.col("market_value")).alias("total_value"),
+        F.count(F.lit(1)).alias("n_positions"),
+        F.avg(N.finite_or_null(F.col("dy_12m"))).alias("mean_dy"),
+    )
+    positive = F.col("total_value") > 0
+    return agg.select(
+        "portfolio_id", "total_value", "n_positions",
+        F.when(positive, 1.0 / F.col("n_positions")).otherwise(F.lit(0.0)).alias("mean_weight"),
+        F.when(positive, F.col("total_value") / F.col("n_positions")).otherwise(F.lit(0.0)).alias("target_value"),
+        "mean_dy",
     )
 
 
@@ -60,7 +71,7 @@ def opportunities(positions: DataFrame, params: ScreenParams, k: int = OPPORTUNI
     ).join(means, "portfolio_id").where(F.col("weight") < F.col("mean_weight"))
     cand = cand.withColumn(
         "suggested_contribution",
-        F.greatest(F.lit(0.0), F.col("total_value") * F.col("mean_weight") - F.col("market_value")),
+        F.greatest(F.lit(0.0), F.col("target_value") - F.col("market_value")),
     ).where(F.col("suggested_contribution") >= p.contribution_min)
     top = _top_k(cand, k, F.col("price_to_book").asc(), F.col("dy_12m").desc(),
                  F.col("suggested_contribution").desc(), F.col("source_rank"), F.col("row_idx"))
@@ -79,7 +90,8 @@ def classify_risk(positions: DataFrame, params: ScreenParams, official_rate: flo
     limit = F.when(used > 0, used).otherwise(official)
     means = portfolio_means(positions).select("portfolio_id", "mean_dy")
     funds = positions.where(F.col("asset_type") == "FII").join(means, "portfolio_id")
-    share = F.when(T.is_brick(F.col("sector")), F.lit(params.brick_pct)).otherwise(F.lit(params.paper_pct))
+    brick = (F.col("segment") == T.BRICK_LABEL) if "segment" in positions.columns else T.is_brick(F.col("sector"))
+    share = F.when(brick, F.lit(params.brick_pct)).otherwise(F.lit(params.paper_pct))
     floor_dy = F.col("mean_dy") * LOW_YIELD_MEAN_SHARE
     threshold = F.when(limit > 0, F.greatest(floor_dy, limit * share)).otherwise(floor_dy)
     pvp, dy = F.col("price_to_book"), F.col("dy_12m")

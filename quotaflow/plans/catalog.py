@@ -26,6 +26,11 @@ MONEY = {"quantity", "avg_cost", "price", "book_value", "market_value", "investe
          "suggested_contribution", "total_value", "sector_value", "node_value"}
 
 
+# Amounts derived from a mean of shares (total x mean weight) sit on exact
+# ties at 4 places, where summation order decides; they are shown in cents.
+CENTS = {"suggested_contribution"}
+
+
 def register(name: str):
     def deco(fn: Query) -> Query:
         REGISTRY[name] = fn
@@ -34,12 +39,16 @@ def register(name: str):
 
 
 def rounded(df: DataFrame, money: set[str] | None = None) -> DataFrame:
-    """Round double columns: money-like to 4 places, everything else to 6."""
+    """Round double columns: money-like to 4 places, everything else to 6.
+
+    Rounds the scaled binary value (``round(x * 10^p) / 10^p``), as DuckDB's
+    ``round(double, p)`` does, so ties such as 69.99465 agree on both sides."""
     money = MONEY | (money or set())
     out = []
     for f in df.schema.fields:
         if f.dataType.typeName() == "double":
-            out.append(F.round(F.col(f.name), 4 if f.name in money else 6).alias(f.name))
+            scale = 10.0 ** (2 if f.name in CENTS else 4 if f.name in money else 6)
+            out.append((F.round(F.col(f.name) * scale) / scale).alias(f.name))
         else:
             out.append(F.col(f.name))
     return df.select(*out)

@@ -98,7 +98,8 @@ pos AS (
          CASE WHEN regexp_matches(upper(strip_accents(sector)), '{_BRICK_RE}') THEN 'Tijolo' ELSE 'Papéis' END AS segment
   FROM val),
 means AS (
-  SELECT portfolio_id, sum(market_value) AS total_value, avg(weight) AS mean_weight, avg(dy_12m) AS mean_dy
+  SELECT portfolio_id, CAST(sum(CAST(market_value AS DECIMAL(18, 4))) AS DOUBLE) AS total_value,
+         count(*) AS n_positions, avg(weight) AS mean_weight, avg(dy_12m) AS mean_dy
   FROM pos GROUP BY 1)"""
 
 
@@ -152,7 +153,7 @@ ORACLE["segment"] = BASE + "\nSELECT portfolio_id, ticker, asset_type, sector, s
 ORACLE["opportunities"] = BASE + """
 , opp AS (
   SELECT p.*, m.total_value, m.mean_weight,
-         greatest(0.0, m.total_value * m.mean_weight - p.market_value) AS suggested_contribution
+         greatest(0.0, m.total_value / m.n_positions - p.market_value) AS suggested_contribution
   FROM pos p JOIN means m USING (portfolio_id)
   WHERE p.asset_type = 'FII' AND p.price_to_book BETWEEN 0.8 AND 0.99 AND p.dy_12m >= 0.09
     AND p.weight < m.mean_weight),
@@ -162,7 +163,7 @@ ranked AS (
   FROM opp WHERE suggested_contribution >= 1000)
 SELECT portfolio_id, CAST(rank AS INTEGER) AS rank, ticker, sector, segment, round(price, 4) AS price,
        round(price_to_book, 6) AS price_to_book, round(dy_12m, 6) AS dy_12m, round(weight, 6) AS weight,
-       round(market_value, 4) AS market_value, round(suggested_contribution, 4) AS suggested_contribution, link
+       round(market_value, 4) AS market_value, round(suggested_contribution, 2) AS suggested_contribution, link
 FROM ranked WHERE rank <= 4"""
 
 RISK = """

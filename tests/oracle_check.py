@@ -77,7 +77,12 @@ def main():
         else:
             bad += 1
             sa, sb = set(a), set(b)
-            print(f"FAIL {name}: rows spark={len(a)} duck={len(b)}; only spark {list(sa - sb)[:3]}; only duck {list(sb - sa)[:3]}")
+            cols = sorted(scols)
+            print(f"FAIL {name}: rows spark={len(a)} duck={len(b)} diff={len(sa - sb)}/{len(sb - sa)} cols={cols}")
+            for r in sorted(sa - sb, key=repr)[:3]:
+                print("   spark", r)
+            for r in sorted(sb - sa, key=repr)[:3]:
+                print("   duck ", r)
     print(f"summary ok={ok} bad={bad}")
 
 
