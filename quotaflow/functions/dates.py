@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotaflow.functions.text import strip_py
@@ -59,6 +59,36 @@ def last_business_day(month_start: Column) -> Column:
     return F.date_sub(last, F.greatest(F.weekday(last) - 4, F.lit(0)).cast("int"))
 
 
+def _branches(t: Column, ref: Column) -> dict[str, Column]:
+    """The five N11 grammars on stripped text ``t``; each is null when its
+    grammar does not apply (or the date does not exist)."""
+    up = F.upper(t)
+    full = F.when(t.rlike(_FULL_DATE), _ymd(F.regexp_extract(t, _FULL_DATE, 3).cast("int"),
+                                           F.regexp_extract(t, _FULL_DATE, 2).cast("int"),
+                                           F.trim(F.regexp_extract(t, _FULL_DATE, 1)).cast("int")))
+    yy = F.regexp_extract(t, _SHORT_YEAR, 3).cast("int")
+    short = F.when(t.rlike(_SHORT_YEAR), _ymd(F.when(yy >= _PIVOT, yy + 1900).otherwise(yy + 2000),
+                                              F.regexp_extract(t, _SHORT_YEAR, 2).cast("int"),
+                                              F.trim(F.regexp_extract(t, _SHORT_YEAR, 1)).cast("int")))
+    dd = F.regexp_extract(t, _DAY_MONTH, 1).cast("int")
+    mm = F.regexp_extract(t, _DAY_MONTH, 2).cast("int")
+    this_year = _ymd(F.year(ref), mm, dd)
+    day_month = F.when(t.rlike(_DAY_MONTH) & this_year.isNotNull(),
+                       F.when(this_year < ref, _ymd(F.year(ref) + 1, mm, dd)).otherwise(this_year))
+    month_start = F.trunc(ref, "month")
+    is_nth = up.rlike(_NTH_BUSINESS_DAY)
+    nth = F.when(is_nth, nth_business_day(month_start, F.regexp_extract(up, _NTH_BUSINESS_DAY, 1).cast("int")))
+    last = F.when(~is_nth & up.contains(_LAST_BUSINESS_DAY), last_business_day(month_start))
+    return {"full": full, "short": short, "day_month": day_month, "nth": nth, "last": last}
+
+
+def _combine(t: Column, b: dict[str, Column]) -> Column:
+    # Grammars are tried in order; a text that fits d/m never fits the later
+    # ones, so the first non-null branch is the reference's answer.
+    return F.when(~(t.isNull() | (t == "") | (t == "-")),
+                  F.coalesce(b["full"], b["short"], b["day_month"], b["nth"], b["last"]))
+
+
 def resolve_ex_date(c: Column, reference) -> Column:
     """Ex-date text -> date relative to ``reference``.
 
@@ -68,34 +98,16 @@ def resolve_ex_date(c: Column, reference) -> Column:
     """
     ref = _as_date_col(reference)
     t = strip_py(c.cast("string"))
-    up = F.upper(t)
-
-    full = _ymd(F.regexp_extract(t, _FULL_DATE, 3).cast("int"),
-                F.regexp_extract(t, _FULL_DATE, 2).cast("int"),
-                F.trim(F.regexp_extract(t, _FULL_DATE, 1)).cast("int"))
-    full = F.when(t.rlike(_FULL_DATE), full)
+    return _combine(t, _branches(t, ref))
 
-    yy = F.regexp_extract(t, _SHORT_YEAR, 3).cast("int")
-    short = _ymd(F.when(yy >= _PIVOT, yy + 1900).otherwise(yy + 2000),
-                 F.regexp_extract(t, _SHORT_YEAR, 2).cast("int"),
-                 F.trim(F.regexp_extract(t, _SHORT_YEAR, 1)).cast("int"))
-    short = F.when(t.rlike(_SHORT_YEAR), short)
 
-    dd = F.regexp_extract(t, _DAY_MONTH, 1).cast("int")
-    mm = F.regexp_extract(t, _DAY_MONTH, 2).cast("int")
-    this_year = _ymd(F.year(ref), mm, dd)
-    next_year = _ymd(F.year(ref) + 1, mm, dd)
-    day_month = F.when(this_year.isNull(), F.lit(None).cast("date")) \
-        .when(this_year < ref, next_year).otherwise(this_year)
-
-    month_start = F.trunc(ref, "month")
-    nth = nth_business_day(month_start, F.regexp_extract(up, _NTH_BUSINESS_DAY, 1).cast("int"))
-
-    return (
-        F.when(t.isNull() | (t == "") | (t == "-"), F.lit(None).cast("date"))
-        .when(t.rlike(_FULL_DATE) & full.isNotNull(), full)
-        .when(t.rlike(_SHORT_YEAR) & short.isNotNull(), short)
-        .when(t.rlike(_DAY_MONTH), day_month)
-        .when(up.rlike(_NTH_BUSINESS_DAY), nth)
-        .when(up.contains(_LAST_BUSINESS_DAY), last_business_day(month_start))
-    )
+def with_ex_date(df: DataFrame, text_col: str, reference, out: str = "ex_date") -> DataFrame:
+    """N11 as staged projections: strip once, evaluate each grammar once into
+    its own column, then pick. Same result as ``resolve_ex_date`` but each
+    regex runs once per row and the generated code stays small."""
+    ref = _as_date_col(reference)
+    staged = df.withColumn("_xd_t", strip_py(F.col(text_col).cast("string")))
+    branches = _branches(F.col("_xd_t"), ref)
+    staged = staged.withColumns({f"_xd_{k}": v for k, v in branches.items()})
+    picked = _combine(F.col("_xd_t"), {k: F.col(f"_xd_{k}") for k in branches})
+    return staged.withColumn(out, picked).drop("_xd_t", *[f"_xd_{k}" for k in branches])

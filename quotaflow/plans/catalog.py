@@ -8,11 +8,13 @@ order.
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quotaflow.operators import agenda as A
 from quotaflow.operators import exposure as X
 from quotaflow.operators import positions as P
 from quotaflow.operators import screens as K
@@ -23,7 +25,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
 MONEY = {"quantity", "avg_cost", "price", "book_value", "market_value", "invested", "profit", "monthly_income",
-         "suggested_contribution", "total_value", "sector_value", "node_value"}
+         "suggested_contribution", "total_value", "sector_value", "node_value", "est_dividend"}
 
 
 # Amounts derived from a mean of shares (total x mean weight) sit on exact
@@ -158,3 +160,62 @@ def q_sector_exposure(spark, sf):
 @register("hierarchy_rollup")
 def q_hierarchy_rollup(spark, sf):
     return rounded(X.hierarchy(positions(spark, sf)))
+
+
+# ------------------------------------------------------------------- agenda
+def _agenda(spark, sf):
+    return A.build(positions(spark, sf), DEFAULT_RUN.reference_date)
+
+
+@register("agenda")
+def q_agenda(spark, sf):
+    return rounded(_agenda(spark, sf).select("portfolio_id", "ticker", "ex_date_text", "ex_date", "status",
+                                             "month", "est_dividend", "detail_link"))
+
+
+@register("agenda_default_month")
+def q_agenda_default_month(spark, sf):
+    m = A.months(_agenda(spark, sf), DEFAULT_RUN.reference_date)
+    return m.select("portfolio_id", "chosen_month", F.size("months").alias("n_months"),
+                    F.array_join(F.transform("months", lambda d: d.cast("string")), ",").alias("months"))
+
+
+@register("agenda_month")
+def q_agenda_month(spark, sf):
+    ag = _agenda(spark, sf)
+    return rounded(A.month_slice(ag, A.chosen_months(ag, DEFAULT_RUN.reference_date)))
+
+
+@register("agenda_metrics")
+def q_agenda_metrics(spark, sf):
+    ag = _agenda(spark, sf)
+    ref = DEFAULT_RUN.reference_date
+    return rounded(A.metrics(ag, A.chosen_months(ag, ref), ref), {"month_total", "passed", "pending"})
+
+
+@register("agenda_metrics_past_month")
+def q_agenda_metrics_past_month(spark, sf):
+    """C4 for a month other than the reference's: nothing counts as passed."""
+    ag = _agenda(spark, sf)
+    ref = DEFAULT_RUN.reference_date
+    return rounded(A.metrics(ag, A.chosen_months(ag, ref, datetime.date(2024, 7, 1)), ref),
+                   {"month_total", "passed", "pending"})
+
+
+@register("agenda_by_date")
+def q_agenda_by_date(spark, sf):
+    ag = _agenda(spark, sf)
+    return rounded(A.by_date(ag, A.chosen_months(ag, DEFAULT_RUN.reference_date)), {"total"})
+
+
+@register("agenda_by_ticker")
+def q_agenda_by_ticker(spark, sf):
+    ag = _agenda(spark, sf)
+    return rounded(A.by_ticker(ag, A.chosen_months(ag, DEFAULT_RUN.reference_date)), {"total"})
+
+
+@register("dividend_calendar")
+def q_dividend_calendar(spark, sf):
+    ag = _agenda(spark, sf)
+    chosen = A.chosen_months(ag, DEFAULT_RUN.reference_date)
+    return rounded(A.calendar(A.by_date(ag, chosen), chosen), {f"{d}_value" for d in A.WEEKDAYS_PT})

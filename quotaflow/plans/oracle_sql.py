@@ -237,3 +237,88 @@ FROM (
   SELECT portfolio_id, asset_type, sector, ticker, sum(market_value) AS node_value, count(*) AS n_positions
   FROM pos GROUP BY GROUPING SETS ((portfolio_id, asset_type, sector, ticker), (portfolio_id, asset_type, sector),
                                    (portfolio_id, asset_type), (portfolio_id)))"""
+
+# ------------------------------------------------------------------- agenda
+# Ex-dates are known from the fixture key k (row_idx of a fund row) without
+# parsing text; business days are counted on a generated calendar.
+AGENDA = """
+, bd AS (
+  SELECT CAST(d AS DATE) AS d, row_number() OVER (ORDER BY d) AS n
+  FROM range(TIMESTAMP '2024-06-01', TIMESTAMP '2024-10-01', INTERVAL 1 DAY) t(d) WHERE isodow(d) <= 5),
+ag0 AS (
+  SELECT portfolio_id, ticker, ex_date_text, link AS detail_link, monthly_income AS est_dividend, row_idx AS k,
+         DATE '2024-06-01' + CAST(row_idx % 90 AS INTEGER) AS d0
+  FROM pos WHERE asset_type = 'FII' AND ex_date_text <> '-'),
+ag1 AS (
+  SELECT *, CASE k % 6 WHEN 0 THEN d0 WHEN 5 THEN d0
+      WHEN 1 THEN CASE WHEN d0 < DATE '2024-06-15' THEN CAST(d0 + INTERVAL 1 YEAR AS DATE) ELSE d0 END
+      WHEN 2 THEN (SELECT bd.d FROM bd WHERE bd.n = CASE WHEN isodow(DATE '2024-06-01') > 5
+                                                      THEN greatest(ag0.k % 22, 1) ELSE ag0.k % 22 + 1 END)
+      WHEN 3 THEN (SELECT max(bd.d) FROM bd WHERE month(bd.d) = 6) END AS ex_date
+  FROM ag0),
+agm AS (
+  SELECT portfolio_id, ticker, ex_date_text, ex_date, detail_link, est_dividend,
+         CASE WHEN ex_date <= DATE '2024-06-15' THEN 'Já ocorreu' ELSE 'Próxima' END AS status,
+         CAST(date_trunc('month', ex_date) AS DATE) AS month
+  FROM ag1 WHERE ex_date IS NOT NULL),
+chosen AS (
+  SELECT portfolio_id, coalesce(max(month) FILTER (WHERE month = DATE '2024-06-01'), min(month)) AS chosen_month
+  FROM agm GROUP BY 1),
+sl AS (SELECT a.* FROM agm a JOIN chosen c ON a.portfolio_id = c.portfolio_id AND a.month = c.chosen_month)"""
+
+ORACLE["agenda"] = BASE + AGENDA + """
+SELECT portfolio_id, ticker, ex_date_text, ex_date, status, month, round(est_dividend, 4) AS est_dividend,
+       detail_link FROM agm"""
+
+ORACLE["agenda_default_month"] = BASE + AGENDA + """
+, dm AS (SELECT DISTINCT portfolio_id, month FROM agm),
+ml AS (SELECT portfolio_id, count(*) AS n_months, string_agg(CAST(month AS VARCHAR), ',' ORDER BY month) AS months
+       FROM dm GROUP BY 1)
+SELECT c.portfolio_id, c.chosen_month, CAST(ml.n_months AS INTEGER) AS n_months, ml.months
+FROM chosen c JOIN ml USING (portfolio_id)"""
+
+ORACLE["agenda_month"] = BASE + AGENDA + """
+SELECT portfolio_id, ticker, ex_date_text, ex_date, status, round(est_dividend, 4) AS est_dividend, detail_link
+FROM sl ORDER BY portfolio_id, ex_date, ticker"""
+
+ORACLE["agenda_metrics"] = BASE + AGENDA + """
+, mt AS (
+  SELECT a.portfolio_id, c.chosen_month, CAST(sum(CAST(a.est_dividend AS DECIMAL(18, 4))) AS DOUBLE) AS month_total,
+         coalesce(CAST(sum(CAST(a.est_dividend AS DECIMAL(18, 4))) FILTER (WHERE c.chosen_month = DATE '2024-06-01'
+                                              AND a.ex_date <= DATE '2024-06-15') AS DOUBLE), 0.0) AS passed
+  FROM sl a JOIN chosen c USING (portfolio_id) GROUP BY 1, 2)
+SELECT portfolio_id, chosen_month, round(month_total, 4) AS month_total, round(passed, 4) AS passed,
+       round(greatest(month_total - passed, 0.0), 4) AS pending FROM mt"""
+
+ORACLE["agenda_metrics_past_month"] = BASE + AGENDA + """
+SELECT portfolio_id, DATE '2024-07-01' AS chosen_month, round(CAST(sum(CAST(est_dividend AS DECIMAL(18, 4))) AS DOUBLE), 4) AS month_total,
+       0.0 AS passed, round(greatest(CAST(sum(CAST(est_dividend AS DECIMAL(18, 4))) AS DOUBLE), 0.0), 4) AS pending
+FROM agm WHERE month = DATE '2024-07-01' GROUP BY 1"""
+
+ORACLE["agenda_by_date"] = BASE + AGENDA + """
+SELECT portfolio_id, ex_date, round(CAST(sum(CAST(est_dividend AS DECIMAL(18, 4))) AS DOUBLE), 4) AS total
+FROM sl GROUP BY 1, 2 ORDER BY 1, 2"""
+
+ORACLE["agenda_by_ticker"] = BASE + AGENDA + """
+SELECT portfolio_id, ticker, round(CAST(sum(CAST(est_dividend AS DECIMAL(18, 4))) AS DOUBLE), 4) AS total
+FROM sl GROUP BY 1, 2 ORDER BY 1, 3 DESC, 2"""
+
+_WD = ["Seg", "Ter", "Qua", "Qui", "Sex", "Sáb", "Dom"]
+ORACLE["dividend_calendar"] = BASE + AGENDA + """
+, tot AS (SELECT portfolio_id, ex_date AS day, CAST(sum(CAST(est_dividend AS DECIMAL(18, 4))) AS DOUBLE) AS total
+        FROM sl GROUP BY 1, 2),
+days AS (
+  SELECT portfolio_id, chosen_month, chosen_month + CAST(i AS INTEGER) AS day
+  FROM (SELECT portfolio_id, chosen_month, unnest(range(0, CAST(day(last_day(chosen_month)) AS BIGINT))) AS i
+        FROM chosen)),
+cells AS (
+  SELECT d.portfolio_id, d.chosen_month, CAST((day(d.day) - 1 + isodow(d.chosen_month) - 1) // 7 + 1 AS INTEGER) AS week,
+         isodow(d.day) - 1 AS wd,
+         CASE WHEN t.total > 0 THEN t.total ELSE 0.0 END AS value,
+         CASE WHEN t.total > 0 THEN CAST(day(d.day) AS VARCHAR) || chr(10) || 'R$ ' || translate(format('{:,.2f}', t.total), ',.', '.,')
+              ELSE CAST(day(d.day) AS VARCHAR) END AS text
+  FROM days d LEFT JOIN tot t ON t.portfolio_id = d.portfolio_id AND t.day = d.day)
+SELECT portfolio_id, chosen_month, week, """ + ", ".join(
+    f"round(max(CASE WHEN wd = {i} THEN value END), 4) AS \"{n}_value\", "
+    f"coalesce(max(CASE WHEN wd = {i} THEN text END), '') AS \"{n}_text\"" for i, n in enumerate(_WD)) + """
+FROM cells GROUP BY 1, 2, 3"""
