@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from quotaflow.operators import agenda as A
 from quotaflow.operators import exposure as X
+from quotaflow.operators import kpis as K2
+from quotaflow.operators import series as S
+from quotaflow.functions import text as T
 from quotaflow.operators import positions as P
 from quotaflow.operators import screens as K
 from quotaflow.params import DEFAULT_RUN
@@ -30,7 +33,7 @@ MONEY = {"quantity", "avg_cost", "price", "book_value", "market_value", "investe
 
 # Amounts derived from a mean of shares (total x mean weight) sit on exact
 # ties at 4 places, where summation order decides; they are shown in cents.
-CENTS = {"suggested_contribution"}
+CENTS = {"suggested_contribution", "value"}
 
 
 def register(name: str):
@@ -219,3 +222,101 @@ def q_dividend_calendar(spark, sf):
     ag = _agenda(spark, sf)
     chosen = A.chosen_months(ag, DEFAULT_RUN.reference_date)
     return rounded(A.calendar(A.by_date(ag, chosen), chosen), {f"{d}_value" for d in A.WEEKDAYS_PT})
+
+
+# ------------------------------------------------------------------- series
+SMALL_REF = DEFAULT_RUN.reference_date            # 6-month look-back covers the events month
+LARGE_REF, LARGE_PERIOD = datetime.date(2001, 11, 4), "2 anos"
+BENCH_SYMS = list(S.BENCHMARK_SYMBOLS.values())
+
+
+def _small(spark, sf):
+    qty = K2.qty_by_ticker(FX.small_holdings(spark, sf))
+    months, _ = S.lookback("6 meses")
+    return qty, S.clean_panel(FX.small_panel(spark, sf), SMALL_REF, months)
+
+
+def cdi_rates(spark, sf, even_days_only=True):
+    """CDI as (series_id, rate_date, rate): the daily percent / 100; even
+    days only, so the as-of step has gaps to bridge."""
+    r = FX.daily_rates(spark, sf)
+    if even_days_only:
+        r = r.where(F.dayofmonth("rate_date") % 2 == 0)
+    return r.select(F.lit(S.CDI_SERIES).alias("series_id"), "rate_date", (F.col("valor") / 100).alias("rate"))
+
+
+@register("cumulative_index")
+def q_cumulative_index(spark, sf):
+    idx = S.cumulative_index(cdi_rates(spark, sf, even_days_only=False))
+    return rounded(idx.select("series_id", "rate_date", "cum_index"))
+
+
+@register("gap_fill")
+def q_gap_fill(spark, sf):
+    qty, panel = _small(spark, sf)
+    return rounded(S.gap_fill(qty, panel, BENCH_SYMS))
+
+
+@register("portfolio_series")
+def q_portfolio_series(spark, sf):
+    qty, panel = _small(spark, sf)
+    return rounded(S.portfolio_series(qty, panel, BENCH_SYMS), {"value"})
+
+
+@register("portfolio_series_large")
+def q_portfolio_series_large(spark, sf):
+    """T4 delta-sum on the large panel (every customer x part holding)."""
+    months, _ = S.lookback(LARGE_PERIOD)
+    qty = K2.qty_by_ticker(FX.large_holdings(spark, sf))
+    panel = S.clean_panel(FX.large_panel(spark, sf), LARGE_REF, months)
+    return rounded(S.portfolio_series(qty, panel, []), {"value"})
+
+
+@register("benchmark_align")
+def q_benchmark_align(spark, sf):
+    qty, panel = _small(spark, sf)
+    axis = S.portfolio_series(qty, panel, BENCH_SYMS).select("portfolio_id", "date")
+    return rounded(S.benchmark_align(axis, panel, ["Ibovespa", "IFIX"]), {"value"})
+
+
+@register("rate_asof")
+def q_rate_asof(spark, sf):
+    qty, panel = _small(spark, sf)
+    axis = S.portfolio_series(qty, panel, BENCH_SYMS).select("portfolio_id", "date")
+    asof = S.rate_asof(axis, S.cumulative_index(cdi_rates(spark, sf), 220))
+    return rounded(asof.withColumnRenamed("value", "cum_index"))
+
+
+def _evolution(spark, sf):
+    qty = K2.qty_by_ticker(FX.small_holdings(spark, sf))
+    return S.evolution(qty, FX.small_panel(spark, sf), cdi_rates(spark, sf), SMALL_REF, "6 meses")
+
+
+@register("rebased_series")
+def q_rebased_series(spark, sf):
+    return rounded(_evolution(spark, sf))
+
+
+@register("evolution_wide")
+def q_evolution_wide(spark, sf):
+    return rounded(S.evolution_wide(_evolution(spark, sf)))
+
+
+@register("relative_performance")
+def q_relative_performance(spark, sf):
+    sel = S.default_selection(FX.small_holdings(spark, sf))
+    return rounded(S.relative_performance(sel, FX.small_panel(spark, sf), SMALL_REF, 6, "IBOV"))
+
+
+@register("qty_by_ticker")
+def q_qty_by_ticker(spark, sf):
+    return rounded(K2.qty_by_ticker(positions(spark, sf)))
+
+
+@register("symbol_map")
+def q_symbol_map(spark, sf):
+    """N20 over every symbol of the panel and every position ticker."""
+    syms = (FX.small_panel(spark, sf).select("symbol")
+            .unionByName(positions(spark, sf).select(T.quote_symbol(F.col("ticker")).alias("symbol"))).distinct())
+    return syms.select("symbol", T.series_name(F.col("symbol")).alias("history_name"),
+                       T.series_name(F.col("symbol"), evolution=True).alias("evolution_name"))

@@ -322,3 +322,144 @@ SELECT portfolio_id, chosen_month, week, """ + ", ".join(
     f"round(max(CASE WHEN wd = {i} THEN value END), 4) AS \"{n}_value\", "
     f"coalesce(max(CASE WHEN wd = {i} THEN text END), '') AS \"{n}_text\"" for i, n in enumerate(_WD)) + """
 FROM cells GROUP BY 1, 2, 3"""
+
+# ------------------------------------------------------------------- series
+# Dense forms throughout: the ticker x date grid, forward/backward filled with
+# IGNORE NULLS windows; the CDI as-of step is DuckDB's ASOF JOIN.
+_UT = _ticker("user_id")
+SMALL = f"""
+WITH ev AS (SELECT CAST(ts AS DATE) AS date, user_id, event_type, value FROM events),
+panel AS (
+  SELECT date, {_UT} || '.SA' AS symbol, floor((2 * sum(CAST(round(value * 100) AS BIGINT)) + count(*)) / (2 * count(*))) / 100.0 AS close FROM ev GROUP BY date, user_id
+  UNION ALL SELECT date, '^BVSP', floor((2 * sum(CAST(round(value * 100) AS BIGINT)) + count(*)) / (2 * count(*))) / 100.0 FROM ev WHERE event_type = 'view' GROUP BY date
+  UNION ALL SELECT date, 'IFIX.SA', floor((2 * sum(CAST(round(value * 100) AS BIGINT)) + count(*)) / (2 * count(*))) / 100.0 FROM ev WHERE event_type = 'click' AND day(date) % 2 = 0 GROUP BY date),
+p AS (SELECT * FROM panel WHERE date BETWEEN DATE '2023-12-15' AND DATE '2024-06-15'),
+hold AS (
+  SELECT user_id % 5 AS portfolio_id, user_id AS row_idx, {_UT} AS ticker, {_UT} || '.SA' AS symbol,
+         CASE WHEN user_id % 3 > 0 THEN 'FII' ELSE 'Ação' END AS asset_type, CAST(1 + user_id % 7 AS DOUBLE) AS quantity
+  FROM (SELECT DISTINCT user_id FROM events)),
+own AS (SELECT DISTINCT h.portfolio_id, p.date FROM hold h JOIN p USING (symbol)),
+axis AS (
+  SELECT * FROM own UNION
+  SELECT o.portfolio_id, b.date FROM (SELECT DISTINCT portfolio_id FROM own) o,
+         (SELECT DISTINCT date FROM p WHERE symbol IN ('^BVSP', 'IFIX.SA')) b),
+grid AS (
+  SELECT h.portfolio_id, h.ticker, h.symbol, h.quantity, a.date FROM hold h JOIN axis a USING (portfolio_id)
+  WHERE h.symbol IN (SELECT symbol FROM p)),
+filled AS (
+  SELECT g.portfolio_id, g.ticker, g.quantity, g.date,
+         coalesce(last_value(p.close IGNORE NULLS) OVER (PARTITION BY g.portfolio_id, g.ticker ORDER BY g.date
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+                  first_value(p.close IGNORE NULLS) OVER (PARTITION BY g.portfolio_id, g.ticker ORDER BY g.date
+                    ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS close
+  FROM grid g LEFT JOIN p ON p.symbol = g.symbol AND p.date = g.date),
+carteira AS (SELECT portfolio_id, date, coalesce(sum(quantity * close), 0.0) AS value FROM filled GROUP BY 1, 2),
+bnames AS (SELECT * FROM (VALUES ('^BVSP', 'Ibovespa'), ('IFIX.SA', 'IFIX')) t(symbol, series)),
+bench AS (
+  SELECT portfolio_id, series, date, value FROM (
+    SELECT c.portfolio_id, n.series, c.date,
+           last_value(p.close IGNORE NULLS) OVER (PARTITION BY c.portfolio_id, n.series ORDER BY c.date
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value
+    FROM carteira c CROSS JOIN bnames n LEFT JOIN p ON p.symbol = n.symbol AND p.date = c.date)
+  WHERE value IS NOT NULL),
+rates AS (
+  SELECT CAST(ts AS DATE) AS rate_date, round(avg(value) / 1000, 4) / 100 AS rate
+  FROM events WHERE event_type = 'signup' GROUP BY 1),
+idx AS (
+  SELECT rate_date, product(1 + rate) OVER (ORDER BY rate_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_index
+  FROM rates WHERE day(rate_date) % 2 = 0),
+cdi AS (
+  SELECT c.portfolio_id, 'CDI' AS series, c.date, i.cum_index AS value
+  FROM carteira c ASOF JOIN idx i ON c.date >= i.rate_date),
+longs AS (
+  SELECT portfolio_id, 'Carteira' AS series, date, value FROM carteira
+  UNION ALL SELECT * FROM bench UNION ALL SELECT * FROM cdi),
+rb AS (
+  SELECT c.portfolio_id, s.series, c.date,
+         last_value(l.value IGNORE NULLS) OVER (PARTITION BY c.portfolio_id, s.series ORDER BY c.date
+           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v
+  FROM carteira c JOIN (SELECT DISTINCT portfolio_id, series FROM longs) s USING (portfolio_id)
+  LEFT JOIN longs l ON l.portfolio_id = c.portfolio_id AND l.series = s.series AND l.date = c.date),
+rebased AS (
+  SELECT portfolio_id, series, date, (v / base - 1) * 100 AS pct FROM (
+    SELECT *, first_value(v IGNORE NULLS) OVER (PARTITION BY portfolio_id, series ORDER BY date
+               ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS base FROM rb)
+  WHERE v IS NOT NULL AND base <> 0)"""
+
+ORACLE["cumulative_index"] = """
+WITH rates AS (
+  SELECT CAST(ts AS DATE) AS rate_date, round(avg(value) / 1000, 4) / 100 AS rate
+  FROM events WHERE event_type = 'signup' GROUP BY 1)
+SELECT 'CDI' AS series_id, rate_date,
+       round(product(1 + rate) OVER (ORDER BY rate_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS cum_index
+FROM rates"""
+
+ORACLE["gap_fill"] = SMALL + "\nSELECT portfolio_id, ticker, date, round(close, 6) AS close FROM filled"
+
+ORACLE["portfolio_series"] = SMALL + "\nSELECT portfolio_id, date, round(value, 2) AS value FROM carteira"
+
+ORACLE["benchmark_align"] = SMALL + "\nSELECT portfolio_id, series, date, round(value, 2) AS value FROM bench"
+
+ORACLE["rate_asof"] = SMALL + "\nSELECT portfolio_id, series, date, round(value, 6) AS cum_index FROM cdi"
+
+ORACLE["rebased_series"] = SMALL + "\nSELECT portfolio_id, series, date, round(pct, 6) AS pct FROM rebased"
+
+ORACLE["evolution_wide"] = SMALL + """
+SELECT portfolio_id, date,
+       round(max(pct) FILTER (WHERE series = 'Carteira'), 6) AS "Carteira",
+       round(max(pct) FILTER (WHERE series = 'Ibovespa'), 6) AS "Ibovespa",
+       round(max(pct) FILTER (WHERE series = 'IFIX'), 6) AS "IFIX",
+       round(max(pct) FILTER (WHERE series = 'CDI'), 6) AS "CDI"
+FROM rebased GROUP BY 1, 2"""
+
+ORACLE["relative_performance"] = SMALL + """
+, sel AS (
+  SELECT portfolio_id, symbol FROM hold
+  QUALIFY row_number() OVER (PARTITION BY portfolio_id ORDER BY row_idx) <= 3),
+hs AS (
+  SELECT s.portfolio_id, p.symbol, p.date, p.close FROM sel s JOIN p USING (symbol) WHERE p.close IS NOT NULL
+  UNION ALL
+  SELECT d.portfolio_id, p.symbol, p.date, p.close FROM (SELECT DISTINCT portfolio_id FROM sel) d
+  JOIN p ON p.symbol = '^BVSP' AND p.close IS NOT NULL),
+f AS (SELECT portfolio_id, min(date) AS d0 FROM hs GROUP BY 1),
+b AS (SELECT hs.portfolio_id, hs.symbol, hs.close AS base FROM hs JOIN f ON hs.portfolio_id = f.portfolio_id AND hs.date = f.d0)
+SELECT hs.portfolio_id, CASE WHEN hs.symbol = '^BVSP' THEN 'IBOVESPA' ELSE replace(hs.symbol, '.SA', '') END AS series,
+       hs.date, round(CASE WHEN b.base <> 0 THEN (hs.close / b.base - 1) * 100 END, 6) AS pct
+FROM hs LEFT JOIN b USING (portfolio_id, symbol)"""
+
+ORACLE["portfolio_series_large"] = f"""
+WITH hold0 AS (
+  SELECT o.o_custkey AS portfolio_id, l.l_partkey AS k, sum(l.l_quantity) AS quantity
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey GROUP BY 1, 2),
+hold AS (SELECT portfolio_id, {_ticker('k')} AS ticker, {_ticker('k')} || '.SA' AS symbol, quantity
+         FROM hold0 WHERE k % 10 < 9),
+p AS (
+  SELECT CAST(l_shipdate AS DATE) AS date, {_ticker('l_partkey')} || '.SA' AS symbol,
+         floor((2 * sum(CAST(round(l_extendedprice * 100) AS BIGINT)) + sum(CAST(l_quantity AS BIGINT)))
+               / (2 * sum(CAST(l_quantity AS BIGINT)))) / 100.0 AS close
+  FROM lineitem WHERE CAST(l_shipdate AS DATE) BETWEEN DATE '1999-11-04' AND DATE '2001-11-04' GROUP BY 1, 2),
+axis AS (SELECT DISTINCT h.portfolio_id, p.date FROM hold h JOIN p USING (symbol)),
+grid AS (
+  SELECT h.portfolio_id, h.ticker, h.symbol, h.quantity, a.date FROM hold h JOIN axis a USING (portfolio_id)
+  WHERE h.symbol IN (SELECT symbol FROM p)),
+filled AS (
+  SELECT g.portfolio_id, g.quantity, g.date,
+         coalesce(last_value(p.close IGNORE NULLS) OVER (PARTITION BY g.portfolio_id, g.ticker ORDER BY g.date
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+                  first_value(p.close IGNORE NULLS) OVER (PARTITION BY g.portfolio_id, g.ticker ORDER BY g.date
+                    ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS close
+  FROM grid g LEFT JOIN p ON p.symbol = g.symbol AND p.date = g.date)
+SELECT portfolio_id, date, round(coalesce(sum(quantity * close), 0.0), 2) AS value FROM filled GROUP BY 1, 2"""
+
+ORACLE["qty_by_ticker"] = BASE + """
+SELECT portfolio_id, ticker, round(sum(quantity), 4) AS quantity FROM pos WHERE asset_type IN ('FII', 'Ação') GROUP BY 1, 2"""
+
+ORACLE["symbol_map"] = BASE + f"""
+, syms AS (
+  SELECT DISTINCT {_UT} || '.SA' AS symbol FROM events
+  UNION SELECT '^BVSP' UNION SELECT 'IFIX.SA'
+  UNION SELECT CASE WHEN ticker LIKE '%.SA' THEN ticker ELSE ticker || '.SA' END FROM pos)
+SELECT symbol,
+       CASE symbol WHEN '^BVSP' THEN 'IBOVESPA' WHEN 'IFIX.SA' THEN 'IFIX' ELSE replace(symbol, '.SA', '') END AS history_name,
+       CASE symbol WHEN '^BVSP' THEN 'Ibovespa' WHEN 'IFIX.SA' THEN 'IFIX' ELSE replace(symbol, '.SA', '') END AS evolution_name
+FROM syms"""

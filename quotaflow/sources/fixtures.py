@@ -162,3 +162,77 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("k")
     return (ps.where((F.pmod(k, F.lit(10)).isin(7, 8)) & (F.pmod(k, F.lit(4)) != 0))
             .select(ticker_from_key(k).alias("ticker"), F.col("mkt_price").alias("quote")))
+
+
+# ------------------------------------------------------------ price panels
+# Market symbols of the two benchmarks (the panel stores symbols, as the
+# market-data source does; names are mapped back with text.series_name).
+IBOV_SYMBOL, IFIX_SYMBOL = "^BVSP", "IFIX.SA"
+
+
+def _cents_ratio(num_cents: Column, den: Column) -> Column:
+    """num / den in cents, rounded half up with exact integer arithmetic
+    (``num_cents`` and ``den`` are integer sums), so every engine agrees."""
+    return F.floor((num_cents * 2 + den) / (den * 2)) / 100.0
+
+
+def _avg_cents(c: Column) -> Column:
+    return _cents_ratio(F.sum(F.round(c * 100).cast("bigint")), F.count(F.lit(1)))
+
+
+def small_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gappy daily closes ``(date, symbol, close)`` from ``events``: one
+    stock per user (average value of the user's events that day, in cents), plus
+    the two benchmarks: '^BVSP' = daily average of 'view' events, 'IFIX.SA'
+    = daily average of 'click' events on even days only."""
+    ev = table(spark, sf_dir, "events").select(F.to_date("ts").alias("date"), "user_id", "event_type", "value")
+    # Closes are quoted in cents.
+    stocks = ev.groupBy("date", "user_id").agg(_avg_cents(F.col("value")).alias("close")).select(
+        "date", F.concat(ticker_from_key(F.col("user_id")), F.lit(".SA")).alias("symbol"), "close")
+    ibov = (ev.where(F.col("event_type") == "view").groupBy("date").agg(_avg_cents(F.col("value")).alias("close"))
+            .select("date", F.lit(IBOV_SYMBOL).alias("symbol"), "close"))
+    ifix = (ev.where((F.col("event_type") == "click") & (F.dayofmonth("date") % 2 == 0))
+            .groupBy("date").agg(_avg_cents(F.col("value")).alias("close"))
+            .select("date", F.lit(IFIX_SYMBOL).alias("symbol"), "close"))
+    return stocks.unionByName(ibov).unionByName(ifix)
+
+
+def small_holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions that hold the small panel's stocks: user u is held by
+    portfolio u % 5 with quantity 1 + u % 7 (FII when u % 3 > 0, else Ação);
+    ``row_idx`` = u gives the position order."""
+    u = F.col("user_id")
+    users = table(spark, sf_dir, "events").select("user_id").distinct()
+    return users.select(
+        F.pmod(u, F.lit(5)).alias("portfolio_id"), F.lit(0).alias("source_rank"), u.alias("row_idx"),
+        ticker_from_key(u).alias("ticker"),
+        F.when(F.pmod(u, F.lit(3)) > 0, F.lit("FII")).otherwise(F.lit("Ação")).alias("asset_type"),
+        (F.pmod(u, F.lit(7)) + 1).cast("double").alias("quantity"))
+
+
+def large_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sparse daily closes ``(date, symbol, close)`` from ``lineitem``: per
+    ship date and part, sum(extended price) / sum(quantity) in cents."""
+    li = table(spark, sf_dir, "lineitem")
+    return (li.groupBy(F.to_date("l_shipdate").alias("date"), F.col("l_partkey").alias("k"))
+            .agg(_cents_ratio(F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")),
+                              F.sum(F.col("l_quantity").cast("bigint"))).alias("close"))
+            .select("date", F.concat(ticker_from_key(F.col("k")), F.lit(".SA")).alias("symbol"), "close"))
+
+
+def large_holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(portfolio_id, source_rank, row_idx, ticker, asset_type, quantity) of
+    every (customer, part) holding."""
+    k = F.col("k")
+    return holdings(spark, sf_dir).select(
+        "portfolio_id", F.lit(0).alias("source_rank"), k.alias("row_idx"), ticker_from_key(k).alias("ticker"),
+        asset_type_from_key(k).alias("asset_type"), F.col("qty").alias("quantity"))
+
+
+# ------------------------------------------------------------------- rates
+def daily_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily rate in percent ``(rate_date, valor)`` from the 'signup'
+    events: round(avg(value) / 1000, 4)."""
+    ev = table(spark, sf_dir, "events").where(F.col("event_type") == "signup")
+    return ev.groupBy(F.to_date("ts").alias("rate_date")).agg(
+        F.round(F.avg("value") / 1000, 4).alias("valor"))
