@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quotaflow.operators import agenda as A
 from quotaflow.operators import exposure as X
+from quotaflow.operators import indicators as H
 from quotaflow.operators import kpis as K2
 from quotaflow.operators import series as S
 from quotaflow.functions import text as T
@@ -320,3 +321,81 @@ def q_symbol_map(spark, sf):
             .unionByName(positions(spark, sf).select(T.quote_symbol(F.col("ticker")).alias("symbol"))).distinct())
     return syms.select("symbol", T.series_name(F.col("symbol")).alias("history_name"),
                        T.series_name(F.col("symbol"), evolution=True).alias("evolution_name"))
+
+
+# --------------------------------------------------------------- indicators
+def _raw_pages(spark, sf):
+    return H.extract(FX.indicator_pages(spark, sf))
+
+
+@register("page_scan")
+def q_page_scan(spark, sf):
+    return H.page_hits(FX.indicator_pages(spark, sf)).select("page_id", "ticker", "status", "hit")
+
+
+@register("vp_from_cells")
+def q_vp_from_cells(spark, sf):
+    raw = _raw_pages(spark, sf).where("hit")
+    return rounded(raw.select("page_id", H._last_parsed(F.col("cell_vp")).alias("vp")))
+
+
+@register("dy_from_cards")
+def q_dy_from_cards(spark, sf):
+    raw = _raw_pages(spark, sf).where("hit")
+    return rounded(raw.select("page_id", H._last_parsed(F.col("card_dy")).alias("dy")))
+
+
+@register("indicators_table")
+def q_indicators_table(spark, sf):
+    raw = _raw_pages(spark, sf).where("hit")
+    return rounded(raw.select("page_id", "has_table", H._first_table_value(H.VP_KEY).alias("vp"),
+                              H._first_table_value(H.DY_TABLE_KEY).alias("dy")))
+
+
+@register("vp_from_text")
+def q_vp_from_text(spark, sf):
+    raw = _raw_pages(spark, sf).where("hit")
+    return rounded(raw.select("page_id", F.when(F.col("has_table"), T.parse_or_null(F.col("text_vp"))).alias("vp")))
+
+
+@register("indicators")
+def q_indicators(spark, sf):
+    return rounded(H.indicators(_raw_pages(spark, sf)).drop("ts"))
+
+
+@register("quotes")
+def q_quotes(spark, sf):
+    return rounded(H.quotes(_raw_pages(spark, sf)), {"quote"})
+
+
+def _lookup_inputs(spark, sf):
+    found = H.indicators(_raw_pages(spark, sf))
+    cache = H.latest(found.where(F.col("page_id") % 3 == 0))
+    fresh = H.latest(found)
+    k = F.col("p_partkey")
+    req = (FX.table(spark, sf, "part").where(k % 7 == 0)
+           .select(F.when(k % 2 == 0, F.concat(F.lit(" "), F.lower(FX.ticker_from_key(k)), F.lit(" ")))
+                   .otherwise(FX.ticker_from_key(k)).alias("ticker")))
+    return req, cache, fresh
+
+
+@register("indicator_lookup")
+def q_indicator_lookup(spark, sf):
+    return rounded(H.lookup(*_lookup_inputs(spark, sf)))
+
+
+@register("indicator_not_found")
+def q_indicator_not_found(spark, sf):
+    return H.not_found(*_lookup_inputs(spark, sf))
+
+
+@register("last_known_good")
+def q_last_known_good(spark, sf):
+    found = H.indicators(H.extract(FX.refresh_pages(spark, sf)))
+    return rounded(H.latest(found).drop("ts"))
+
+
+@register("cache_status")
+def q_cache_status(spark, sf):
+    found = H.indicators(H.extract(FX.refresh_pages(spark, sf)))
+    return H.cache_status(H.latest(found))

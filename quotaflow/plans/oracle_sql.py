@@ -463,3 +463,53 @@ SELECT symbol,
        CASE symbol WHEN '^BVSP' THEN 'IBOVESPA' WHEN 'IFIX.SA' THEN 'IFIX' ELSE replace(symbol, '.SA', '') END AS history_name,
        CASE symbol WHEN '^BVSP' THEN 'Ibovespa' WHEN 'IFIX.SA' THEN 'IFIX' ELSE replace(symbol, '.SA', '') END AS evolution_name
 FROM syms"""
+
+# --------------------------------------------------------------- indicators
+# Expected values follow from page_id alone (FIXTURES.md 2.7); no HTML parsing.
+PAGES = f"""
+WITH pg AS (
+  SELECT page_id, {_ticker('page_id')} AS ticker, page_id % 6 AS m,
+         CASE WHEN page_id % 6 = 5 THEN 404 ELSE 200 END AS status,
+         page_id % 6 <> 5 AND page_id % 13 <> 0 AS hit,
+         CAST(50 + page_id % 100 AS DOUBLE) AS v, CAST(5 + page_id % 10 AS DOUBLE) AS y
+  FROM pages),
+ex AS (
+  SELECT *,
+    CASE m WHEN 0 THEN v + 0.34 WHEN 2 THEN v + 1.34 END AS cell_vp,
+    CASE m WHEN 0 THEN y + 0.06 END AS card_dy,
+    m IN (1, 2, 3) AS has_table,
+    CASE m WHEN 1 THEN v + 0.34 WHEN 2 THEN v + 2.34 END AS table_vp,
+    CASE WHEN m IN (1, 2, 3) THEN y + 0.06 END AS table_dy,
+    CASE WHEN m IN (1, 2, 3) THEN v + 0.34 END AS text_vp,
+    CASE WHEN page_id % 4 <> 3 AND page_id % 6 <> 5 AND page_id % 13 <> 0 THEN v + 0.5 ELSE 0.0 END AS quote
+  FROM pg),
+ind AS (
+  SELECT page_id, ticker, coalesce(cell_vp, table_vp, text_vp) AS vp, coalesce(card_dy, table_dy) AS dy
+  FROM ex WHERE hit)"""
+
+ORACLE["page_scan"] = PAGES + "\nSELECT page_id, ticker, CAST(status AS INTEGER) AS status, hit FROM pg"
+ORACLE["vp_from_cells"] = PAGES + "\nSELECT page_id, round(cell_vp, 6) AS vp FROM ex WHERE hit"
+ORACLE["dy_from_cards"] = PAGES + "\nSELECT page_id, round(card_dy, 6) AS dy FROM ex WHERE hit"
+ORACLE["indicators_table"] = PAGES + """
+SELECT page_id, has_table, round(table_vp, 6) AS vp, round(table_dy, 6) AS dy FROM ex WHERE hit"""
+ORACLE["vp_from_text"] = PAGES + "\nSELECT page_id, round(text_vp, 6) AS vp FROM ex WHERE hit"
+ORACLE["indicators"] = PAGES + "\nSELECT page_id, ticker, round(vp, 6) AS vp, round(dy, 6) AS dy FROM ind"
+ORACLE["quotes"] = PAGES + "\nSELECT page_id, ticker, round(quote, 4) AS quote FROM ex"
+
+LOOKUP = PAGES + f"""
+, cache AS (SELECT ticker, vp, dy FROM ind WHERE page_id % 3 = 0),
+req AS (SELECT DISTINCT {_ticker('p_partkey')} AS ticker FROM part WHERE p_partkey % 7 = 0)"""
+ORACLE["indicator_lookup"] = LOOKUP + """
+SELECT r.ticker, round(CASE WHEN c.ticker IS NOT NULL THEN c.vp ELSE i.vp END, 6) AS vp,
+       round(CASE WHEN c.ticker IS NOT NULL THEN c.dy ELSE i.dy END, 6) AS dy,
+       CASE WHEN c.ticker IS NOT NULL THEN 'cache' WHEN i.ticker IS NOT NULL THEN 'live' ELSE 'not_found' END AS source
+FROM req r LEFT JOIN cache c USING (ticker) LEFT JOIN ind i USING (ticker)"""
+ORACLE["indicator_not_found"] = LOOKUP + """
+SELECT ticker FROM req WHERE ticker NOT IN (SELECT ticker FROM ind)"""
+
+REFRESH = PAGES + f"""
+, rf AS (
+  SELECT {_ticker('page_id % 40')} AS ticker, page_id, vp, dy FROM (SELECT page_id, vp, dy FROM ind)),
+lkg AS (SELECT DISTINCT ON (ticker) ticker, page_id, vp, dy FROM rf ORDER BY ticker, page_id DESC)"""
+ORACLE["last_known_good"] = REFRESH + "\nSELECT ticker, round(vp, 6) AS vp, round(dy, 6) AS dy, page_id FROM lkg"
+ORACLE["cache_status"] = REFRESH + "\nSELECT count(DISTINCT ticker) AS cached_tickers FROM lkg"

@@ -236,3 +236,71 @@ def daily_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").where(F.col("event_type") == "signup")
     return ev.groupBy(F.to_date("ts").alias("rate_date")).agg(
         F.round(F.avg("value") / 1000, 4).alias("valor"))
+
+
+# ------------------------------------------------------------------- pages
+HOME_URL = "https://investidor10.com.br/"
+
+
+def _snippet(pid: Column) -> Column:
+    """Indicator markup by page_id % 6 (FIXTURES.md 2.7); v = 50 + id % 100,
+    y = 5 + id % 10. Quote card on pages with id % 4 != 3."""
+    v = (F.lit(50) + F.pmod(pid, F.lit(100))).cast("string")
+    v1 = (F.lit(51) + F.pmod(pid, F.lit(100))).cast("string")
+    v2 = (F.lit(52) + F.pmod(pid, F.lit(100))).cast("string")
+    y = (F.lit(5) + F.pmod(pid, F.lit(10))).cast("string")
+
+    def cell(val: Column) -> Column:
+        return F.concat(F.lit('<div class="cell"><div class="desc"><span>Valor Patrimonial p/ cota</span></div>'
+                              '<div class="value"><span>R$ '), val, F.lit(',34</span></div></div>'))
+    dy_card = F.concat(F.lit('<div class="_card dy"><div class="_card-header"><span>DY (12M)</span></div>'
+                             '<div class="_card-body"><span>'), y, F.lit(',06%</span></div></div>'))
+
+    def table(vp: Column | None) -> Column:
+        rows = [F.lit('<table id="table-indicators"><tr><th>Indicador</th><th>Valor</th></tr>')]
+        if vp is not None:
+            rows += [F.lit('<tr><td>Valor Patrimonial p/ Cota</td><td>R$ '), vp, F.lit(',34</td></tr>')]
+        rows += [F.lit('<tr><td>Dividend Yield</td><td>'), y, F.lit(',06%</td></tr></table>')]
+        return F.concat(*rows)
+    text_vp = F.concat(F.lit('<p>O VPA informado hoje: R$ '), v, F.lit(',34 por cota.</p>'))
+    quote = F.when(F.pmod(pid, F.lit(4)) != 3,
+                   F.concat(F.lit('<div class="_card cotacao"><div class="_card-body"><div class="value"><span>R$ '),
+                            v, F.lit(',50</span></div></div></div>'))).otherwise(F.lit(""))
+    m = F.pmod(pid, F.lit(6))
+    body = (F.when(m == 0, F.concat(cell(v), dy_card))
+            .when(m == 1, table(v))
+            .when(m == 2, F.concat(cell(v), cell(v1), table(v2)))
+            .when(m == 3, F.concat(table(None), text_vp))
+            .when(m == 4, text_vp)
+            .otherwise(F.lit("")))
+    return F.concat(body, quote)
+
+
+def indicator_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of the indicator site: ``(page_id, ticker, url, final_url,
+    status, ts, html)``. The snippet goes just before the first '</body>'
+    (or at the end). id % 6 == 5 -> 404; other ids % 13 == 0 redirect home."""
+    pg = table(spark, sf_dir, "pages")
+    pid = F.col("page_id")
+    html = F.col("html")
+    pos = F.instr(html, "</body>")
+    snip = _snippet(pid)
+    new_html = F.when(pos > 0, F.concat(F.substring(html, F.lit(1), pos - 1), snip, F.substring(html, pos, F.length(html))))\
+        .otherwise(F.concat(html, snip))
+    ticker = ticker_from_key(pid)
+    missing = F.pmod(pid, F.lit(6)) == 5
+    return pg.select(
+        pid, ticker.alias("ticker"),
+        F.concat(F.lit(HOME_URL), F.lit("fiis/"), F.lower(ticker), F.lit("/")).alias("url"),
+        F.when(~missing & (F.pmod(pid, F.lit(13)) == 0), F.lit(HOME_URL))
+         .otherwise(F.concat(F.lit(HOME_URL), F.lit("fiis/"), F.lower(ticker), F.lit("/"))).alias("final_url"),
+        F.when(missing, F.lit(404)).otherwise(F.lit(200)).alias("status"),
+        F.timestamp_add("HOUR", pid, F.lit("2024-01-01 00:00:00").cast("timestamp")).alias("ts"),
+        new_html.alias("html"))
+
+
+def refresh_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Refresh rounds (FIXTURES.md 2.8): the same pages, re-keyed to 40
+    tickers (page_id % 40), so each ticker is fetched several times."""
+    return (indicator_pages(spark, sf_dir)
+            .withColumn("ticker", ticker_from_key(F.pmod(F.col("page_id"), F.lit(40)))))
