@@ -57,6 +57,11 @@ def _py_float(s: Column) -> Column:
     return F.when(s.rlike(_FLOAT_GRAMMAR), F.coalesce(special, core.try_cast("double")))
 
 
+def to_number(c: Column) -> Column:
+    """Numeric text -> double with Python's float grammar, else null."""
+    return _py_float(c)
+
+
 def parse_or_zero(c: Column) -> Column:
     """N1 (dashboard parser): drop 'R$', '%', every U+0020 and every '.',
     then ',' -> '.'; failure or null -> 0.0. '8.50' becomes 850.0."""

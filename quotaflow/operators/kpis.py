@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quotaflow.functions import numeric as N
 from quotaflow.functions import text as T
 
 # Fixed fallbacks of the rate sources (must equal the reference's).
@@ -28,55 +29,51 @@ def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
             .drop(key))
 
 
-def compounded_rate(rates: DataFrame, n: int = INFLATION_WINDOW,
-                    default: float = INFLATION_FALLBACK) -> DataFrame:
-    """prod(1 + v/100) - 1 over the last ``n`` entries (by date) of a
-    percent series ``(rate_date, valor)``; ``default`` when the series is
-    empty. One row, column ``inflation``."""
-    w = Window.orderBy(F.col("rate_date").desc())
-    last = rates.where(F.col("valor").isNotNull()).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
-    return last.agg(
-        F.coalesce(F.product(1 + F.col("valor") / 100) - 1, F.lit(default)).alias("inflation"))
+def compounded_rate(entries: DataFrame, default: float = INFLATION_FALLBACK) -> DataFrame:
+    """prod(1 + v/100) - 1 over the given entries (S4's last 12 of the
+    series, ``valor`` null when not a number). The fallback ``default``
+    applies when there are no entries (the source failed) or any entry is
+    not a number (the reference's loop aborts). One row: ``inflation``."""
+    agg = entries.agg(F.product(1 + F.col("valor") / 100).alias("p"),
+                      F.count(F.lit(1)).alias("n"), F.count("valor").alias("n_num"))
+    ok = (F.col("n") > 0) & (F.col("n") == F.col("n_num"))
+    return agg.select(F.when(ok, F.col("p") - 1).otherwise(F.lit(default)).alias("inflation"))
 
 
-def reference_rate(named: DataFrame | None, series: DataFrame | None,
+def reference_rate(named_hit: DataFrame | None, series_last: DataFrame | None,
                    default: float = REFERENCE_RATE_FALLBACK, override: float | None = None) -> DataFrame:
-    """First named entry (in order) whose upper-cased name contains SELIC
-    and whose value is a number, /100; else the last series entry /100; else
-    ``default``. ``override`` > 0 wins. One row: ``official_rate``, ``used_rate``.
-
-    ``named``: (pos, nome string, valor double-or-null); ``series``:
-    (rate_date, valor)."""
+    """The named-rate hit (S5, one row ``rate``), else the last entry of
+    the series (one row ``valor`` percent, null when not a number) / 100,
+    else ``default``; an ``override`` > 0 becomes the used rate. One row:
+    ``official_rate``, ``used_rate``."""
     parts = []
-    if named is not None:
-        hit = named.where(F.upper(F.col("nome")).contains(REFERENCE_RATE_NAME) & F.col("valor").isNotNull())
-        parts.append(hit.agg(F.min_by(F.col("valor") / 100, F.col("pos")).alias("r")))
-    if series is not None:
-        parts.append(series.where(F.col("valor").isNotNull())
-                     .agg(F.max_by(F.col("valor") / 100, F.col("rate_date")).alias("r")))
-    cols = []
-    for i, p in enumerate(parts):
-        cols.append(p.withColumnRenamed("r", f"r{i}"))
-    out = cols[0] if cols else None
-    for extra in cols[1:]:
-        out = attach_scalars(out, extra)
-    if out is None:
+    if named_hit is not None:
+        parts.append(named_hit.select(F.col("rate").alias("r0")))
+    if series_last is not None:
+        last = series_last.agg(F.max_by(F.col("valor"), F.col("rate_date")).alias("v"))
+        parts.append(last.select((F.col("v") / 100).alias(f"r{len(parts)}")))
+    if not parts:
         raise ValueError("reference_rate needs at least one source")
-    official = F.coalesce(*[F.col(f"r{i}") for i in range(len(cols))], F.lit(default))
+    out = parts[0]
+    for extra in parts[1:]:
+        out = attach_scalars(out, extra)
+    official = F.coalesce(*[F.col(f"r{i}") for i in range(len(parts))], F.lit(default))
     used = F.lit(float(override)) if override and override > 0 else official
     return out.select(official.alias("official_rate"), used.alias("used_rate"))
 
 
 def portfolio_kpis(positions: DataFrame, scalars: DataFrame, income_goal: float) -> DataFrame:
     """A1-A5 per portfolio. ``scalars`` is one row with ``inflation``,
-    ``official_rate`` and ``used_rate``."""
+    ``official_rate`` and ``used_rate`` (a global aggregate, attached by an
+    equi-join to a one-row broadcast side). Money totals are exact
+    fixed-point sums."""
     v = F.col("market_value")
     agg = positions.groupBy("portfolio_id").agg(
-        F.sum(v).alias("total_value"),
-        F.sum("monthly_income").alias("monthly_income"),
-        F.sum("invested").alias("total_invested"),
-        F.coalesce(F.sum(F.when(F.col("asset_type") == "FII", v)), F.lit(0.0)).alias("funds_value"),
-        F.coalesce(F.sum(F.when(F.col("asset_type") == "Ação", v)), F.lit(0.0)).alias("stocks_value"),
+        N.exact_money_sum(v).alias("total_value"),
+        N.exact_money_sum(F.col("monthly_income")).alias("monthly_income"),
+        N.exact_money_sum(F.col("invested")).alias("total_invested"),
+        N.exact_money_sum(F.when(F.col("asset_type") == "FII", v)).alias("funds_value"),
+        N.exact_money_sum(F.when(F.col("asset_type") == "Ação", v)).alias("stocks_value"),
     )
     k = attach_scalars(agg, scalars)
     total, income, invested, infl = (F.col("total_value"), F.col("monthly_income"),

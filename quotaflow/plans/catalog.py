@@ -9,13 +9,18 @@ order.
 from __future__ import annotations
 
 import datetime
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotaflow.operators import agenda as A
+from quotaflow.functions import dates as D
 from quotaflow.operators import exposure as X
+from quotaflow.operators import report as R
+from quotaflow.session import scratch_path
+from quotaflow.sources import sheets as SH
 from quotaflow.operators import indicators as H
 from quotaflow.operators import kpis as K2
 from quotaflow.operators import series as S
@@ -399,3 +404,227 @@ def q_last_known_good(spark, sf):
 def q_cache_status(spark, sf):
     found = H.indicators(H.extract(FX.refresh_pages(spark, sf)))
     return H.cache_status(H.latest(found))
+
+
+# -------------------------------------------------------------- rates, KPIs
+def _payloads(spark, sf, series):
+    return FX.rate_payloads(spark, sf).where(F.col("series_id") == series)
+
+
+def _scalars(spark, sf, override=None):
+    """One row: inflation (A6 over IPCA), official and used rate."""
+    infl = K2.compounded_rate(SH.last_entries(_payloads(spark, sf, "IPCA"), K2.INFLATION_WINDOW))
+    named = SH.named_rate(SH.named_rates(FX.named_rate_payload(spark, sf)))
+    series_last = SH.last_entries(_payloads(spark, sf, "SELIC"), 1)
+    rate = K2.reference_rate(named, series_last, override=override)
+    return K2.attach_scalars(infl, rate)
+
+
+@register("rate_series")
+def q_rate_series(spark, sf):
+    return rounded(SH.rate_series(FX.rate_payloads(spark, sf), last_n=20))
+
+
+@register("named_rate")
+def q_named_rate(spark, sf):
+    return rounded(SH.named_rate(SH.named_rates(FX.named_rate_payload(spark, sf))))
+
+
+@register("compounded_rate")
+def q_compounded_rate(spark, sf):
+    return rounded(K2.compounded_rate(SH.last_entries(_payloads(spark, sf, "IPCA"), K2.INFLATION_WINDOW)))
+
+
+@register("reference_rate")
+def q_reference_rate(spark, sf):
+    return rounded(_scalars(spark, sf).select("official_rate", "used_rate"))
+
+
+def _kpis(spark, sf):
+    return K2.portfolio_kpis(positions(spark, sf), _scalars(spark, sf), DEFAULT_RUN.income_goal)
+
+
+KPI_MONEY = {"total_invested", "monthly_income", "funds_value", "stocks_value", "variable_income_value",
+             "other_value", "upkeep", "real_income", "inflation_cost", "return_value"}
+
+
+@register("portfolio_kpis")
+def q_portfolio_kpis(spark, sf):
+    return rounded(_kpis(spark, sf).select(
+        "portfolio_id", "total_value", "total_invested", "monthly_income", "funds_value", "stocks_value",
+        "variable_income_value", "other_value", "variable_share", "other_share", "return_value", "return_pct",
+        "return_class"), KPI_MONEY)
+
+
+@register("real_income")
+def q_real_income(spark, sf):
+    return rounded(_kpis(spark, sf).select(
+        "portfolio_id", "inflation", "monthly_inflation", "upkeep", "real_income", "nominal_yield",
+        "real_yield", "inflation_cost"), KPI_MONEY)
+
+
+@register("goal_progress")
+def q_goal_progress(spark, sf):
+    return rounded(_kpis(spark, sf).select("portfolio_id", "real_income", "goal_progress", "goal_bar"), KPI_MONEY)
+
+
+@register("masked_kpis")
+def q_masked_kpis(spark, sf):
+    k = _kpis(spark, sf)
+    return K2.masked_kpis(k, False).unionByName(K2.masked_kpis(k, True).withColumn(
+        "portfolio_id", -F.col("portfolio_id")))
+
+
+@register("rate_delta_label")
+def q_rate_delta_label(spark, sf):
+    """N23 on a per-portfolio used rate: official + (id % 3 - 1) / 100."""
+    k = _kpis(spark, sf)
+    used = F.col("official_rate") + (F.col("portfolio_id") % 3 - 1) / 100.0
+    text, cls = T.rate_delta_label(used, F.col("official_rate"))
+    return k.select("portfolio_id", text.alias("rate_delta_text"), cls.alias("rate_delta_class"))
+
+
+# ---------------------------------------------------------- sources, report
+@register("source_locator")
+def q_source_locator(spark, sf):
+    """S3 over sheet links derived from every page URL."""
+    pg = FX.table(spark, sf, "pages")
+    key = F.substring(F.sha2(F.col("url"), 256), 1, 20)
+    m = F.col("page_id") % 5
+    link = (F.when(m == 0, F.concat(F.lit("https://docs.google.com/spreadsheets/d/"), key, F.lit("/edit#gid="),
+                                    F.col("page_id").cast("string")))
+            .when(m == 1, F.concat(F.lit("https://docs.google.com/spreadsheets/d/e/"), key, F.lit("/pubhtml?gid=7")))
+            .when(m == 2, F.concat(F.lit("https://docs.google.com/spreadsheets/d/e/"), key))
+            .when(m == 3, F.col("url"))
+            .otherwise(F.lit("")))
+    loc = SH.locate(link)
+    return pg.select("page_id", loc["doc_id"].alias("doc_id"), loc["tab_id"].alias("tab_id"))
+
+
+SNAP_TS = datetime.datetime(2024, 6, 15, 8, 30, 0)
+
+
+def _snapshot(spark, sf):
+    """Write two snapshots (an older one with values x 0.9) into a fresh
+    folder under the shared checkpoint directory; return the latest read."""
+    path = scratch_path(spark, f"snapshot-{uuid.uuid4().hex}")
+    pos = positions(spark, sf)
+    k = _kpis(spark, sf)
+    older = pos.withColumn("market_value", F.col("market_value") * 0.9)
+    SH.write_snapshot(older, k.withColumn("total_value", F.col("total_value") * 0.9), path,
+                      SNAP_TS - datetime.timedelta(days=1))
+    SH.write_snapshot(pos, k, path, SNAP_TS)
+    return SH.read_latest_snapshot(spark, path)
+
+
+@register("snapshot_roundtrip")
+def q_snapshot_roundtrip(spark, sf):
+    _, p = _snapshot(spark, sf)
+    return rounded(p.select("portfolio_id", *SH.SNAPSHOT_COLUMNS))
+
+
+@register("snapshot_latest")
+def q_snapshot_latest(spark, sf):
+    t, _ = _snapshot(spark, sf)
+    return rounded(t.select("portfolio_id", "total_value", "total_invested",
+                            F.date_format("snapshot_ts", "yyyy-MM-dd HH:mm:ss").alias("snapshot_ts")),
+                   {"total_invested"})
+
+
+@register("morning_report")
+def q_morning_report(spark, sf):
+    t, _ = _snapshot(spark, sf)
+    return rounded(R.morning_row(t), {"total_invested", "profit"})
+
+
+@register("report_context")
+def q_report_context(spark, sf):
+    t, p = _snapshot(spark, sf)
+    return R.context(p, t)
+
+
+# --------------------------------------------------------- scalar functions
+@register("parse_to_f")
+def q_parse_to_f(spark, sf):
+    s = FX.fund_sheet(spark, sf)
+    return rounded(s.select("portfolio_id", "row_idx", T.parse_or_zero(F.col("_c5")).alias("quantity"),
+                            T.parse_or_zero(F.col("_c8")).alias("price"),
+                            T.parse_or_zero(F.col("_c11")).alias("book_value"),
+                            T.parse_or_zero(F.col("_c17")).alias("dy_raw")), {"dy_raw"})
+
+
+@register("parse_nullable")
+def q_parse_nullable(spark, sf):
+    s = FX.fund_sheet(spark, sf)
+    return rounded(s.select("portfolio_id", "row_idx", T.parse_or_null(F.col("_c11")).alias("book_value"),
+                            T.parse_or_null(F.col("_c9")).alias("avg_cost")))
+
+
+@register("scale_dy")
+def q_scale_dy(spark, sf):
+    s = FX.fund_sheet(spark, sf)
+    return rounded(s.select("portfolio_id", "row_idx", T.scale_dy(T.parse_or_zero(F.col("_c17"))).alias("dy_12m")))
+
+
+@register("fmt_currency")
+def q_fmt_currency(spark, sf):
+    return positions(spark, sf).select("portfolio_id", "ticker", "asset_type",
+                                       T.fmt_currency(F.col("market_value")).alias("value_text"))
+
+
+@register("fmt_percent")
+def q_fmt_percent(spark, sf):
+    return positions(spark, sf).select("portfolio_id", "ticker", "asset_type",
+                                       T.fmt_percent(F.col("dy_12m")).alias("dy_text"))
+
+
+@register("valid_ticker")
+def q_valid_ticker(spark, sf):
+    s = FX.fund_sheet(spark, sf)
+    return s.select("portfolio_id", "row_idx", T.is_valid_ticker(T.clean_key(F.col("_c0"))).alias("valid"))
+
+
+@register("normalize_sector")
+def q_normalize_sector(spark, sf):
+    return positions(spark, sf).select("portfolio_id", "ticker", "asset_type",
+                                       T.normalize_sector(F.col("sector")).alias("sector_norm"))
+
+
+@register("resolve_ex_date")
+def q_resolve_ex_date(spark, sf):
+    f = P.fund_positions(FX.fund_sheet(spark, sf))
+    return D.with_ex_date(f, "ex_date_text", DEFAULT_RUN.reference_date, "ex_date").select(
+        "portfolio_id", "row_idx", "ex_date")
+
+
+@register("nth_business_day")
+def q_nth_business_day(spark, sf):
+    """N12 for every part: month 2024-01 + k % 24, N = k % 25 (0 -> null)."""
+    k = F.col("p_partkey")
+    m0 = F.add_months(F.lit("2024-01-01").cast("date"), (k % 24).cast("int"))
+    return FX.table(spark, sf, "part").select(k.alias("k"), m0.alias("month_start"), (k % 25).cast("int").alias("n"),
+                                              D.nth_business_day(m0, (k % 25).cast("int")).alias("business_day"))
+
+
+@register("last_business_day")
+def q_last_business_day(spark, sf):
+    """N13 for every month with orders."""
+    m0 = F.trunc(F.to_date("o_orderdate"), "month")
+    return (FX.table(spark, sf, "orders").select(m0.alias("month_start")).distinct()
+            .select("month_start", D.last_business_day(F.col("month_start")).alias("last_business_day")))
+
+
+@register("month_label")
+def q_month_label(spark, sf):
+    """N14 for every month with orders."""
+    m0 = F.trunc(F.to_date("o_orderdate"), "month")
+    return (FX.table(spark, sf, "orders").select(m0.alias("month_start")).distinct()
+            .select("month_start", T.month_label(F.col("month_start")).alias("label")))
+
+
+@register("strip_fences")
+def q_strip_fences(spark, sf):
+    """N21 on whole document texts wrapped in fences."""
+    docs = FX.table(spark, sf, "documents")
+    s = T.strip_fences(F.concat(F.lit("```html\n"), F.col("text"), F.lit("\n```")))
+    return docs.select("doc_id", F.length(s).cast("bigint").alias("n_chars"), F.sha2(s, 256).alias("digest"))

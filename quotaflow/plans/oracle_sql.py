@@ -513,3 +513,200 @@ REFRESH = PAGES + f"""
 lkg AS (SELECT DISTINCT ON (ticker) ticker, page_id, vp, dy FROM rf ORDER BY ticker, page_id DESC)"""
 ORACLE["last_known_good"] = REFRESH + "\nSELECT ticker, round(vp, 6) AS vp, round(dy, 6) AS dy, page_id FROM lkg"
 ORACLE["cache_status"] = REFRESH + "\nSELECT count(DISTINCT ticker) AS cached_tickers FROM lkg"
+
+# -------------------------------------------------------------- rates, KPIs
+# Rate entries straight from events (no JSON round trip).
+ENTRIES = """
+ev AS (SELECT CAST(ts AS DATE) AS d, event_type, value FROM events),
+cc AS (SELECT event_type, d, sum(CAST(round(value * 100) AS BIGINT)) AS s, count(*) AS n FROM ev GROUP BY 1, 2),
+ent AS (
+  SELECT 'CDI' AS series_id, d, CASE WHEN day(d) % 11 = 0 THEN NULL ELSE floor((2 * s + n) / (2 * n)) / 100000.0 END AS valor
+  FROM cc WHERE event_type = 'signup'
+  UNION ALL SELECT 'IPCA', d, floor((2 * s + n) / (2 * n)) / 10000.0 FROM cc WHERE event_type = 'purchase'
+  UNION ALL SELECT 'SELIC', d, floor((2 * s + n) / (2 * n)) / 1000.0 FROM cc WHERE event_type = 'view'),
+ipca AS (SELECT valor FROM ent WHERE series_id = 'IPCA' ORDER BY d DESC LIMIT 12),
+infl AS (SELECT CASE WHEN count(*) = count(valor) AND count(*) > 0 THEN product(1 + valor / 100) - 1 ELSE 0.045 END
+                AS inflation FROM ipca),
+selic AS (
+  SELECT floor((2 * sum(CAST(round(value * 100) AS BIGINT)) + count(*)) / (2 * count(*))) / 1000.0 / 100 AS official_rate
+  FROM events WHERE event_type = 'signup'),
+sc AS (SELECT inflation, official_rate, official_rate AS used_rate FROM infl, selic)"""
+
+ORACLE["rate_series"] = "WITH" + ENTRIES + """
+SELECT series_id, d AS rate_date, round(valor, 6) AS valor FROM (
+  SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY d DESC) AS rn FROM ent)
+WHERE rn <= 20 AND valor IS NOT NULL"""
+
+ORACLE["named_rate"] = "WITH" + ENTRIES + "\nSELECT round(official_rate, 6) AS rate FROM selic"
+ORACLE["compounded_rate"] = "WITH" + ENTRIES + "\nSELECT round(inflation, 6) AS inflation FROM infl"
+ORACLE["reference_rate"] = "WITH" + ENTRIES + "\nSELECT round(official_rate, 6) AS official_rate, round(used_rate, 6) AS used_rate FROM sc"
+
+
+def _dsum(expr: str) -> str:
+    return f"CAST(sum(CAST({expr} AS DECIMAL(18, 4))) AS DOUBLE)"
+
+
+KPIS = BASE + "," + ENTRIES + f"""
+, ka AS (
+  SELECT portfolio_id, {_dsum('market_value')} AS total_value, {_dsum('monthly_income')} AS monthly_income,
+         {_dsum('invested')} AS total_invested,
+         coalesce({_dsum("CASE WHEN asset_type = 'FII' THEN market_value END")}, 0.0) AS funds_value,
+         coalesce({_dsum("CASE WHEN asset_type = 'Ação' THEN market_value END")}, 0.0) AS stocks_value
+  FROM pos GROUP BY 1),
+kb AS (
+  SELECT ka.*, sc.*, funds_value + stocks_value AS variable_income_value,
+         greatest(total_value - (funds_value + stocks_value), 0.0) AS other_value,
+         pow(1 + inflation, 1.0 / 12) - 1 AS monthly_inflation,
+         CASE WHEN total_value > 0 THEN monthly_income * 12 / total_value ELSE 0.0 END AS nominal_yield
+  FROM ka, sc),
+kpi AS (
+  SELECT *, total_value * monthly_inflation AS upkeep,
+         monthly_income - total_value * monthly_inflation AS real_income,
+         total_value - total_invested AS return_value
+  FROM kb)"""
+
+ORACLE["portfolio_kpis"] = KPIS + """
+SELECT portfolio_id, round(total_value, 4) AS total_value, round(total_invested, 4) AS total_invested,
+       round(monthly_income, 4) AS monthly_income, round(funds_value, 4) AS funds_value,
+       round(stocks_value, 4) AS stocks_value, round(variable_income_value, 4) AS variable_income_value,
+       round(other_value, 4) AS other_value,
+       round(CASE WHEN total_value > 0 THEN variable_income_value / total_value ELSE 0.0 END, 6) AS variable_share,
+       round(CASE WHEN total_value > 0 THEN other_value / total_value ELSE 0.0 END, 6) AS other_share,
+       round(return_value, 4) AS return_value,
+       round(CASE WHEN total_invested > 0 THEN return_value / total_invested ELSE 0.0 END, 6) AS return_pct,
+       CASE WHEN return_value >= 0 THEN 'pos' ELSE 'neg' END AS return_class
+FROM kpi"""
+
+ORACLE["real_income"] = KPIS + """
+SELECT portfolio_id, round(inflation, 6) AS inflation, round(monthly_inflation, 6) AS monthly_inflation,
+       round(upkeep, 4) AS upkeep, round(real_income, 4) AS real_income, round(nominal_yield, 6) AS nominal_yield,
+       round((1 + nominal_yield) / (1 + inflation) - 1, 6) AS real_yield,
+       round(monthly_income - real_income, 4) AS inflation_cost
+FROM kpi"""
+
+ORACLE["goal_progress"] = KPIS + """
+SELECT portfolio_id, round(real_income, 4) AS real_income, round(greatest(0.0, real_income / 10000.0), 6) AS goal_progress,
+       round(least(greatest(0.0, real_income / 10000.0), 1.0), 6) AS goal_bar
+FROM kpi"""
+
+
+def _brl(x: str) -> str:
+    return f"'R$ ' || translate(format('{{:,.2f}}', {x}), ',.', '.,')"
+
+
+def _pct(x: str) -> str:
+    return f"replace(format('{{:.2f}}', ({x}) * 100), '.', ',') || '%'"
+
+
+ORACLE["masked_kpis"] = KPIS + f"""
+SELECT portfolio_id, {_brl('total_value')} AS total_value_text, {_brl('total_invested')} AS invested_text,
+       {_brl('monthly_income')} AS income_text, {_brl('return_value')} AS return_text,
+       {_pct("CASE WHEN total_invested > 0 THEN return_value / total_invested ELSE 0.0 END")} AS return_pct_text,
+       {_brl('upkeep')} AS upkeep_text, {_pct('used_rate')} AS rate_text
+FROM kpi
+UNION ALL
+SELECT -portfolio_id, '••••••', '••••••', '••••••', '••••••', '••••••', '••••••', {_pct('used_rate')} FROM kpi"""
+
+ORACLE["rate_delta_label"] = KPIS + f"""
+, dl AS (SELECT portfolio_id, (official_rate + (portfolio_id % 3 - 1) / 100.0) - official_rate AS d FROM kpi)
+SELECT portfolio_id,
+       CASE WHEN abs(d) < 1e-6 THEN 'Oficial' ELSE (CASE WHEN d > 0 THEN '+' ELSE '' END) || {_pct('d')} || ' vs oficial' END
+         AS rate_delta_text,
+       CASE WHEN abs(d) < 1e-6 THEN 'neu' WHEN d > 0 THEN 'pos' ELSE 'neg' END AS rate_delta_class
+FROM dl"""
+
+# ---------------------------------------------------------- sources, report
+ORACLE["source_locator"] = """
+WITH l AS (SELECT page_id, url, substr(sha256(url), 1, 20) AS key FROM pages)
+SELECT page_id,
+       CASE page_id % 5 WHEN 0 THEN key WHEN 1 THEN key WHEN 2 THEN key WHEN 3 THEN url ELSE NULL END AS doc_id,
+       CAST(CASE page_id % 5 WHEN 0 THEN page_id WHEN 1 THEN 7 END AS BIGINT) AS tab_id
+FROM l"""
+
+ORACLE["snapshot_roundtrip"] = BASE + """
+SELECT portfolio_id, ticker, asset_type, round(price, 4) AS price, round(market_value, 4) AS market_value,
+       round(price_to_book, 6) AS price_to_book, round(dy_12m, 6) AS dy_12m, sector FROM pos"""
+
+ORACLE["snapshot_latest"] = KPIS + """
+SELECT portfolio_id, round(total_value, 4) AS total_value, round(total_invested, 4) AS total_invested,
+       '2024-06-15 08:30:00' AS snapshot_ts FROM kpi"""
+
+ORACLE["morning_report"] = KPIS + f"""
+SELECT portfolio_id, round(total_value, 4) AS total_value, round(total_invested, 4) AS total_invested,
+       round(total_value - total_invested, 4) AS profit,
+       CASE WHEN total_value - total_invested >= 0 THEN 'green' ELSE 'red' END AS color,
+       {_brl('total_value')} AS value_text, {_brl('total_invested')} AS invested_text,
+       {_brl('total_value - total_invested')} AS profit_text, '📊 Morning Call: ' || {_brl('total_value')} AS subject,
+       '15/06/2024 08:30:00' AS data_date
+FROM kpi"""
+
+ORACLE["report_context"] = KPIS + """
+, t AS (
+  SELECT portfolio_id, row_number() OVER (PARTITION BY portfolio_id ORDER BY market_value DESC, ticker) AS rk,
+         ticker || ',' || asset_type || ',' || CAST(price AS VARCHAR) || ',' || CAST(price_to_book AS VARCHAR) || ','
+           || CAST(dy_12m AS VARCHAR) AS line
+  FROM pos),
+c AS (SELECT portfolio_id, string_agg(line, chr(10) ORDER BY rk) AS body FROM t WHERE rk <= 15 GROUP BY 1)
+SELECT c.portfolio_id,
+       'Ativo,Tipo,Preço Atual,P/VP,DY (12m)' || chr(10) || body || chr(10)
+       || 'Patrimônio: R$ ' || printf('%.2f', k.total_value) || chr(10)
+       || 'Investido: R$ ' || printf('%.2f', k.total_invested) || chr(10)
+       || 'Resultado: R$ ' || printf('%.2f', k.total_value - k.total_invested) AS context
+FROM c JOIN kpi k USING (portfolio_id)"""
+
+# --------------------------------------------------------- scalar functions
+SHEET = with_ctes(FIXTURE, FUND_ROWS)
+ORACLE["parse_to_f"] = SHEET + """
+SELECT portfolio_id, row_idx, round(quantity, 4) AS quantity, round(price, 4) AS price,
+       round(book_value, 4) AS book_value, round(CAST(f.dy_hund AS DOUBLE) / 100, 4) AS dy_raw
+FROM fund JOIN (SELECT k, dy_hund FROM pstat) f ON f.k = fund.row_idx % 1000000000"""
+ORACLE["parse_nullable"] = SHEET + """
+SELECT portfolio_id, row_idx, round(CASE WHEN book_value > 0 THEN book_value END, 4) AS book_value,
+       round(avg_cost, 4) AS avg_cost FROM fund"""
+ORACLE["scale_dy"] = SHEET + "\nSELECT portfolio_id, row_idx, round(dy_12m, 6) AS dy_12m FROM fund"
+ORACLE["fmt_currency"] = BASE + f"\nSELECT portfolio_id, ticker, asset_type, {_brl('market_value')} AS value_text FROM pos"
+ORACLE["fmt_percent"] = BASE + f"\nSELECT portfolio_id, ticker, asset_type, {_pct('dy_12m')} AS dy_text FROM pos"
+ORACLE["valid_ticker"] = SHEET + "\nSELECT portfolio_id, row_idx, regexp_matches(ticker, '^[A-Z]{4}11[B]?$') AS valid FROM fund"
+ORACLE["normalize_sector"] = BASE + """
+SELECT portfolio_id, ticker, asset_type, upper(trim(strip_accents(sector))) AS sector_norm FROM pos"""
+ORACLE["resolve_ex_date"] = BASE + AGENDA + """
+, allf AS (SELECT portfolio_id, row_idx, row_idx % 1000000000 AS k,
+                  DATE '2024-06-01' + CAST((row_idx % 1000000000) % 90 AS INTEGER) AS d0 FROM fund)
+SELECT portfolio_id, row_idx,
+  CASE k % 6 WHEN 0 THEN d0 WHEN 5 THEN d0
+    WHEN 1 THEN CASE WHEN d0 < DATE '2024-06-15' THEN CAST(d0 + INTERVAL 1 YEAR AS DATE) ELSE d0 END
+    WHEN 2 THEN (SELECT bd.d FROM bd WHERE bd.n = CASE WHEN isodow(DATE '2024-06-01') > 5
+                                                    THEN greatest(allf.k % 22, 1) ELSE allf.k % 22 + 1 END)
+    WHEN 3 THEN (SELECT max(bd.d) FROM bd WHERE month(bd.d) = 6) END AS ex_date
+FROM allf"""
+
+ORACLE["nth_business_day"] = """
+WITH cal AS (
+  SELECT CAST(d AS DATE) AS d FROM range(TIMESTAMP '2024-01-01', TIMESTAMP '2026-03-01', INTERVAL 1 DAY) t(d)),
+m AS (SELECT p_partkey AS k, CAST(DATE '2024-01-01' + to_months(CAST(p_partkey % 24 AS INTEGER)) AS DATE) AS m0,
+             CAST(p_partkey % 25 AS INTEGER) AS n FROM part),
+bdays AS (
+  SELECT m.k, c.d, row_number() OVER (PARTITION BY m.k ORDER BY c.d) AS i
+  FROM m JOIN cal c ON c.d >= m.m0 AND c.d < m.m0 + INTERVAL 45 DAY AND isodow(c.d) <= 5)
+SELECT m.k, m.m0 AS month_start, m.n,
+       (SELECT b.d FROM bdays b WHERE b.k = m.k AND b.i = CASE WHEN isodow(m.m0) > 5 THEN greatest(m.n - 1, 1) ELSE m.n END
+        AND m.n >= 1) AS business_day
+FROM m"""
+
+ORACLE["last_business_day"] = """
+WITH mm AS (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS m0 FROM orders),
+cal AS (SELECT m0, CAST(m0 + to_days(CAST(i AS INTEGER)) AS DATE) AS d
+        FROM mm, range(0, 31) r(i))
+SELECT m0 AS month_start, max(d) AS last_business_day FROM cal
+WHERE month(d) = month(m0) AND isodow(d) <= 5 GROUP BY 1"""
+
+ORACLE["month_label"] = """
+SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS month_start,
+       ['Janeiro', 'Fevereiro', 'Março', 'Abril', 'Maio', 'Junho', 'Julho', 'Agosto', 'Setembro', 'Outubro',
+        'Novembro', 'Dezembro'][month(o_orderdate)] || ' / ' || CAST(year(o_orderdate) AS VARCHAR) AS label
+FROM orders"""
+
+ORACLE["strip_fences"] = """
+SELECT doc_id, CAST(length(s) AS BIGINT) AS n_chars, sha256(s) AS digest FROM (
+  SELECT doc_id, replace(replace('```html' || chr(10) || text || chr(10) || '```', '```html', ''), '```', '') AS s
+  FROM documents)"""

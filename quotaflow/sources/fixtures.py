@@ -304,3 +304,55 @@ def refresh_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     tickers (page_id % 40), so each ticker is fetched several times."""
     return (indicator_pages(spark, sf_dir)
             .withColumn("ticker", ticker_from_key(F.pmod(F.col("page_id"), F.lit(40)))))
+
+
+# Fixed fixture rule: series id -> (event type, divisor of the average in
+# cents); CDI values on days d % 11 == 0 are published as 'n/d'.
+RATE_SOURCES = {"CDI": ("signup", 100000), "IPCA": ("purchase", 10000), "SELIC": ("view", 1000)}
+# Named-rate list: event type -> name; the 'purchase' entry carries its value as text.
+NAMED_RATES = {"click": "IPCA", "error": "TR", "purchase": "SELIC meta", "signup": "Selic", "view": "CDI"}
+
+
+def rate_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily rate entries ``(series_id, d, valor_text)`` before packing."""
+    ev = table(spark, sf_dir, "events").select(F.to_date("ts").alias("d"), "event_type", "value")
+    cents = ev.groupBy("event_type", "d").agg(F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("s"),
+                                             F.count(F.lit(1)).alias("n"))
+    parts = []
+    for sid, (etype, div) in RATE_SOURCES.items():
+        v = F.floor((F.col("s") * 2 + F.col("n")) / (F.col("n") * 2)) / float(div)
+        text = v.cast("string")
+        if sid == "CDI":
+            text = F.when(F.dayofmonth("d") % 11 == 0, F.lit("n/d")).otherwise(text)
+        parts.append(cents.where(F.col("event_type") == etype).select(F.lit(sid).alias("series_id"), "d",
+                                                                      text.alias("valor_text")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def rate_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate-series payloads ``(series_id, payload)``: one JSON array of
+    ``{data, valor}`` per series and week, as the rate service returns them."""
+    e = rate_entries(spark, sf_dir)
+    week = F.floor(F.datediff("d", F.lit("2024-01-01").cast("date")) / 7)
+    item = F.struct(F.date_format("d", "dd/MM/yyyy").alias("data"), F.col("valor_text").alias("valor"))
+    return e.groupBy("series_id", week.alias("week")).agg(F.to_json(F.collect_list(item)).alias("payload")) \
+        .select("series_id", "payload")
+
+
+def named_rate_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON array of ``{nome, valor}``, one entry per event type in name
+    order; valor = average value in cents / 1000 (a number, or text for the
+    'purchase' entry)."""
+    ev = table(spark, sf_dir, "events")
+    agg = ev.groupBy("event_type").agg(F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("s"),
+                                       F.count(F.lit(1)).alias("n"))
+    v = (F.floor((F.col("s") * 2 + F.col("n")) / (F.col("n") * 2)) / 1000.0).cast("string")
+    name = F.create_map(*[x for kv in NAMED_RATES.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
+    valor = F.when(F.col("event_type") == "purchase", F.concat(F.lit('"'), v, F.lit('"'))).otherwise(v)
+    item = F.concat(F.lit('{"nome": "'), F.element_at(name, F.col("event_type")), F.lit('", "valor": '), valor, F.lit("}"))
+    items = F.array_sort(F.collect_list(F.struct(F.col("event_type"), item.alias("item"))))
+    return agg.agg(F.concat(F.lit("["), F.array_join(F.transform(items, lambda x: x["item"]), ", "), F.lit("]"))
+                   .alias("payload"))
