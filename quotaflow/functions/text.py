@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # --------------------------------------------------------------------------
@@ -36,25 +36,27 @@ STOCK_LINK_BASE = "https://investidor10.com.br/acoes/"
 # --------------------------------------------------------------------------
 
 _WS = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"  # Python str.isspace()
-_DIGITS = r"\d(?:_?\d)*"
-_FLOAT_GRAMMAR = (
-    rf"^{_WS}*[+-]?(?:(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?"
-    rf"|(?i:nan|inf|infinity)){_WS}*$"
-)
+_STRIP = rf"^{_WS}+|{_WS}+$"
+_D = r"\d+(?:_\d+)*"
+# Python float() grammar: optional blanks around, underscores only between
+# digits, nan/inf/infinity in any case.
+_FLOAT_GRAMMAR = (rf"^{_WS}*[+-]?(?:(?:{_D}(?:\.(?:{_D})?)?|\.{_D})(?:[eE][+-]?{_D})?|(?i:nan|inf|infinity)){_WS}*$")
+# Characters Spark's cast does not already ignore at the ends (it trims
+# ASCII blanks and control characters): underscores and non-ASCII blanks.
+_NEEDS_CLEANUP = r"[_\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
 def _py_float(s: Column) -> Column:
     """Python ``float(s)`` semantics: a double when ``s`` is in Python's
-    float grammar (underscores between digits, nan/inf, surrounding
-    whitespace), else null. Spark's cast alone would accept '12d'/'12f'."""
-    core = F.regexp_replace(F.regexp_replace(s, rf"^{_WS}+|{_WS}+$", ""), "_", "")
-    low = F.lower(core)
-    special = (
-        F.when(low.isin("nan", "+nan", "-nan"), F.lit(float("nan")))
-        .when(low.isin("inf", "+inf", "infinity", "+infinity"), F.lit(float("inf")))
-        .when(low.isin("-inf", "-infinity"), F.lit(float("-inf")))
-    )
-    return F.when(s.rlike(_FLOAT_GRAMMAR), F.coalesce(special, core.try_cast("double")))
+    float grammar, else null. Spark's cast alone would accept '12d'/'12f'.
+
+    One ``rlike`` validates; the cast reads the text directly unless it
+    holds an underscore or a non-ASCII blank (then one regex removes them),
+    so the common case runs no ``regexp_replace``."""
+    core = F.when(s.rlike(_NEEDS_CLEANUP), F.regexp_replace(s, rf"{_STRIP}|(?<=\d)_(?=\d)", "")).otherwise(s)
+    signed_nan = F.lower(F.trim(s)).isin("+nan", "-nan")
+    return F.when(s.rlike(_FLOAT_GRAMMAR),
+                  F.when(signed_nan, F.lit(float("nan"))).otherwise(core.try_cast("double")))
 
 
 def to_number(c: Column) -> Column:
@@ -65,35 +67,56 @@ def to_number(c: Column) -> Column:
 def parse_or_zero(c: Column) -> Column:
     """N1 (dashboard parser): drop 'R$', '%', every U+0020 and every '.',
     then ',' -> '.'; failure or null -> 0.0. '8.50' becomes 850.0."""
-    s = F.translate(F.regexp_replace(F.regexp_replace(c, r"R\$", ""), "[% .]", ""), ",", ".")
+    s = F.translate(F.replace(c, F.lit("R$"), F.lit("")), ",% .", ".")
     return F.coalesce(_py_float(s), F.lit(0.0))
 
 
 def parse_or_null(c: Column) -> Column:
     """N3 (indicator parser): null/'' -> null; drop 'R$', '%', strip ends,
     drop '.', ',' -> '.'; failure -> null (inner blanks fail)."""
-    s = F.regexp_replace(F.regexp_replace(c, r"R\$", ""), "%", "")
-    s = F.translate(F.regexp_replace(F.regexp_replace(s, rf"^{_WS}+|{_WS}+$", ""), r"\.", ""), ",", ".")
-    return F.when(c.isNotNull() & (c != ""), _py_float(s))
+    s = F.translate(F.replace(c, F.lit("R$"), F.lit("")), ",%.", ".")
+    return F.when(c != "", _py_float(s))
 
 
 def parse_quote(c: Column) -> Column:
     """N4 (quote parser): drop 'R$' and '.', ',' -> '.', strip; failure -> 0.0."""
-    s = F.translate(F.regexp_replace(F.regexp_replace(c, r"R\$", ""), r"\.", ""), ",", ".")
-    return F.coalesce(_py_float(F.regexp_replace(s, rf"^{_WS}+|{_WS}+$", "")), F.lit(0.0))
+    s = F.translate(F.replace(c, F.lit("R$"), F.lit("")), ",.", ".")
+    return F.coalesce(_py_float(s), F.lit(0.0))
 
 
 def parse_strict(c: Column) -> Column:
     """N2 (report parser): drop 'R$' and '.', ',' -> '.', strip ends;
     anything else ('%', inner blanks, empty) raises and aborts the read."""
-    s = F.translate(F.regexp_replace(F.regexp_replace(c, r"R\$", ""), r"\.", ""), ",", ".")
-    s = F.regexp_replace(s, rf"^{_WS}+|{_WS}+$", "")
+    s = F.translate(F.replace(c, F.lit("R$"), F.lit("")), ",.", ".")
     v = _py_float(s)
     return F.when(v.isNotNull(), v).otherwise(
         F.raise_error(F.concat(F.lit("could not convert string to float: "), F.coalesce(c, F.lit("None")))).cast("double")
     )
 
 
+_PRE = {
+    # parser kind -> text clean-up before the float grammar (no regex)
+    "zero": lambda c: F.translate(F.replace(c, F.lit("R$"), F.lit("")), ",% .", "."),
+    "null": lambda c: F.translate(F.replace(c, F.lit("R$"), F.lit("")), ",%.", "."),
+    "quote": lambda c: F.translate(F.replace(c, F.lit("R$"), F.lit("")), ",.", "."),
+}
+
+
+def with_parsed(df: DataFrame, specs: dict[str, tuple[str, str]]) -> DataFrame:
+    """Parse several text columns: ``specs`` maps an output name to (kind,
+    input column), kind in 'zero' (N1), 'null' (N3), 'quote' (N4). The
+    cleaned text is a column of its own that the parse reads, so the
+    clean-up runs once per value (the optimizer keeps the projections apart
+    rather than duplicate an expensive expression)."""
+    pre = {f"_pre_{o}": _PRE[k](F.col(i)) for o, (k, i) in specs.items()}
+    staged = df.withColumns(pre)
+    out = {}
+    for o, (k, i) in specs.items():
+        v = _py_float(F.col(f"_pre_{o}"))
+        out[o] = F.when(F.col(i) != "", v) if k == "null" else F.coalesce(v, F.lit(0.0))
+    return staged.withColumns(out).drop(*pre)
+
+
 def _grouped_2dp(x: Column) -> Column:
     """'1,234,567.90' style text of a finite double, Python rounding."""
     return F.format_number(x, 2)
@@ -125,12 +148,12 @@ def masked(formatted: Column, privacy: bool | Column) -> Column:
 
 def clean_key(c: Column) -> Column:
     """Trim + upper (Python ``str.strip().upper()``)."""
-    return F.upper(F.regexp_replace(c, rf"^{_WS}+|{_WS}+$", ""))
+    return F.upper(F.regexp_replace(c, _STRIP, ""))
 
 
 def strip_py(c: Column) -> Column:
     """Python ``str.strip()``."""
-    return F.regexp_replace(c, rf"^{_WS}+|{_WS}+$", "")
+    return F.regexp_replace(c, _STRIP, "")
 
 
 def is_valid_ticker(c: Column) -> Column:

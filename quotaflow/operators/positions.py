@@ -48,26 +48,26 @@ def fund_positions(sheet: DataFrame) -> DataFrame:
     required = [COL_TICKER, COL_QTY, COL_PRICE, COL_AVG_COST, COL_BOOK, COL_DY]
     if any(_cell(sheet, i) is None for i in required):
         return sheet.limit(0).select(*_empty_position_cols())
-    ticker = T.clean_key(_cell(sheet, COL_TICKER))
-    qty = T.parse_or_zero(_cell(sheet, COL_QTY))
     sector_cell = _cell(sheet, COL_SECTOR)
     date_cell = _cell(sheet, COL_EX_DATE)
-    out = sheet.select(
+    keyed = sheet.withColumn("ticker", T.clean_key(_cell(sheet, COL_TICKER))).where(T.is_valid_ticker(F.col("ticker")))
+    parsed = T.with_parsed(keyed, {
+        "quantity": ("zero", f"_c{COL_QTY}"), "avg_cost": ("zero", f"_c{COL_AVG_COST}"),
+        "price": ("zero", f"_c{COL_PRICE}"), "book_value": ("zero", f"_c{COL_BOOK}"),
+        "dy_raw": ("zero", f"_c{COL_DY}")})
+    out = parsed.where(_positive(F.col("quantity"))).select(
         "portfolio_id",
         F.lit(0).alias("source_rank"),
         F.col("row_idx").cast("bigint").alias("row_idx"),
-        ticker.alias("ticker"),
+        "ticker",
         F.lit(FUND).alias("asset_type"),
         (T.sector_or_default(sector_cell) if sector_cell is not None else F.lit(T.DEFAULT_SECTOR)).alias("sector"),
-        qty.alias("quantity"),
-        T.parse_or_zero(_cell(sheet, COL_AVG_COST)).alias("avg_cost"),
-        T.parse_or_zero(_cell(sheet, COL_PRICE)).alias("price"),
-        T.parse_or_zero(_cell(sheet, COL_BOOK)).alias("book_value"),
-        T.scale_dy(T.parse_or_zero(_cell(sheet, COL_DY))).alias("dy_12m"),
+        "quantity", "avg_cost", "price", "book_value",
+        T.scale_dy(F.col("dy_raw")).alias("dy_12m"),
         (T.strip_py(date_cell) if date_cell is not None else F.lit("-")).alias("ex_date_text"),
-        T.asset_link(ticker, F.lit(FUND)).alias("link"),
+        T.asset_link(F.col("ticker"), F.lit(FUND)).alias("link"),
     )
-    return out.where(T.is_valid_ticker(F.col("ticker")) & _positive(F.col("quantity")))
+    return out
 
 
 def _empty_position_cols() -> list[Column]:
@@ -84,27 +84,31 @@ def manual_positions(sheet: DataFrame) -> DataFrame:
     if len(data_cols) < 4:
         return sheet.limit(0).select(*_empty_position_cols(), F.lit(None).cast("double").alias("sheet_value"))
     c_ticker, c_type, c_qty, c_value = (F.col(f"`{c}`") for c in data_cols[:4])
-    ticker = T.clean_key(c_ticker.cast("string"))
-    type_raw = T.clean_key(c_type.cast("string"))
-    is_stock = type_raw.contains("AÇÃO") | type_raw.contains("ACAO")
-    value = T.parse_or_zero(c_value)
-    out = sheet.select(
+    keyed = sheet.select(
+        "portfolio_id", "row_idx",
+        T.clean_key(c_ticker.cast("string")).alias("ticker"),
+        T.clean_key(c_type.cast("string")).alias("_type"),
+        c_qty.cast("string").alias("_qty"), c_value.cast("string").alias("_value"),
+    ).where(~F.col("ticker").isin(*MANUAL_SKIP))
+    parsed = T.with_parsed(keyed, {"_q": ("zero", "_qty"), "_v": ("zero", "_value")})
+    is_stock = F.col("_type").contains("AÇÃO") | F.col("_type").contains("ACAO")
+    kind = F.when(is_stock, F.lit(STOCK)).otherwise(F.lit(OTHER))
+    return parsed.select(
         "portfolio_id",
         F.lit(1).alias("source_rank"),
         F.col("row_idx").cast("bigint").alias("row_idx"),
-        ticker.alias("ticker"),
-        F.when(is_stock, F.lit(STOCK)).otherwise(F.lit(OTHER)).alias("asset_type"),
+        "ticker",
+        kind.alias("asset_type"),
         F.when(is_stock, F.lit(STOCK_SECTOR)).otherwise(F.lit(OTHER_SECTOR)).alias("sector"),
-        F.when(is_stock, T.parse_or_zero(c_qty)).otherwise(F.lit(1.0)).alias("quantity"),
-        F.when(is_stock, value).otherwise(F.lit(0.0)).alias("avg_cost"),
-        value.alias("price"),
+        F.when(is_stock, F.col("_q")).otherwise(F.lit(1.0)).alias("quantity"),
+        F.when(is_stock, F.col("_v")).otherwise(F.lit(0.0)).alias("avg_cost"),
+        F.col("_v").alias("price"),
         F.lit(0.0).alias("book_value"),
         F.lit(0.0).alias("dy_12m"),
         F.lit("-").alias("ex_date_text"),
-        T.asset_link(ticker, F.when(is_stock, F.lit(STOCK)).otherwise(F.lit(OTHER))).alias("link"),
-        value.alias("sheet_value"),
+        T.asset_link(F.col("ticker"), kind).alias("link"),
+        F.col("_v").alias("sheet_value"),
     )
-    return out.where(~F.col("ticker").isin(*MANUAL_SKIP))
 
 
 def enrich_quotes(manual: DataFrame, quotes: DataFrame) -> DataFrame:

@@ -66,8 +66,20 @@ def rounded(df: DataFrame, money: set[str] | None = None) -> DataFrame:
 
 
 # ---------------------------------------------------------------- positions
+def fund_sheet(spark: SparkSession, sf: str) -> DataFrame:
+    return FX.stored(spark, sf, "fund_sheet", FX.fund_sheet)
+
+
+def manual_sheet(spark: SparkSession, sf: str) -> DataFrame:
+    return FX.stored(spark, sf, "manual_sheet", FX.manual_sheet)
+
+
+def quotes(spark: SparkSession, sf: str) -> DataFrame:
+    return FX.stored(spark, sf, "quotes", FX.quotes)
+
+
 def positions(spark: SparkSession, sf: str) -> DataFrame:
-    return P.build(FX.fund_sheet(spark, sf), FX.manual_sheet(spark, sf), FX.quotes(spark, sf))
+    return P.build(fund_sheet(spark, sf), manual_sheet(spark, sf), quotes(spark, sf))
 
 
 POS_COLS = list(P.POSITION_COLUMNS)
@@ -75,31 +87,31 @@ POS_COLS = list(P.POSITION_COLUMNS)
 
 @register("fund_positions")
 def q_fund_positions(spark, sf):
-    return rounded(P.fund_positions(FX.fund_sheet(spark, sf)).select(*POS_COLS))
+    return rounded(P.fund_positions(fund_sheet(spark, sf)).select(*POS_COLS))
 
 
 @register("manual_positions")
 def q_manual_positions(spark, sf):
-    return rounded(P.manual_positions(FX.manual_sheet(spark, sf)).select(*POS_COLS))
+    return rounded(P.manual_positions(manual_sheet(spark, sf)).select(*POS_COLS))
 
 
 @register("quote_enrich")
 def q_quote_enrich(spark, sf):
-    m = P.enrich_quotes(P.manual_positions(FX.manual_sheet(spark, sf)), FX.quotes(spark, sf))
+    m = P.enrich_quotes(P.manual_positions(manual_sheet(spark, sf)), quotes(spark, sf))
     return rounded(m.select("portfolio_id", "ticker", "asset_type", "price"))
 
 
 @register("union_positions")
 def q_union_positions(spark, sf):
-    funds = P.fund_positions(FX.fund_sheet(spark, sf))
-    manual = P.enrich_quotes(P.manual_positions(FX.manual_sheet(spark, sf)), FX.quotes(spark, sf))
+    funds = P.fund_positions(fund_sheet(spark, sf))
+    manual = P.enrich_quotes(P.manual_positions(manual_sheet(spark, sf)), quotes(spark, sf))
     return rounded(P.union_positions(funds, manual))
 
 
 @register("dedup_first")
 def q_dedup_first(spark, sf):
-    funds = P.fund_positions(FX.fund_sheet(spark, sf))
-    manual = P.enrich_quotes(P.manual_positions(FX.manual_sheet(spark, sf)), FX.quotes(spark, sf))
+    funds = P.fund_positions(fund_sheet(spark, sf))
+    manual = P.enrich_quotes(P.manual_positions(manual_sheet(spark, sf)), quotes(spark, sf))
     return rounded(P.dedup_keep_first(P.union_positions(funds, manual)))
 
 
@@ -546,7 +558,7 @@ def q_report_context(spark, sf):
 # --------------------------------------------------------- scalar functions
 @register("parse_to_f")
 def q_parse_to_f(spark, sf):
-    s = FX.fund_sheet(spark, sf)
+    s = fund_sheet(spark, sf)
     return rounded(s.select("portfolio_id", "row_idx", T.parse_or_zero(F.col("_c5")).alias("quantity"),
                             T.parse_or_zero(F.col("_c8")).alias("price"),
                             T.parse_or_zero(F.col("_c11")).alias("book_value"),
@@ -555,14 +567,14 @@ def q_parse_to_f(spark, sf):
 
 @register("parse_nullable")
 def q_parse_nullable(spark, sf):
-    s = FX.fund_sheet(spark, sf)
+    s = fund_sheet(spark, sf)
     return rounded(s.select("portfolio_id", "row_idx", T.parse_or_null(F.col("_c11")).alias("book_value"),
                             T.parse_or_null(F.col("_c9")).alias("avg_cost")))
 
 
 @register("scale_dy")
 def q_scale_dy(spark, sf):
-    s = FX.fund_sheet(spark, sf)
+    s = fund_sheet(spark, sf)
     return rounded(s.select("portfolio_id", "row_idx", T.scale_dy(T.parse_or_zero(F.col("_c17"))).alias("dy_12m")))
 
 
@@ -580,7 +592,7 @@ def q_fmt_percent(spark, sf):
 
 @register("valid_ticker")
 def q_valid_ticker(spark, sf):
-    s = FX.fund_sheet(spark, sf)
+    s = fund_sheet(spark, sf)
     return s.select("portfolio_id", "row_idx", T.is_valid_ticker(T.clean_key(F.col("_c0"))).alias("valid"))
 
 
@@ -592,7 +604,7 @@ def q_normalize_sector(spark, sf):
 
 @register("resolve_ex_date")
 def q_resolve_ex_date(spark, sf):
-    f = P.fund_positions(FX.fund_sheet(spark, sf))
+    f = P.fund_positions(fund_sheet(spark, sf))
     return D.with_ex_date(f, "ex_date_text", DEFAULT_RUN.reference_date, "ex_date").select(
         "portfolio_id", "row_idx", "ex_date")
 

@@ -10,9 +10,15 @@ whole data, exactly as the reference reads its spreadsheets.
 
 from __future__ import annotations
 
+import os
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quotaflow.session import scratch_path
+
 # Fixed fixture values (FIXTURES.md 2.1): sector by part type.
 SECTOR_BY_TYPE = {
     "STANDARD": "Logística",
@@ -30,6 +36,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    """The derived input ``name`` written once per application as Parquet
+    in the shared checkpoint folder, then scanned like any stored input (the
+    reference reads its sheets; it does not rebuild them per screen). The
+    write is the lineage cut: a lost executor re-reads files, it does not
+    recompute the derivation."""
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), name)
+    path = _STORED.get(key)
+    if path is None:
+        path = scratch_path(spark, f"inputs-{uuid.uuid4().hex}/{name}")
+        build(spark, sf_dir).write.mode("overwrite").parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(path)
+
+
 def ticker_from_key(k: Column) -> Column:
     """Four letters, base 26 of k (most significant first), then '11'."""
     def letter(div: int) -> Column:
