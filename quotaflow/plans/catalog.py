@@ -185,7 +185,10 @@ def q_hierarchy_rollup(spark, sf):
 
 # ------------------------------------------------------------------- agenda
 def _agenda(spark, sf):
-    return A.build(positions(spark, sf), DEFAULT_RUN.reference_date)
+    """The agenda feeds the month choice, the slices and the grid; it is
+    checkpointed once (written under spark.checkpoint.dir) so the position
+    build is not recomputed for every branch."""
+    return A.build(positions(spark, sf), DEFAULT_RUN.reference_date).checkpoint()
 
 
 @register("agenda")
@@ -520,8 +523,8 @@ def _snapshot(spark, sf):
     """Write two snapshots (an older one with values x 0.9) into a fresh
     folder under the shared checkpoint directory; return the latest read."""
     path = scratch_path(spark, f"snapshot-{uuid.uuid4().hex}")
-    pos = positions(spark, sf)
-    k = _kpis(spark, sf)
+    pos = positions(spark, sf).checkpoint()
+    k = K2.portfolio_kpis(pos, _scalars(spark, sf), DEFAULT_RUN.income_goal).checkpoint()
     older = pos.withColumn("market_value", F.col("market_value") * 0.9)
     SH.write_snapshot(older, k.withColumn("total_value", F.col("total_value") * 0.9), path,
                       SNAP_TS - datetime.timedelta(days=1))
