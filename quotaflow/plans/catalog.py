@@ -643,3 +643,15 @@ def q_strip_fences(spark, sf):
     docs = FX.table(spark, sf, "documents")
     s = T.strip_fences(F.concat(F.lit("```html\n"), F.col("text"), F.lit("\n```")))
     return docs.select("doc_id", F.length(s).cast("bigint").alias("n_chars"), F.sha2(s, 256).alias("digest"))
+
+
+@register("price_panel")
+def q_price_panel(spark, sf):
+    """Closes of the held symbols (left-semi join to the holdings) and the
+    benchmarks over the 6-month look-back (a date predicate on the scan)."""
+    months, _ = S.lookback("6 meses")
+    panel = S.clean_panel(FX.small_panel(spark, sf), SMALL_REF, months)
+    held = S.holdings_symbols(K2.qty_by_ticker(FX.small_holdings(spark, sf))).select("symbol")
+    own = panel.join(held, "symbol", "left_semi")
+    bench = panel.where(F.col("symbol").isin(*BENCH_SYMS))
+    return rounded(own.unionByName(bench).select("date", "symbol", "close"))

@@ -710,3 +710,7 @@ ORACLE["strip_fences"] = """
 SELECT doc_id, CAST(length(s) AS BIGINT) AS n_chars, sha256(s) AS digest FROM (
   SELECT doc_id, replace(replace('```html' || chr(10) || text || chr(10) || '```', '```html', ''), '```', '') AS s
   FROM documents)"""
+
+ORACLE["price_panel"] = SMALL + """
+SELECT date, symbol, round(close, 6) AS close FROM p
+WHERE symbol IN (SELECT symbol FROM hold) OR symbol IN ('^BVSP', 'IFIX.SA')"""
