@@ -7,10 +7,8 @@ selectors pick (a few short arrays per page, never the page text). The
 cascade — last card wins, first parsable table row, text fallback only when
 the table exists — and the number parsing are column expressions.
 
-The refresh (H8) is a Structured Streaming keyed aggregation: per ticker the
-latest successful extraction by (ts, page_id); only successes update, entries
-never expire. State and progress live in a checkpoint under the cluster's
-``spark.checkpoint.dir``, so a lost executor or a restarted query resumes.
+The refresh (H8) is the Structured Streaming job in
+``quotaflow.streaming.refresh``; ``latest`` here is its batch twin.
 """
 
 from __future__ import annotations
@@ -19,7 +17,7 @@ import re
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotaflow.functions import text as T
@@ -271,34 +269,3 @@ def not_found(requests: DataFrame, cache: DataFrame, fresh: DataFrame) -> DataFr
 def cache_status(latest_table: DataFrame) -> DataFrame:
     """Number of cached tickers."""
     return latest_table.agg(F.countDistinct("ticker").alias("cached_tickers"))
-
-
-def refresh_stream(spark: SparkSession, page_dir: str, page_schema: str, out_dir: str, checkpoint: str,
-                   available_now: bool = True):
-    """H8 as a Structured Streaming job over a directory of page files.
-
-    Each micro-batch is extracted, misses are dropped (only successes
-    update), and a keyed streaming aggregation keeps the latest row per
-    ticker in the state store. ``foreachBatch`` writes the complete keyed
-    table to a new version directory ``out_dir/batch=<id>``, so a replayed
-    batch rewrites the same version (idempotent) and readers never see a
-    half-written table."""
-    stream = spark.readStream.schema(page_schema).parquet(page_dir)
-    found = indicators(extract(stream))
-    keyed = latest(found)
-
-    def write_version(batch_df: DataFrame, batch_id: int) -> None:
-        batch_df.write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/batch={batch_id}")
-
-    writer = (keyed.writeStream.outputMode("complete")
-              .option("checkpointLocation", checkpoint)
-              .foreachBatch(write_version))
-    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="6 hours")
-    return writer.start()
-
-
-def read_latest_version(spark: SparkSession, out_dir: str) -> DataFrame:
-    """The newest complete version written by ``refresh_stream``."""
-    versions = spark.read.parquet(out_dir)
-    top = versions.agg(F.max("batch").alias("batch"))
-    return versions.join(top, "batch", "left_semi").drop("batch")

@@ -21,6 +21,7 @@ from quotaflow.operators import exposure as X
 from quotaflow.operators import report as R
 from quotaflow.session import scratch_path
 from quotaflow.sources import sheets as SH
+from quotaflow.streaming import refresh as RS
 from quotaflow.operators import indicators as H
 from quotaflow.operators import kpis as K2
 from quotaflow.operators import series as S
@@ -655,3 +656,21 @@ def q_price_panel(spark, sf):
     own = panel.join(held, "symbol", "left_semi")
     bench = panel.where(F.col("symbol").isin(*BENCH_SYMS))
     return rounded(own.unionByName(bench).select("date", "symbol", "close"))
+
+
+REFRESH_SCHEMA = "page_id long, ticker string, url string, final_url string, status int, ts timestamp, html string"
+
+
+@register("last_known_good_stream")
+def q_last_known_good_stream(spark, sf):
+    """H8 run as the Structured Streaming job: the refresh pages land as
+    several files in the shared folder, the stream processes them
+    (availableNow), and the newest version of the keyed table is returned."""
+    run = scratch_path(spark, f"refresh-{uuid.uuid4().hex}")
+    pages = FX.refresh_pages(spark, sf)
+    pages.repartition(4, F.col("page_id") % 4).write.parquet(f"{run}/pages")
+    q = RS.refresh_stream(spark, f"{run}/pages", REFRESH_SCHEMA, f"{run}/latest", f"{run}/checkpoint")
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()
+    return rounded(RS.read_latest_version(spark, f"{run}/latest").select("ticker", "vp", "dy", "page_id"))

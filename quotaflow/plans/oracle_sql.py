@@ -714,3 +714,5 @@ SELECT doc_id, CAST(length(s) AS BIGINT) AS n_chars, sha256(s) AS digest FROM (
 ORACLE["price_panel"] = SMALL + """
 SELECT date, symbol, round(close, 6) AS close FROM p
 WHERE symbol IN (SELECT symbol FROM hold) OR symbol IN ('^BVSP', 'IFIX.SA')"""
+
+ORACLE["last_known_good_stream"] = ORACLE["last_known_good"]

@@ -20,6 +20,8 @@ SCALE_CONF = {
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Pages are large: cap Arrow batches so one Python batch stays small.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1024",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
