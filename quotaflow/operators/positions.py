@@ -163,20 +163,34 @@ def valuation(df: DataFrame) -> DataFrame:
     })
 
 
+# Per-portfolio figures carried on every position row by ``with_weights``.
+PORTFOLIO_STATS = ["pf_total_value", "pf_n_positions", "pf_mean_dy", "pf_max_dy_box"]
+
+
 def portfolio_totals(df: DataFrame) -> DataFrame:
-    """Per-portfolio scalars used by weights and screens (partial aggregate)."""
+    """Per-portfolio figures of the weights and the screens, in one partial
+    aggregate: exact total value, number of rows, mean DY over all rows
+    (NaN skipped), and the largest DY among funds with P/VP > 0 (K4)."""
+    fund_box = (F.col("asset_type") == FUND) & (F.col("price_to_book") > 0)
     return df.groupBy("portfolio_id").agg(
-        N.exact_money_sum(F.col("market_value")).alias("total_value"),
-        F.count(F.lit(1)).alias("n_positions"),
+        N.exact_money_sum(F.col("market_value")).alias("pf_total_value"),
+        F.count(F.lit(1)).alias("pf_n_positions"),
+        F.avg(N.finite_or_null(F.col("dy_12m"))).alias("pf_mean_dy"),
+        F.max(F.when(fund_box, F.col("dy_12m"))).alias("pf_max_dy_box"),
     )
 
 
 def with_weights(df: DataFrame) -> DataFrame:
-    """weight = value / portfolio total; 0 when the total is <= 0."""
-    tot = portfolio_totals(df).select("portfolio_id", "total_value")
+    """weight = value / portfolio total; 0 when the total is <= 0.
+
+    The per-portfolio aggregate is joined back once (AQE broadcasts it when
+    small, else sort-merge with skew splitting, so a portfolio with a third
+    of all rows is spread over tasks); its other figures stay on the rows
+    for the screens, which then need no second pass over the positions."""
+    tot = portfolio_totals(df)
     return df.join(tot, "portfolio_id").withColumn(
-        "weight", F.when(F.col("total_value") > 0, F.col("market_value") / F.col("total_value")).otherwise(F.lit(0.0))
-    ).drop("total_value")
+        "weight", F.when(F.col("pf_total_value") > 0, F.col("market_value") / F.col("pf_total_value"))
+        .otherwise(F.lit(0.0)))
 
 
 def with_segment(df: DataFrame) -> DataFrame:

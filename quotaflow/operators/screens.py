@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quotaflow.functions import numeric as N
 from quotaflow.functions import text as T
+from quotaflow.operators import positions as P
 from quotaflow.params import ScreenParams
 
 # Fixed values of the screens (must equal the reference's).
@@ -43,13 +44,26 @@ def portfolio_means(positions: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_positions"),
         F.avg(N.finite_or_null(F.col("dy_12m"))).alias("mean_dy"),
     )
-    positive = F.col("total_value") > 0
-    return agg.select(
-        "portfolio_id", "total_value", "n_positions",
-        F.when(positive, 1.0 / F.col("n_positions")).otherwise(F.lit(0.0)).alias("mean_weight"),
-        F.when(positive, F.col("total_value") / F.col("n_positions")).otherwise(F.lit(0.0)).alias("target_value"),
-        "mean_dy",
-    )
+    cols = _mean_columns(F.col("total_value"), F.col("n_positions"), F.col("mean_dy"))
+    return agg.select("portfolio_id", *[c.alias(k) for k, c in cols.items()])
+
+
+def _mean_columns(total: Column, n: Column, mean_dy: Column) -> dict[str, Column]:
+    positive = total > 0
+    return {"total_value": total, "n_positions": n,
+            "mean_weight": F.when(positive, 1.0 / n).otherwise(F.lit(0.0)),
+            "target_value": F.when(positive, total / n).otherwise(F.lit(0.0)),
+            "mean_dy": mean_dy}
+
+
+def with_means(positions: DataFrame) -> DataFrame:
+    """Positions with their portfolio's total, mean weight, target value and
+    mean DY. Read from the figures ``with_weights`` left on the rows when
+    present (no extra pass); else one aggregate joined back."""
+    if all(c in positions.columns for c in P.PORTFOLIO_STATS):
+        return positions.withColumns(_mean_columns(F.col("pf_total_value"), F.col("pf_n_positions"),
+                                                   F.col("pf_mean_dy")))
+    return positions.join(portfolio_means(positions), "portfolio_id")
 
 
 def _top_k(df: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -63,12 +77,11 @@ def opportunities(positions: DataFrame, params: ScreenParams, k: int = OPPORTUNI
     >= min; order P/VP asc, DY desc, contribution desc, then source order;
     top k per portfolio."""
     p = params.normalized()
-    means = portfolio_means(positions)
-    cand = positions.where(
+    cand = with_means(positions).where(
         (F.col("asset_type") == "FII")
         & (F.col("price_to_book") >= p.pvp_min) & (F.col("price_to_book") <= p.pvp_max)
         & (F.col("dy_12m") >= p.dy_min)
-    ).join(means, "portfolio_id").where(F.col("weight") < F.col("mean_weight"))
+    ).where(F.col("weight") < F.col("mean_weight"))
     cand = cand.withColumn(
         "suggested_contribution",
         F.greatest(F.lit(0.0), F.col("target_value") - F.col("market_value")),
@@ -88,8 +101,7 @@ def classify_risk(positions: DataFrame, params: ScreenParams, official_rate: flo
     official = official_rate if isinstance(official_rate, Column) else F.lit(float(official_rate))
     used = F.lit(float(params.selic)) if params.selic > 0 else official
     limit = F.when(used > 0, used).otherwise(official)
-    means = portfolio_means(positions).select("portfolio_id", "mean_dy")
-    funds = positions.where(F.col("asset_type") == "FII").join(means, "portfolio_id")
+    funds = with_means(positions).where(F.col("asset_type") == "FII")
     brick = (F.col("segment") == T.BRICK_LABEL) if "segment" in positions.columns else T.is_brick(F.col("sector"))
     share = F.when(brick, F.lit(params.brick_pct)).otherwise(F.lit(params.paper_pct))
     floor_dy = F.col("mean_dy") * LOW_YIELD_MEAN_SHARE
@@ -108,7 +120,7 @@ def classify_risk(positions: DataFrame, params: ScreenParams, official_rate: flo
         "risk_reasons": F.when(none, F.lit(WATCH)).otherwise(reasons),
         "risk_rank": rank.cast("int"),
         "risk_label": label,
-    }).drop("mean_dy")
+    }).drop("total_value", "n_positions", "mean_weight", "target_value", "mean_dy")
 
 
 def risk_radar(classified: DataFrame, k: int = RADAR_TOP) -> DataFrame:
@@ -122,10 +134,13 @@ def risk_radar(classified: DataFrame, k: int = RADAR_TOP) -> DataFrame:
 def value_matrix(positions: DataFrame) -> DataFrame:
     """K4: FII with P/VP > 0, flagged inside the favourable box
     0 <= P/VP <= 1 and mean DY <= DY <= 1.1 * max DY (max over these rows)."""
-    means = portfolio_means(positions).select("portfolio_id", "mean_dy")
-    funds = positions.where((F.col("asset_type") == "FII") & (F.col("price_to_book") > 0))
-    max_dy = funds.groupBy("portfolio_id").agg(F.max("dy_12m").alias("max_dy"))
-    m = funds.join(means, "portfolio_id").join(max_dy, "portfolio_id")
+    box = (F.col("asset_type") == "FII") & (F.col("price_to_book") > 0)
+    if "pf_max_dy_box" in positions.columns:
+        m = with_means(positions).where(box).withColumn("max_dy", F.col("pf_max_dy_box"))
+    else:
+        funds = with_means(positions).where(box)
+        max_dy = funds.groupBy("portfolio_id").agg(F.max("dy_12m").alias("max_dy"))
+        m = funds.join(max_dy, "portfolio_id")
     inside = ((F.col("price_to_book") >= 0) & (F.col("price_to_book") <= 1.0)
               & (F.col("dy_12m") >= F.col("mean_dy"))
               & (F.col("dy_12m") <= F.col("max_dy") * VALUE_BOX_DY_HEADROOM))

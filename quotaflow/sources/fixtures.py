@@ -49,7 +49,13 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[SparkSe
     path = _STORED.get(key)
     if path is None:
         path = scratch_path(spark, f"inputs-{uuid.uuid4().hex}/{name}")
-        build(spark, sf_dir).write.mode("overwrite").parquet(path)
+        df = build(spark, sf_dir)
+        # As many files as the cluster's shuffle width, clustered by
+        # portfolio when there is one, so the scan (and the text parsing
+        # that follows it) runs on every core.
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        df = df.repartition(n, "portfolio_id") if "portfolio_id" in df.columns else df.repartition(n)
+        df.write.mode("overwrite").parquet(path)
         _STORED[key] = path
     return spark.read.parquet(path)
 

@@ -92,3 +92,16 @@ def test_snapshot_without_totals_fails(spark, sf_small):
     _, p = SH.read_latest_snapshot(spark, path)
     with pytest.raises(Exception):
         p.collect()
+
+
+def test_screens_same_with_or_without_carried_stats(spark, sf_small):
+    """Screens read the per-portfolio figures left on the rows by the
+    weights step; recomputing them by aggregate + join gives the same rows."""
+    from quotaflow.operators import screens as K
+    from quotaflow.params import DEFAULT_RUN
+    pos = C.positions(spark, sf_small)
+    bare = pos.drop(*P.PORTFOLIO_STATS)
+    for fn in (lambda d: K.opportunities(d, DEFAULT_RUN.screens), K.value_matrix,
+               lambda d: K.risk_radar(K.classify_risk(d, DEFAULT_RUN.screens, 0.12))):
+        a, b = fn(pos), fn(bare)
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
