@@ -14,9 +14,11 @@ The refresh (H8) is the Structured Streaming job in
 from __future__ import annotations
 
 import re
+import sys
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -176,6 +178,11 @@ def extract_page(html: str) -> dict:
             "table_vals": vals, "text_vp": text_vp, "quote_raw": _text(quote) if quote is not None else None}
 
 
+# The extractor travels with each task (pickled by value), so executors need
+# no copy of this package on their import path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def _extract_batches(batches):
     for pdf in batches:
         rows = [extract_page(h) if ok else
