@@ -67,6 +67,17 @@ def rounded(df: DataFrame, money: set[str] | None = None) -> DataFrame:
 
 
 # ---------------------------------------------------------------- positions
+# Inputs the reference receives from outside (sheets, quotes, market data,
+# rate services, fetched pages), derived from the test tables and stored once
+# per application; queries scan them as stored data.
+STORED_INPUTS = ["fund_sheet", "manual_sheet", "quotes", "small_panel", "small_holdings", "large_panel",
+                 "large_holdings", "rate_payloads", "named_rate_payload", "indicator_pages", "refresh_pages"]
+
+
+def stored_input(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return FX.stored(spark, sf, name, getattr(FX, name))
+
+
 def fund_sheet(spark: SparkSession, sf: str) -> DataFrame:
     return FX.stored(spark, sf, "fund_sheet", FX.fund_sheet)
 
@@ -253,9 +264,9 @@ BENCH_SYMS = list(S.BENCHMARK_SYMBOLS.values())
 
 
 def _small(spark, sf):
-    qty = K2.qty_by_ticker(FX.small_holdings(spark, sf))
+    qty = K2.qty_by_ticker(stored_input(spark, sf, "small_holdings"))
     months, _ = S.lookback("6 meses")
-    return qty, S.clean_panel(FX.small_panel(spark, sf), SMALL_REF, months)
+    return qty, S.clean_panel(stored_input(spark, sf, "small_panel"), SMALL_REF, months)
 
 
 def cdi_rates(spark, sf, even_days_only=True):
@@ -289,8 +300,8 @@ def q_portfolio_series(spark, sf):
 def q_portfolio_series_large(spark, sf):
     """T4 delta-sum on the large panel (every customer x part holding)."""
     months, _ = S.lookback(LARGE_PERIOD)
-    qty = K2.qty_by_ticker(FX.large_holdings(spark, sf))
-    panel = S.clean_panel(FX.large_panel(spark, sf), LARGE_REF, months)
+    qty = K2.qty_by_ticker(stored_input(spark, sf, "large_holdings"))
+    panel = S.clean_panel(stored_input(spark, sf, "large_panel"), LARGE_REF, months)
     return rounded(S.portfolio_series(qty, panel, []), {"value"})
 
 
@@ -310,8 +321,8 @@ def q_rate_asof(spark, sf):
 
 
 def _evolution(spark, sf):
-    qty = K2.qty_by_ticker(FX.small_holdings(spark, sf))
-    return S.evolution(qty, FX.small_panel(spark, sf), cdi_rates(spark, sf), SMALL_REF, "6 meses")
+    qty = K2.qty_by_ticker(stored_input(spark, sf, "small_holdings"))
+    return S.evolution(qty, stored_input(spark, sf, "small_panel"), cdi_rates(spark, sf), SMALL_REF, "6 meses")
 
 
 @register("rebased_series")
@@ -326,8 +337,8 @@ def q_evolution_wide(spark, sf):
 
 @register("relative_performance")
 def q_relative_performance(spark, sf):
-    sel = S.default_selection(FX.small_holdings(spark, sf))
-    return rounded(S.relative_performance(sel, FX.small_panel(spark, sf), SMALL_REF, 6, "IBOV"))
+    sel = S.default_selection(stored_input(spark, sf, "small_holdings"))
+    return rounded(S.relative_performance(sel, stored_input(spark, sf, "small_panel"), SMALL_REF, 6, "IBOV"))
 
 
 @register("qty_by_ticker")
@@ -338,7 +349,7 @@ def q_qty_by_ticker(spark, sf):
 @register("symbol_map")
 def q_symbol_map(spark, sf):
     """N20 over every symbol of the panel and every position ticker."""
-    syms = (FX.small_panel(spark, sf).select("symbol")
+    syms = (stored_input(spark, sf, "small_panel").select("symbol")
             .unionByName(positions(spark, sf).select(T.quote_symbol(F.col("ticker")).alias("symbol"))).distinct())
     return syms.select("symbol", T.series_name(F.col("symbol")).alias("history_name"),
                        T.series_name(F.col("symbol"), evolution=True).alias("evolution_name"))
@@ -346,12 +357,12 @@ def q_symbol_map(spark, sf):
 
 # --------------------------------------------------------------- indicators
 def _raw_pages(spark, sf):
-    return H.extract(FX.indicator_pages(spark, sf))
+    return H.extract(stored_input(spark, sf, "indicator_pages"))
 
 
 @register("page_scan")
 def q_page_scan(spark, sf):
-    return H.page_hits(FX.indicator_pages(spark, sf)).select("page_id", "ticker", "status", "hit")
+    return H.page_hits(stored_input(spark, sf, "indicator_pages")).select("page_id", "ticker", "status", "hit")
 
 
 @register("vp_from_cells")
@@ -412,25 +423,25 @@ def q_indicator_not_found(spark, sf):
 
 @register("last_known_good")
 def q_last_known_good(spark, sf):
-    found = H.indicators(H.extract(FX.refresh_pages(spark, sf)))
+    found = H.indicators(H.extract(stored_input(spark, sf, "refresh_pages")))
     return rounded(H.latest(found).drop("ts"))
 
 
 @register("cache_status")
 def q_cache_status(spark, sf):
-    found = H.indicators(H.extract(FX.refresh_pages(spark, sf)))
+    found = H.indicators(H.extract(stored_input(spark, sf, "refresh_pages")))
     return H.cache_status(H.latest(found))
 
 
 # -------------------------------------------------------------- rates, KPIs
 def _payloads(spark, sf, series):
-    return FX.rate_payloads(spark, sf).where(F.col("series_id") == series)
+    return stored_input(spark, sf, "rate_payloads").where(F.col("series_id") == series)
 
 
 def _scalars(spark, sf, override=None):
     """One row: inflation (A6 over IPCA), official and used rate."""
     infl = K2.compounded_rate(SH.last_entries(_payloads(spark, sf, "IPCA"), K2.INFLATION_WINDOW))
-    named = SH.named_rate(SH.named_rates(FX.named_rate_payload(spark, sf)))
+    named = SH.named_rate(SH.named_rates(stored_input(spark, sf, "named_rate_payload")))
     series_last = SH.last_entries(_payloads(spark, sf, "SELIC"), 1)
     rate = K2.reference_rate(named, series_last, override=override)
     return K2.attach_scalars(infl, rate)
@@ -438,12 +449,12 @@ def _scalars(spark, sf, override=None):
 
 @register("rate_series")
 def q_rate_series(spark, sf):
-    return rounded(SH.rate_series(FX.rate_payloads(spark, sf), last_n=20))
+    return rounded(SH.rate_series(stored_input(spark, sf, "rate_payloads"), last_n=20))
 
 
 @register("named_rate")
 def q_named_rate(spark, sf):
-    return rounded(SH.named_rate(SH.named_rates(FX.named_rate_payload(spark, sf))))
+    return rounded(SH.named_rate(SH.named_rates(stored_input(spark, sf, "named_rate_payload"))))
 
 
 @register("compounded_rate")
@@ -651,8 +662,8 @@ def q_price_panel(spark, sf):
     """Closes of the held symbols (left-semi join to the holdings) and the
     benchmarks over the 6-month look-back (a date predicate on the scan)."""
     months, _ = S.lookback("6 meses")
-    panel = S.clean_panel(FX.small_panel(spark, sf), SMALL_REF, months)
-    held = S.holdings_symbols(K2.qty_by_ticker(FX.small_holdings(spark, sf))).select("symbol")
+    panel = S.clean_panel(stored_input(spark, sf, "small_panel"), SMALL_REF, months)
+    held = S.holdings_symbols(K2.qty_by_ticker(stored_input(spark, sf, "small_holdings"))).select("symbol")
     own = panel.join(held, "symbol", "left_semi")
     bench = panel.where(F.col("symbol").isin(*BENCH_SYMS))
     return rounded(own.unionByName(bench).select("date", "symbol", "close"))
@@ -667,7 +678,7 @@ def q_last_known_good_stream(spark, sf):
     several files in the shared folder, the stream processes them
     (availableNow), and the newest version of the keyed table is returned."""
     run = scratch_path(spark, f"refresh-{uuid.uuid4().hex}")
-    pages = FX.refresh_pages(spark, sf)
+    pages = stored_input(spark, sf, "refresh_pages")
     pages.repartition(4, F.col("page_id") % 4).write.parquet(f"{run}/pages")
     q = RS.refresh_stream(spark, f"{run}/pages", REFRESH_SCHEMA, f"{run}/latest", f"{run}/checkpoint")
     q.awaitTermination()
