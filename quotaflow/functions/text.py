@@ -148,12 +148,21 @@ def masked(formatted: Column, privacy: bool | Column) -> Column:
 
 def clean_key(c: Column) -> Column:
     """Trim + upper (Python ``str.strip().upper()``)."""
-    return F.upper(F.regexp_replace(c, _STRIP, ""))
+    return F.upper(strip_py(c))
+
+
+# Every character Python's str.isspace() accepts, as one literal string.
+_WS_CHARS = "".join(chr(i) for i in range(0x110000) if chr(i).isspace())
 
 
 def strip_py(c: Column) -> Column:
-    """Python ``str.strip()``."""
-    return F.regexp_replace(c, _STRIP, "")
+    """Python ``str.strip()`` (all Unicode blanks). Spark's ``trim`` removes
+    ASCII spaces only, so the regex runs only when an end character is
+    some other blank; the usual value takes the cheap path."""
+    t = F.trim(c)
+    odd_end = (F.length(t) > 0) & ((F.instr(F.lit(_WS_CHARS), F.substring(t, 1, 1)) > 0)
+                                   | (F.instr(F.lit(_WS_CHARS), F.substring(t, -1, 1)) > 0))
+    return F.when(odd_end, F.regexp_replace(c, _STRIP, "")).otherwise(t)
 
 
 def is_valid_ticker(c: Column) -> Column:

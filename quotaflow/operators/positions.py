@@ -140,26 +140,29 @@ def dedup_keep_first(df: DataFrame) -> DataFrame:
 def valuation(df: DataFrame) -> DataFrame:
     """P6 + N19: value, invested, profit, income; then +-inf -> 0 on all
     numeric columns and NaN -> 0 on the eight listed ones; then P/VP and
-    return with > 0 guards (the order matters)."""
+    return with > 0 guards (the order matters). Two projections: the raw
+    figures, then the scrubbed figures and the ratios read from them."""
     holds_units = F.col("asset_type").isin(FUND, STOCK)
-    value = F.when(holds_units, F.col("quantity") * F.col("price")).otherwise(F.col("price"))
-    staged = df.withColumn("market_value", value).withColumn(
-        "invested",
-        F.when(holds_units & _positive(F.col("avg_cost")), F.col("quantity") * F.col("avg_cost"))
-        .otherwise(F.col("market_value")))
-    staged = staged.withColumn("profit", F.col("market_value") - F.col("invested")).withColumn(
-        "monthly_income",
-        F.when(F.col("asset_type") == FUND, F.col("market_value") * F.col("dy_12m") / 12).otherwise(F.lit(0.0)))
-
-    def no_inf(c: str) -> Column:
-        return F.when(F.abs(F.col(c)) == float("inf"), F.lit(0.0)).otherwise(F.col(c))
-
-    numeric = ["quantity"] + SCRUBBED
-    staged = staged.withColumns({c: no_inf(c) for c in numeric})
-    staged = staged.withColumns({c: F.coalesce(F.nanvl(F.col(c), F.lit(0.0)), F.lit(0.0)) for c in SCRUBBED})
-    return staged.withColumns({
-        "price_to_book": F.when(F.col("book_value") > 0, F.col("price") / F.col("book_value")).otherwise(F.lit(0.0)),
-        "return_pct": F.when(F.col("invested") > 0, F.col("market_value") / F.col("invested") - 1).otherwise(F.lit(0.0)),
+    qty, price, cost = F.col("quantity"), F.col("price"), F.col("avg_cost")
+    value = F.when(holds_units, qty * price).otherwise(price)
+    invested = F.when(holds_units & _positive(cost), qty * cost).otherwise(value)
+    raw = df.withColumns({
+        "market_value": value,
+        "invested": invested,
+        "profit": value - invested,
+        "monthly_income": F.when(F.col("asset_type") == FUND, value * F.col("dy_12m") / 12).otherwise(F.lit(0.0)),
+    })
+
+    def scrub(c: str) -> Column:
+        x = F.when(F.abs(F.col(c)) == float("inf"), F.lit(0.0)).otherwise(F.col(c))
+        return F.coalesce(F.nanvl(x, F.lit(0.0)), F.lit(0.0)) if c in SCRUBBED else x
+
+    clean = {c: scrub(c) for c in ["quantity"] + SCRUBBED}
+    pos = lambda c: clean[c] > 0
+    return raw.withColumns({
+        **clean,
+        "price_to_book": F.when(pos("book_value"), clean["price"] / clean["book_value"]).otherwise(F.lit(0.0)),
+        "return_pct": F.when(pos("invested"), clean["market_value"] / clean["invested"] - 1).otherwise(F.lit(0.0)),
     })
 
 

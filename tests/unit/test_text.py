@@ -80,3 +80,9 @@ def test_strip_fences(spark):
 def test_series_name(spark):
     got = one(spark, lambda c: T.series_name(c), ["^BVSP", "IFIX.SA", "HGLG11.SA"])
     assert got == ["IBOVESPA", "IFIX", "HGLG11"]
+
+
+def test_strip_and_key_unicode_blanks(spark):
+    got = one(spark, T.strip_py, ["\xa0 ABC 　", "  x  ", "\tabc", "", None, "a b"])
+    assert got == ["ABC", "x", "abc", "", None, "a b"]
+    assert one(spark, T.clean_key, [" hglg11 "]) == ["HGLG11"]
