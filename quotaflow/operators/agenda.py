@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotaflow.functions import dates as D
@@ -81,7 +81,7 @@ def metrics(agenda: DataFrame, chosen: DataFrame, reference) -> DataFrame:
     chosen month is the reference's month, else 0; pending = max(total -
     passed, 0)."""
     ref = _ref(reference)
-    sl = agenda.join(chosen, "portfolio_id").where(F.col("month") == F.col("chosen_month"))
+    sl = agenda.join(chosen, "portfolio_id", "left").where(F.col("month") == F.col("chosen_month"))
     is_current = F.col("chosen_month") == F.trunc(ref, "month")
     agg = sl.groupBy("portfolio_id", "chosen_month").agg(
         N.exact_money_sum(F.col("est_dividend")).alias("month_total"),
@@ -92,40 +92,66 @@ def metrics(agenda: DataFrame, chosen: DataFrame, reference) -> DataFrame:
 
 def by_date(agenda: DataFrame, chosen: DataFrame) -> DataFrame:
     """Dividend total per date of the chosen month, ascending."""
-    sl = agenda.join(chosen, "portfolio_id").where(F.col("month") == F.col("chosen_month"))
+    sl = agenda.join(chosen, "portfolio_id", "left").where(F.col("month") == F.col("chosen_month"))
     return (sl.groupBy("portfolio_id", "ex_date").agg(N.exact_money_sum(F.col("est_dividend")).alias("total"))
             .orderBy("portfolio_id", "ex_date"))
 
 
 def by_ticker(agenda: DataFrame, chosen: DataFrame) -> DataFrame:
     """Dividend total per asset of the chosen month, descending."""
-    sl = agenda.join(chosen, "portfolio_id").where(F.col("month") == F.col("chosen_month"))
+    sl = agenda.join(chosen, "portfolio_id", "left").where(F.col("month") == F.col("chosen_month"))
     return (sl.groupBy("portfolio_id", "ticker").agg(N.exact_money_sum(F.col("est_dividend")).alias("total"))
             .orderBy(F.col("portfolio_id"), F.col("total").desc(), F.col("ticker")))
 
 
-def calendar(per_date: DataFrame, chosen: DataFrame) -> DataFrame:
+def default_month_by_date(agenda: DataFrame, reference) -> DataFrame:
+    """C2 + C5 in one pass over the agenda: per (portfolio, date) totals of
+    each portfolio's default month, ``(portfolio_id, chosen_month, ex_date,
+    total)``. The month choice is a window over the already aggregated rows
+    (at most one per date), so no second pass and no join are needed."""
+    cur = F.trunc(_ref(reference), "month")
+    daily = agenda.groupBy("portfolio_id", "month", "ex_date").agg(
+        N.exact_money_sum(F.col("est_dividend")).alias("total"))
+    w = Window.partitionBy("portfolio_id")
+    pick = F.coalesce(F.max(F.when(F.col("month") == cur, F.col("month"))).over(w), F.min("month").over(w))
+    return (daily.withColumn("chosen_month", pick).where(F.col("month") == F.col("chosen_month"))
+            .select("portfolio_id", "chosen_month", "ex_date", "total"))
+
+
+def calendar(per_date: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
     """Weeks x Monday..Sunday grid of the chosen month per portfolio.
 
     A cell holds the day's total (0 when none is positive) and the text
-    'day' or 'day\\nR$ total'; days outside the month are null / ''.
-    ``per_date`` is C5's output ``(portfolio_id, ex_date, total)``."""
+    'day' or 'day\nR$ total'; days outside the month are null / ''.
+    ``per_date`` is C5's output ``(portfolio_id, ex_date, total)``, carrying
+    ``chosen_month`` itself (``default_month_by_date``) or joined to
+    ``chosen``. Portfolios without events in the month get no grid, as in
+    the reference.
+
+    One shuffle: each portfolio's month is gathered into a date -> total map
+    (at most 31 entries) and the week rows are generated from it with
+    ``sequence``/``transform`` and ``inline``; no join, no pivot."""
+    if chosen is not None:
+        per_date = per_date.join(chosen, "portfolio_id")
+    g = per_date.groupBy("portfolio_id", "chosen_month").agg(
+        F.map_from_entries(F.collect_list(F.struct("ex_date", "total"))).alias("totals"))
     m0 = F.col("chosen_month")
-    days = chosen.select("portfolio_id", "chosen_month",
-                         F.explode(F.sequence(m0, F.last_day(m0))).alias("day"))
-    cells = (days.join(per_date.withColumnRenamed("ex_date", "day"), ["portfolio_id", "day"], "left")
-             .select("portfolio_id", "chosen_month",
-                     (F.floor((F.dayofmonth("day") - 1 + F.weekday(m0)) / 7) + 1).cast("int").alias("week"),
-                     F.weekday("day").alias("wd"),
-                     F.when(F.col("total") > 0, F.col("total")).otherwise(F.lit(0.0)).alias("value"),
-                     F.when(F.col("total") > 0,
-                            F.concat(F.dayofmonth("day").cast("string"), F.lit("\n"), T.fmt_currency(F.col("total"))))
-                     .otherwise(F.dayofmonth("day").cast("string")).alias("text")))
-    grid = (cells.groupBy("portfolio_id", "chosen_month", "week")
-            .pivot("wd", list(range(7)))
-            .agg(F.first("value").alias("value"), F.first("text").alias("text")))
-    out = [F.col("portfolio_id"), F.col("chosen_month"), F.col("week")]
-    for i, name in enumerate(WEEKDAYS_PT):
-        out.append(F.col(f"{i}_value").alias(f"{name}_value"))
-        out.append(F.coalesce(F.col(f"{i}_text"), F.lit("")).alias(f"{name}_text"))
-    return grid.select(*out)
+    first_wd = F.weekday(m0)
+    n_days = F.dayofmonth(F.last_day(m0))
+    n_weeks = F.ceil((first_wd + n_days) / 7).cast("int")
+
+    def week(w: Column) -> Column:
+        fields = [w.alias("week")]
+        for d, name in enumerate(WEEKDAYS_PT):
+            day = (w - 1) * 7 + d - first_wd + 1
+            inside = (day >= 1) & (day <= n_days)
+            tot = F.try_element_at(F.col("totals"), F.date_add(m0, (day - 1).cast("int")))
+            positive = F.coalesce(tot > 0, F.lit(False))
+            fields.append(F.when(inside, F.when(positive, tot).otherwise(F.lit(0.0))).alias(f"{name}_value"))
+            fields.append(F.when(inside, F.when(positive, F.concat(day.cast("string"), F.lit("\n"),
+                                                                   T.fmt_currency(tot)))
+                                 .otherwise(day.cast("string"))).otherwise(F.lit("")).alias(f"{name}_text"))
+        return F.struct(*fields)
+
+    weeks = F.transform(F.sequence(F.lit(1), n_weeks), week)
+    return g.select("portfolio_id", "chosen_month", F.inline(weeks))

@@ -191,7 +191,10 @@ def with_weights(df: DataFrame) -> DataFrame:
     of all rows is spread over tasks); its other figures stay on the rows
     for the screens, which then need no second pass over the positions."""
     tot = portfolio_totals(df)
-    return df.join(tot, "portfolio_id").withColumn(
+    # Every row has its portfolio's totals, so a left join equals the inner
+    # join; it also lets only the aggregate side be broadcast, so the rows
+    # keep their own partitioning instead of that of a tiny coalesced side.
+    return df.join(tot, "portfolio_id", "left").withColumn(
         "weight", F.when(F.col("pf_total_value") > 0, F.col("market_value") / F.col("pf_total_value"))
         .otherwise(F.lit(0.0)))
 

@@ -63,7 +63,7 @@ def with_means(positions: DataFrame) -> DataFrame:
     if all(c in positions.columns for c in P.PORTFOLIO_STATS):
         return positions.withColumns(_mean_columns(F.col("pf_total_value"), F.col("pf_n_positions"),
                                                    F.col("pf_mean_dy")))
-    return positions.join(portfolio_means(positions), "portfolio_id")
+    return positions.join(portfolio_means(positions), "portfolio_id", "left")
 
 
 def _top_k(df: DataFrame, k: int, *order: Column) -> DataFrame:

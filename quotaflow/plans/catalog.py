@@ -252,9 +252,9 @@ def q_agenda_by_ticker(spark, sf):
 
 @register("dividend_calendar")
 def q_dividend_calendar(spark, sf):
-    ag = _agenda(spark, sf)
-    chosen = A.chosen_months(ag, DEFAULT_RUN.reference_date)
-    return rounded(A.calendar(A.by_date(ag, chosen), chosen), {f"{d}_value" for d in A.WEEKDAYS_PT})
+    ag = A.build(positions(spark, sf), DEFAULT_RUN.reference_date)
+    per_date = A.default_month_by_date(ag, DEFAULT_RUN.reference_date)
+    return rounded(A.calendar(per_date), {f"{d}_value" for d in A.WEEKDAYS_PT})
 
 
 # ------------------------------------------------------------------- series
