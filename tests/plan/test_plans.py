@@ -15,10 +15,10 @@ def test_topk_uses_window_group_limit(spark, sf_small):
 
 def test_filters_reach_scan(spark, sf_small):
     p = plan_of(E.queries()["price_panel"](spark, sf_small))
-    assert "PushedFilters: [IsNotNull(event_type)" in p or "PushedFilters" in p
-    # only the columns the panel needs are read from events
-    assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint,event_type:string,value:double>" in p \
-        or "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint,value:double>" in p
+    # the look-back is a date predicate pushed into the panel scan
+    assert "GreaterThanOrEqual(date,2023-12-15)" in p and "LessThanOrEqual(date,2024-06-15)" in p
+    # only the three panel columns are read
+    assert "ReadSchema: struct<date:date,symbol:string,close:double>" in p
 
 
 def test_python_only_in_extractor(spark, sf_small):
