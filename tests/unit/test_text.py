@@ -86,3 +86,10 @@ def test_strip_and_key_unicode_blanks(spark):
     got = one(spark, T.strip_py, ["\xa0 ABC 　", "  x  ", "\tabc", "", None, "a b"])
     assert got == ["ABC", "x", "abc", "", None, "a b"]
     assert one(spark, T.clean_key, [" hglg11 "]) == ["HGLG11"]
+
+
+def test_normalize_sector_decomposed_and_precomposed(spark):
+    import unicodedata
+    dec = unicodedata.normalize("NFD", "Logística Híbrido")
+    got = one(spark, T.normalize_sector, ["Logística Híbrido", dec, " ações ", "", None])
+    assert got == ["LOGISTICA HIBRIDO", "LOGISTICA HIBRIDO", "ACOES", "", ""]
