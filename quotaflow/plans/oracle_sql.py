@@ -124,7 +124,7 @@ SELECT portfolio_id, 1 AS source_rank, CAST(k AS BIGINT) AS row_idx, ticker, ass
        round(CASE WHEN asset_type = 'Ação' THEN qty ELSE 1.0 END, 4) AS quantity,
        round(CASE WHEN asset_type = 'Ação' THEN cost ELSE 0.0 END, 4) AS avg_cost,
        round(CASE WHEN asset_type = 'Ação' THEN cost ELSE mkt_price END, 4) AS price,
-       0.0 AS book_value, 0.0 AS dy_12m, '-' AS ex_date_text,
+       CAST(0.0 AS DOUBLE) AS book_value, CAST(0.0 AS DOUBLE) AS dy_12m, '-' AS ex_date_text,
        CASE WHEN asset_type = 'Ação' THEN 'https://investidor10.com.br/acoes/' || lower(ticker) || '/' END AS link
 FROM fx WHERE asset_type <> 'FII'"""
 
@@ -292,7 +292,7 @@ SELECT portfolio_id, chosen_month, round(month_total, 4) AS month_total, round(p
 
 ORACLE["agenda_metrics_past_month"] = BASE + AGENDA + """
 SELECT portfolio_id, DATE '2024-07-01' AS chosen_month, round(CAST(sum(CAST(est_dividend AS DECIMAL(18, 4))) AS DOUBLE), 4) AS month_total,
-       0.0 AS passed, round(greatest(CAST(sum(CAST(est_dividend AS DECIMAL(18, 4))) AS DOUBLE), 0.0), 4) AS pending
+       CAST(0.0 AS DOUBLE) AS passed, round(greatest(CAST(sum(CAST(est_dividend AS DECIMAL(18, 4))) AS DOUBLE), 0.0), 4) AS pending
 FROM agm WHERE month = DATE '2024-07-01' GROUP BY 1"""
 
 ORACLE["agenda_by_date"] = BASE + AGENDA + """
