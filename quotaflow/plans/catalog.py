@@ -400,12 +400,18 @@ def q_quotes(spark, sf):
     return rounded(H.quotes(_raw_pages(spark, sf)), {"quote"})
 
 
+CACHE_CUTOFF = datetime.datetime(2024, 1, 5)
+
+
 def _lookup_inputs(spark, sf):
+    """H7 inputs: the cache holds what was fetched before the cutoff; fresh
+    extraction covers every page; every part's ticker is requested (half of
+    them in lower case with blanks, to exercise trim + upper)."""
     found = H.indicators(_raw_pages(spark, sf))
-    cache = H.latest(found.where(F.col("page_id") % 3 == 0))
+    cache = H.latest(found.where(F.col("ts") < F.lit(CACHE_CUTOFF)))
     fresh = H.latest(found)
     k = F.col("p_partkey")
-    req = (FX.table(spark, sf, "part").where(k % 7 == 0)
+    req = (FX.table(spark, sf, "part")
            .select(F.when(k % 2 == 0, F.concat(F.lit(" "), F.lower(FX.ticker_from_key(k)), F.lit(" ")))
                    .otherwise(FX.ticker_from_key(k)).alias("ticker")))
     return req, cache, fresh

@@ -497,8 +497,8 @@ ORACLE["indicators"] = PAGES + "\nSELECT page_id, ticker, round(vp, 6) AS vp, ro
 ORACLE["quotes"] = PAGES + "\nSELECT page_id, ticker, round(quote, 4) AS quote FROM ex"
 
 LOOKUP = PAGES + f"""
-, cache AS (SELECT ticker, vp, dy FROM ind WHERE page_id % 3 = 0),
-req AS (SELECT DISTINCT {_ticker('p_partkey')} AS ticker FROM part WHERE p_partkey % 7 = 0)"""
+, cache AS (SELECT ticker, vp, dy FROM ind WHERE page_id < 96),  -- fetched before 2024-01-05 (ts = 2024-01-01 + id hours)
+req AS (SELECT DISTINCT {_ticker('p_partkey')} AS ticker FROM part)"""
 ORACLE["indicator_lookup"] = LOOKUP + """
 SELECT r.ticker, round(CASE WHEN c.ticker IS NOT NULL THEN c.vp ELSE i.vp END, 6) AS vp,
        round(CASE WHEN c.ticker IS NOT NULL THEN c.dy ELSE i.dy END, 6) AS dy,
