@@ -102,6 +102,23 @@ _PRE = {
 }
 
 
+def _sql_lit(s: str) -> str:
+    """A Spark SQL string literal holding exactly ``s``."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _py_float_sql(name: str) -> Column:
+    """``_py_float`` of the column ``name`` as one SQL expression (built in
+    a single call to the JVM instead of one per operator)."""
+    c = f"`{name}`"
+    sql = (f"CASE WHEN {c} RLIKE {_sql_lit(_FLOAT_GRAMMAR)} THEN "
+           f"CASE WHEN lower(trim({c})) IN ('+nan', '-nan') THEN CAST('NaN' AS DOUBLE) "
+           f"ELSE try_cast(CASE WHEN {c} RLIKE {_sql_lit(_NEEDS_CLEANUP)} "
+           f"THEN regexp_replace({c}, {_sql_lit(_STRIP + '|(?<=' + chr(92) + 'd)_(?=' + chr(92) + 'd)')}, '') "
+           f"ELSE {c} END AS DOUBLE) END END")
+    return F.expr(sql)
+
+
 def with_parsed(df: DataFrame, specs: dict[str, tuple[str, str]]) -> DataFrame:
     """Parse several text columns: ``specs`` maps an output name to (kind,
     input column), kind in 'zero' (N1), 'null' (N3), 'quote' (N4). The
@@ -112,7 +129,7 @@ def with_parsed(df: DataFrame, specs: dict[str, tuple[str, str]]) -> DataFrame:
     staged = df.withColumns(pre)
     out = {}
     for o, (k, i) in specs.items():
-        v = _py_float(F.col(f"_pre_{o}"))
+        v = _py_float_sql(f"_pre_{o}")
         out[o] = F.when(F.col(i) != "", v) if k == "null" else F.coalesce(v, F.lit(0.0))
     return staged.withColumns(out).drop(*pre)
 

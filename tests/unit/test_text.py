@@ -93,3 +93,19 @@ def test_normalize_sector_decomposed_and_precomposed(spark):
     dec = unicodedata.normalize("NFD", "Logística Híbrido")
     got = one(spark, T.normalize_sector, ["Logística Híbrido", dec, " ações ", "", None])
     assert got == ["LOGISTICA HIBRIDO", "LOGISTICA HIBRIDO", "ACOES", "", ""]
+
+
+def test_staged_parsers_equal_column_parsers(spark):
+    vals = ["R$ 163,34", "1.234.567,89", "8,06%", "8.50", "-R$ 10,00", "1 234,5", "", None, "12d",
+            "1_000", "nan", "1,2,3", " -nan ", "1__0", "\xa012,5　", "inf", "1e3", "R$ 1.234,50"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, v string")
+    staged = T.with_parsed(df, {"z": ("zero", "v"), "n": ("null", "v"), "q": ("quote", "v")})
+    cols = staged.select("i", "z", "n", "q",
+                         T.parse_or_zero(F.col("v")).alias("z2"), T.parse_or_null(F.col("v")).alias("n2"),
+                         T.parse_quote(F.col("v")).alias("q2")).orderBy("i").collect()
+
+    def same(a, b):
+        return (a is None and b is None) or (a is not None and b is not None and
+                                             ((math.isnan(a) and math.isnan(b)) or a == b))
+    for r in cols:
+        assert same(r.z, r.z2) and same(r.n, r.n2) and same(r.q, r.q2), r
