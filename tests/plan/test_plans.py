@@ -27,3 +27,14 @@ def test_python_only_in_extractor(spark, sf_small):
         p = plan_of(qs[name](spark, sf_small))
         assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p and "MapInPandas" not in p, name
     assert "MapInPandas" in plan_of(qs["indicators"](spark, sf_small))
+
+
+def test_facts_are_not_the_broadcast_side(spark, sf_small):
+    """Fact rows joined to their per-portfolio aggregate use a left join, so
+    only the aggregate can be the build side of a broadcast hash join."""
+    qs = E.queries()
+    for name in ["weights", "opportunities", "dividend_calendar", "agenda_metrics"]:
+        df = qs[name](spark, sf_small)
+        df.collect()  # final adaptive plan
+        final = plan_of(df).split("Initial Plan")[0]
+        assert "BuildLeft" not in final, name
