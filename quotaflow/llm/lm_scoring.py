@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 
 from quotaflow.llm.common import crc_mod, written
 
-BLOCK_TOKENS = 2_000_000
-RANGE_KEYS = 1_000_000  # keys of all blocks that one task adds up
+BLOCK_TOKENS = 1_000_000
+RANGE_KEYS = 500_000  # keys of all blocks that one task adds up
 EM_ROUNDS = 60
 BINS = 4  # bins a power of two
 
@@ -74,6 +74,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def rows_of(batch: pa.RecordBatch):
+    """The rows of a batch, one at a time: a block is large."""
+    for i in range(batch.num_rows):
+        yield {name: column[i].as_py() for name, column in zip(batch.schema.names, batch.columns)}
+
+
 CODED = ("block long, n_tokens long, n_words long, doc_ids array<long>, held array<boolean>, lengths binary, "
          "words binary, stream binary")
 
@@ -149,7 +155,7 @@ def _send(kind: str, ranges: int):
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 b = Block(row)
                 keys, counts, _ = b.word_keys() if kind == "words" else b.pair_keys()
                 part = ((keys >> U(32)) * U(ranges) >> U(32)).astype(np.int64)
@@ -215,7 +221,7 @@ def _cells(n: int):
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 b, pair, context, word = _counts(row)
                 t = b.train
                 p2, p1 = shares(pair[t] - 1, context[t] - 1, word[t] - 1, n - 1)
@@ -253,7 +259,7 @@ SCORED = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
 def _score(weights: np.ndarray, n: int, v: int):
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 b, pair, context, word = _counts(row)
                 p2, p1 = shares(pair, context, word, n)
                 a = weights[bucket_of(context)]
