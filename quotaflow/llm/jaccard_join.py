@@ -23,9 +23,11 @@ n members costs n verifications, not n squared.
 Pairs of members that don't both link with the hub are found from their
 differences to the hub, D(x) = set of x and hub's, in one or the other:
 |D(x) & D(y)| >= (|D(x)| + |D(y)| - d) / 2 for a linked pair. That is an overlap
-of small sets, joined by their prefixes (rarest first: shingles the hub lacks,
-then those it has) and verified likewise. No link between different texts is
-lost, and no group's pairs are written out.
+of small sets, joined by their prefixes (elements that few of the hub's members
+differ in come first). The differences also tell the pair's exact similarity.
+First each member meets one other for each element; then those that are still
+in different components meet all. No link that joins components is lost, and
+no group's pairs are written out.
 
 Components are the labels of repeated minimum over links with pointer jumping;
 classes get their smallest doc_id.
@@ -136,8 +138,8 @@ def _sets(width: int, percent: int):
 
 def _verify(width: int, percent: int):
     """Rows (hub, doc, is_hub, text) in order of hub, the hub's own row first:
-    one row out a pair, with its sizes, whether it links, and the prefixes of
-    its difference to the hub."""
+    one row out a pair, with its sizes, whether it links, its difference to
+    the hub, and the lengths of the prefixes that its order will have."""
 
     def run(batches):
         shingler = Shingler(width)
@@ -163,10 +165,9 @@ def _verify(width: int, percent: int):
                 far = max(1, m - s * (100 - percent) // percent)
                 short = max(0, m - half + 1) if m >= half else 0
                 long = 0 if links else max(0, m - far + 1)
-                difference = np.concatenate([added, gone]).view(np.int64)
                 short = min(short, long) if not links else short
-                rows.append((h, doc, s, sh, both, links, short, difference[:max(short, long)]))
-            yield pd.DataFrame(rows, columns=["hub", "doc", "n", "n_hub", "n_both", "links", "short", "prefix"])
+                rows.append((h, doc, s, sh, links, short, long, np.concatenate([added, gone]).view(np.int64)))
+            yield pd.DataFrame(rows, columns=["hub", "doc", "n", "n_hub", "links", "short", "long", "delta"])
 
     return run
 
@@ -183,7 +184,7 @@ def verified(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> Da
     sent = sent.repartition("hub", "copy").sortWithinPartitions("hub", "copy", F.desc("is_hub"), "doc")
     return sent.select("hub", "doc", "is_hub", "text").mapInPandas(
         _verify(width, percent),
-        "hub long, doc long, n long, n_hub long, n_both long, links boolean, short int, prefix array<long>")
+        "hub long, doc long, n long, n_hub long, links boolean, short int, long int, delta array<long>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -231,10 +232,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     wanted = written(pairs.select("doc").union(pairs.select("hub")).distinct(), "wanted")
     some = written(named.join(wanted, F.col("doc_id") == F.col("doc"), "left_semi"), "texts")
     first = written(verified(some, pairs, width, percent), "verified")
-    second = written(crossed(first), "crossed")
-    more = verified(some, second, width, percent)
-    links = [x.where("links").select(F.col("hub").alias("a"), F.col("doc").alias("b")) for x in (first, more)]
-    found = components(links[0].unionByName(links[1]))
+    links = first.where("links").select(F.col("hub").alias("a"), F.col("doc").alias("b"))
+    first = rarest_first(first)
+    for nearest in (True, False):
+        more = related(crossed(first, components(links), nearest, percent), first, percent)
+        links = written(links.unionByName(more), "links")
+    found = components(links)
     classed = nodes.select("doc_id", *sig).join(classes, sig).select(F.col("doc_id").alias("id"), "rep")
     of_doc = classed.join(found, F.col("rep") == F.col("node"), "left").select(
         "id", F.coalesce("component", "rep").alias("component"))
@@ -242,14 +245,50 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def crossed(first: DataFrame) -> DataFrame:
-    """(hub, doc) pairs still to verify: members of one hub of which at least
-    one does not link with it, whose differences share an element of their
-    prefixes."""
-    open_hubs = first.where("not links").select("hub").distinct()
-    d = first.where(F.size("prefix") > 0).join(open_hubs, "hub")
-    every = d.where("short > 0").select("hub", "doc", "links", F.explode(F.slice("prefix", F.lit(1), F.col("short"))).alias("element"))
-    far = d.where("not links").select("hub", F.col("doc").alias("far"), "short", F.posexplode("prefix").alias("i", "element"))
-    met = far.join(every, ["hub", "element"]).where(
-        (F.col("far") != F.col("doc")) & (F.col("links") | (F.col("i") < F.col("short"))))
-    return met.select(F.least("far", "doc").alias("hub"), F.greatest("far", "doc").alias("doc")).distinct()
+def rarest_first(first: DataFrame) -> DataFrame:
+    """The members of the hubs that not all of them link with, each difference
+    in order of how many of the hub's members have the element."""
+    open_hubs = written(first.where("not links").select("hub").distinct(), "open")
+    d = first.join(open_hubs, "hub", "left_semi")
+    each = d.select("hub", "doc", F.explode("delta").alias("element"))
+    often = written(each.groupBy("hub", "element").agg(F.count(F.lit(1)).alias("often")), "often")
+    sorted_ = each.join(often, ["hub", "element"]).groupBy("hub", "doc").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("often", "element"))), lambda e: e["element"]).alias("delta"))
+    return written(d.drop("delta").join(sorted_, ["hub", "doc"]), "ordered")
+
+
+def crossed(first: DataFrame, found: DataFrame, nearest: bool, percent: int) -> DataFrame:
+    """(hub, x, y) pairs still to compare: members of one hub of which x at
+    least doesn't link with it, that are in different components so far and
+    whose differences to the hub share an element of their prefixes. If
+    ``nearest``, x meets one member for each element, the one nearest the hub."""
+    d = first.join(found, F.col("doc") == F.col("node"), "left").select(
+        "hub", "doc", "n", "links", "short", "long", "delta", F.coalesce("component", "doc").alias("part"))
+    every = d.where("short > 0").select(
+        "hub", F.size("delta").alias("m"), "doc", "part", "links", "n", F.posexplode(F.slice("delta", F.lit(1), F.col("short"))).alias("j", "element"))
+    far = d.where("not links").select(
+        "hub", F.col("doc").alias("x"), F.col("part").alias("x_part"), F.col("n").alias("x_n"), F.size("delta").alias("x_m"), "short",
+        F.posexplode(F.slice("delta", F.lit(1), F.col("long"))).alias("i", "element"))
+    if nearest:
+        every = every.groupBy("hub", "element").agg(F.min(F.struct("m", "doc", "part", "links", "n", "j")).alias("y")).select(
+            "hub", "element", "y.*")
+    # After the first shared element the overlap is what is left of the shorter rest at most.
+    apart = ((far["x_n"] + every["n"]) * (100 - percent) / (100 + percent)).cast("long")
+    most = F.least(far["x_m"] - far["i"], every["m"] - every["j"])
+    met = far.join(every, (far["hub"] == every["hub"]) & (far["element"] == every["element"]) & (far["x_part"] != every["part"])
+                   & (every["links"] | (far["i"] < far["short"])) & (2 * most >= far["x_m"] + every["m"] - apart))
+    return written(met.groupBy("x", F.col("doc").alias("y")).agg(F.min(far["hub"]).alias("hub")), "crossed")
+
+
+def related(pairs: DataFrame, first: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the (hub, x, y) pairs that link, by their differences to the hub:
+    the elements in one difference only are those in one of x and y only."""
+    side = first.select("hub", "doc", "n", "delta")
+    x, y = (side.select("hub", F.col("doc").alias(k), F.col("n").alias(f"n_{k}"), F.col("delta").alias(f"delta_{k}")) for k in "xy")
+    d = pairs.join(x, ["hub", "x"]).join(y, ["hub", "y"])
+    apart = F.size("delta_x") + F.size("delta_y") - 2 * F.size(F.array_intersect("delta_x", "delta_y"))
+    total = F.col("n_x") + F.col("n_y")
+    # Twice the intersection is total - apart, twice the union total + apart.
+    return d.where(100 * (total - apart) >= percent * (total + apart)).select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+
