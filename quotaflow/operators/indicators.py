@@ -183,15 +183,25 @@ def extract_page(html: str) -> dict:
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+NOTHING = {"has_table": False, "cell_vp": [], "card_dy": [], "table_keys": [], "table_vals": [],
+           "text_vp": None, "quote_raw": None}
+
+
+def _extract_or_miss(html: str | None) -> dict | None:
+    """The page's raw fields; None for a page that cannot be read (nested
+    beyond the interpreter's depth, broken markup): a miss, not a failed job."""
+    try:
+        return extract_page(html)
+    except Exception:  # noqa: BLE001 - whatever a page does, the others go on
+        return None
+
+
 def _extract_batches(batches):
     for pdf in batches:
-        rows = [extract_page(h) if ok else
-                {"has_table": False, "cell_vp": [], "card_dy": [], "table_keys": [], "table_vals": [],
-                 "text_vp": None, "quote_raw": None}
-                for h, ok in zip(pdf["html"], pdf["hit"])]
-        out = pd.DataFrame(rows, columns=["has_table", "cell_vp", "card_dy", "table_keys", "table_vals",
-                                          "text_vp", "quote_raw"])
-        yield pd.concat([pdf[["page_id", "ticker", "ts", "hit"]].reset_index(drop=True), out], axis=1)
+        found = [_extract_or_miss(h) if ok else None for h, ok in zip(pdf["html"], pdf["hit"])]
+        out = pd.DataFrame([NOTHING if f is None else f for f in found], columns=list(NOTHING))
+        head = pdf[["page_id", "ticker", "ts"]].reset_index(drop=True)
+        yield pd.concat([head.assign(hit=[f is not None for f in found]), out], axis=1)
 
 
 def page_hits(pages: DataFrame) -> DataFrame:
@@ -230,7 +240,8 @@ def indicators(raw: DataFrame) -> DataFrame:
 
 
 def misses(raw: DataFrame) -> DataFrame:
-    """Pages that were not found (status, redirect), kept apart, not raised."""
+    """Pages that were not found (status, redirect) or could not be read, kept
+    apart, not raised."""
     return raw.where(~F.col("hit")).select("page_id", "ticker", "ts")
 
 

@@ -57,3 +57,15 @@ def test_missing_page_and_quote(spark):
     assert res is None and q == 0.0
     _, q = run(spark, '<div class="_card cotacao"><div class="value"><span>R$ 1.234,56</span></div></div>')
     assert q == pytest.approx(1234.56)
+
+
+def test_unreadable_page_is_one_miss(spark):
+    from quotaflow.operators import indicators as H
+
+    rows = [(1, "AAAA11", "ok", 200, "", "<p>x</p>"), (2, "BBBB11", "deep", 200, "", "<p>" * 100_000),
+            (3, "CCCC11", "gone", 404, "", "<p>x</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, ticker string, ts string, status int, final_url string, html string")
+    raw = H.extract(pages.selectExpr("page_id", "ticker", "timestamp'2024-01-01' ts", "status", "final_url", "html"))
+    found = {r.page_id for r in H.indicators(raw).collect()}
+    missed = {r.page_id for r in H.misses(raw).collect()}
+    assert 1 in found and 3 in missed and (2 in found) != (2 in missed)
