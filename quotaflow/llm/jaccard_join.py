@@ -23,8 +23,8 @@ n members costs n verifications, not n squared.
 Pairs of members that don't both link with the hub are found from their
 differences to the hub, D(x) = set of x and hub's, in one or the other:
 |D(x) & D(y)| >= (|D(x)| + |D(y)| - d) / 2 for a linked pair. That is an overlap
-of small sets, joined by their prefixes (elements that few of the hub's members
-differ in come first). The differences also tell the pair's exact similarity.
+of small sets, joined by their prefixes (elements of cells that few
+differences hold come first). The differences also tell the pair's exact similarity.
 First each member meets one other for each element; then those that are still
 in different components meet all. No link that joins components is lost, and
 no group's pairs are written out.
@@ -53,6 +53,7 @@ from quotaflow.llm.common import written
 
 BITS = 4096  # bits a block
 SPARE = 4  # a fourth more blocks than differences
+CELL_BITS = 16  # cells in which elements of differences are counted
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -245,16 +246,46 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def _cells(delta: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The elements of all rows, one after the other, and their cells."""
+    elements = delta.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(U)
+    return elements, (elements >> U(64 - CELL_BITS)).astype(np.int64)
+
+
+def _count_cells(batches):
+    total = np.zeros(1 << CELL_BITS, np.int64)
+    for batch in batches:
+        total += np.bincount(_cells(batch.column("delta"))[1], minlength=len(total))
+    held = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], ["cell", "n"])
+
+
+def _in_order(counts):
+    def run(batches):
+        for batch in batches:
+            delta = batch.column("delta")
+            elements, cells = _cells(delta)
+            sizes = delta.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            order = np.lexsort((elements, counts.value[cells], np.repeat(np.arange(len(sizes)), sizes)))
+            ordered = pa.ListArray.from_arrays(
+                np.r_[0, np.cumsum(sizes)].astype(np.int32), pa.array(elements[order].view(np.int64)))
+            yield pa.RecordBatch.from_arrays(
+                [ordered if name == "delta" else batch.column(name) for name in batch.schema.names], batch.schema.names)
+
+    return run
+
+
 def rarest_first(first: DataFrame) -> DataFrame:
     """The members of the hubs that not all of them link with, each difference
-    in order of how many of the hub's members have the element."""
+    in one order of all elements: rare ones first, by how often the element's
+    cell (one of 2^CELL_BITS, by hash) occurs in the differences. Any one order
+    finds the same links; the counts are a table of fixed size."""
     open_hubs = written(first.where("not links").select("hub").distinct(), "open")
+    counts = np.zeros(1 << CELL_BITS, np.int64)
+    found = first.select("delta").mapInArrow(_count_cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    counts[found["cell"]] = found["n"]
     d = first.join(open_hubs, "hub", "left_semi")
-    each = d.select("hub", "doc", F.explode("delta").alias("element"))
-    often = written(each.groupBy("hub", "element").agg(F.count(F.lit(1)).alias("often")), "often")
-    sorted_ = each.join(often, ["hub", "element"]).groupBy("hub", "doc").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("often", "element"))), lambda e: e["element"]).alias("delta"))
-    return written(d.drop("delta").join(sorted_, ["hub", "doc"]), "ordered")
+    return written(d.mapInArrow(_in_order(d.sparkSession.sparkContext.broadcast(counts)), d.schema), "ordered")
 
 
 def crossed(first: DataFrame, found: DataFrame, nearest: bool, percent: int) -> DataFrame:
