@@ -112,16 +112,20 @@ def portfolio_kpis(positions: DataFrame, scalars: DataFrame, income_goal: float)
 
 
 def masked_kpis(kpis: DataFrame, privacy: bool) -> DataFrame:
-    """Formatted KPI strings, masked in privacy mode (the goal
-    percentage and the reference rate are not masked, as in the reference)."""
+    """Formatted KPI strings, each of the twelve amounts masked in privacy
+    mode. Not masked: the goal percentage, the reference rate and the return's
+    sign, which stands before the mask."""
+    money = {"total_value": "total_value_text", "total_invested": "invested_text", "monthly_income": "income_text",
+             "return_value": "return_text", "upkeep": "upkeep_text", "real_income": "real_income_text",
+             "inflation_cost": "inflation_cost_text", "variable_income_value": "variable_income_text",
+             "other_value": "other_text"}
+    shares = {"variable_share": "variable_share_text", "other_share": "other_share_text"}
     return kpis.select(
         "portfolio_id",
-        T.masked(T.fmt_currency(F.col("total_value")), privacy).alias("total_value_text"),
-        T.masked(T.fmt_currency(F.col("total_invested")), privacy).alias("invested_text"),
-        T.masked(T.fmt_currency(F.col("monthly_income")), privacy).alias("income_text"),
-        T.masked(T.fmt_currency(F.col("return_value")), privacy).alias("return_text"),
-        T.masked(T.fmt_percent(F.col("return_pct")), privacy).alias("return_pct_text"),
-        T.masked(T.fmt_currency(F.col("upkeep")), privacy).alias("upkeep_text"),
+        *[T.masked(T.fmt_currency(F.col(c)), privacy).alias(name) for c, name in money.items()],
+        *[T.masked(T.fmt_percent(F.col(c)), privacy).alias(name) for c, name in shares.items()],
+        F.concat(T.sign_prefix(F.col("return_value")),
+                 T.masked(T.fmt_percent(F.col("return_pct")), privacy)).alias("return_pct_text"),
         T.fmt_percent(F.col("used_rate")).alias("rate_text"),
     )
 

@@ -598,14 +598,22 @@ def _pct(x: str) -> str:
     return f"replace(format('{{:.2f}}', ({x}) * 100), '.', ',') || '%'"
 
 
+_MASKED_MONEY = {"total_value_text": "total_value", "invested_text": "total_invested", "income_text": "monthly_income",
+                 "return_text": "return_value", "upkeep_text": "upkeep", "real_income_text": "real_income",
+                 "inflation_cost_text": "monthly_income - real_income", "variable_income_text": "variable_income_value",
+                 "other_text": "other_value"}
+_MASKED_SHARE = {"variable_share_text": "variable_income_value", "other_share_text": "other_value"}
+_SIGN = "CASE WHEN return_value >= 0 THEN '+' ELSE '' END"
+_SHOWN = [f"{_brl(x)} AS {name}" for name, x in _MASKED_MONEY.items()] + [
+    _pct(f"CASE WHEN total_value > 0 THEN {x} / total_value ELSE 0.0 END") + f" AS {name}" for name, x in _MASKED_SHARE.items()]
+_HIDDEN = ["'••••••'" for _ in _SHOWN]
 ORACLE["masked_kpis"] = KPIS + f"""
-SELECT portfolio_id, {_brl('total_value')} AS total_value_text, {_brl('total_invested')} AS invested_text,
-       {_brl('monthly_income')} AS income_text, {_brl('return_value')} AS return_text,
-       {_pct("CASE WHEN total_invested > 0 THEN return_value / total_invested ELSE 0.0 END")} AS return_pct_text,
-       {_brl('upkeep')} AS upkeep_text, {_pct('used_rate')} AS rate_text
+SELECT portfolio_id, {', '.join(_SHOWN)},
+       {_SIGN} || {_pct("CASE WHEN total_invested > 0 THEN return_value / total_invested ELSE 0.0 END")} AS return_pct_text,
+       {_pct('used_rate')} AS rate_text
 FROM kpi
 UNION ALL
-SELECT -portfolio_id, '••••••', '••••••', '••••••', '••••••', '••••••', '••••••', {_pct('used_rate')} FROM kpi"""
+SELECT -portfolio_id, {', '.join(_HIDDEN)}, {_SIGN} || '••••••', {_pct('used_rate')} FROM kpi"""
 
 ORACLE["rate_delta_label"] = KPIS + f"""
 , dl AS (SELECT portfolio_id, (official_rate + (portfolio_id % 3 - 1) / 100.0) - official_rate AS d FROM kpi)
