@@ -3,8 +3,8 @@
 Float sums depend on the order in which partitions are combined, so the same
 query can give different last bits on different cluster sizes. Money totals
 that feed further arithmetic (weights, targets per position) are therefore
-summed in fixed point: each amount is rounded to 1/10,000 of the currency
-unit and the integers are added, which is exact and order-independent.
+summed as decimals with 18 fractional digits, which is independent of the
+order; totals that decimals can't hold are summed as doubles.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed-point unit of money totals: 1/10,000 of the currency unit.
-MONEY_SCALE = 10_000
+# Holds amounts and totals below 1e20 currency units.
+MONEY_TYPE = "decimal(38, 18)"
 
 
 def finite_or_null(c: Column) -> Column:
@@ -22,7 +22,10 @@ def finite_or_null(c: Column) -> Column:
 
 
 def exact_money_sum(c: Column) -> Column:
-    """Order-independent sum of money amounts (null/NaN skipped, 0.0 when
-    nothing is left). 64-bit integers hold 9.2e14 currency units."""
-    units = F.round(finite_or_null(c) * MONEY_SCALE).cast("long")
-    return F.coalesce(F.sum(units), F.lit(0)) / float(MONEY_SCALE)
+    """Sum of money amounts as a double, the same in any order of the rows
+    (null/NaN/inf skipped, 0.0 when nothing is left). If an amount or the
+    total is 1e20 or more, the plain double sum."""
+    amount = finite_or_null(c.cast("double"))
+    units = amount.try_cast(MONEY_TYPE)
+    exact = F.when(F.count(units) == F.count(amount), F.try_sum(units).cast("double"))
+    return F.coalesce(exact, F.sum(amount), F.lit(0.0))

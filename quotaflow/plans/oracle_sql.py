@@ -98,7 +98,7 @@ pos AS (
          CASE WHEN regexp_matches(upper(strip_accents(sector)), '{_BRICK_RE}') THEN 'Tijolo' ELSE 'Papéis' END AS segment
   FROM val),
 means AS (
-  SELECT portfolio_id, CAST(sum(CAST(market_value AS DECIMAL(18, 4))) AS DOUBLE) AS total_value,
+  SELECT portfolio_id, CAST(CAST(sum(CAST(CAST(market_value AS VARCHAR) AS DECIMAL(38, 18))) AS VARCHAR) AS DOUBLE) AS total_value,
          count(*) AS n_positions, avg(weight) AS mean_weight, avg(dy_12m) AS mean_dy
   FROM pos GROUP BY 1)"""
 
@@ -283,29 +283,29 @@ FROM sl ORDER BY portfolio_id, ex_date, ticker"""
 
 ORACLE["agenda_metrics"] = BASE + AGENDA + """
 , mt AS (
-  SELECT a.portfolio_id, c.chosen_month, CAST(sum(CAST(a.est_dividend AS DECIMAL(18, 4))) AS DOUBLE) AS month_total,
-         coalesce(CAST(sum(CAST(a.est_dividend AS DECIMAL(18, 4))) FILTER (WHERE c.chosen_month = DATE '2024-06-01'
-                                              AND a.ex_date <= DATE '2024-06-15') AS DOUBLE), 0.0) AS passed
+  SELECT a.portfolio_id, c.chosen_month, CAST(CAST(sum(CAST(CAST(a.est_dividend AS VARCHAR) AS DECIMAL(38, 18))) AS VARCHAR) AS DOUBLE) AS month_total,
+         coalesce(CAST(CAST(sum(CAST(CAST(a.est_dividend AS VARCHAR) AS DECIMAL(38, 18))) FILTER (WHERE c.chosen_month = DATE '2024-06-01'
+                                              AND a.ex_date <= DATE '2024-06-15') AS VARCHAR) AS DOUBLE), 0.0) AS passed
   FROM sl a JOIN chosen c USING (portfolio_id) GROUP BY 1, 2)
 SELECT portfolio_id, chosen_month, round(month_total, 4) AS month_total, round(passed, 4) AS passed,
        round(greatest(month_total - passed, 0.0), 4) AS pending FROM mt"""
 
 ORACLE["agenda_metrics_past_month"] = BASE + AGENDA + """
-SELECT portfolio_id, DATE '2024-07-01' AS chosen_month, round(CAST(sum(CAST(est_dividend AS DECIMAL(18, 4))) AS DOUBLE), 4) AS month_total,
-       CAST(0.0 AS DOUBLE) AS passed, round(greatest(CAST(sum(CAST(est_dividend AS DECIMAL(18, 4))) AS DOUBLE), 0.0), 4) AS pending
+SELECT portfolio_id, DATE '2024-07-01' AS chosen_month, round(CAST(CAST(sum(CAST(CAST(est_dividend AS VARCHAR) AS DECIMAL(38, 18))) AS VARCHAR) AS DOUBLE), 4) AS month_total,
+       CAST(0.0 AS DOUBLE) AS passed, round(greatest(CAST(CAST(sum(CAST(CAST(est_dividend AS VARCHAR) AS DECIMAL(38, 18))) AS VARCHAR) AS DOUBLE), 0.0), 4) AS pending
 FROM agm WHERE month = DATE '2024-07-01' GROUP BY 1"""
 
 ORACLE["agenda_by_date"] = BASE + AGENDA + """
-SELECT portfolio_id, ex_date, round(CAST(sum(CAST(est_dividend AS DECIMAL(18, 4))) AS DOUBLE), 4) AS total
+SELECT portfolio_id, ex_date, round(CAST(CAST(sum(CAST(CAST(est_dividend AS VARCHAR) AS DECIMAL(38, 18))) AS VARCHAR) AS DOUBLE), 4) AS total
 FROM sl GROUP BY 1, 2 ORDER BY 1, 2"""
 
 ORACLE["agenda_by_ticker"] = BASE + AGENDA + """
-SELECT portfolio_id, ticker, round(CAST(sum(CAST(est_dividend AS DECIMAL(18, 4))) AS DOUBLE), 4) AS total
+SELECT portfolio_id, ticker, round(CAST(CAST(sum(CAST(CAST(est_dividend AS VARCHAR) AS DECIMAL(38, 18))) AS VARCHAR) AS DOUBLE), 4) AS total
 FROM sl GROUP BY 1, 2 ORDER BY 1, 3 DESC, 2"""
 
 _WD = ["Seg", "Ter", "Qua", "Qui", "Sex", "Sáb", "Dom"]
 ORACLE["dividend_calendar"] = BASE + AGENDA + """
-, tot AS (SELECT portfolio_id, ex_date AS day, CAST(sum(CAST(est_dividend AS DECIMAL(18, 4))) AS DOUBLE) AS total
+, tot AS (SELECT portfolio_id, ex_date AS day, CAST(CAST(sum(CAST(CAST(est_dividend AS VARCHAR) AS DECIMAL(38, 18))) AS VARCHAR) AS DOUBLE) AS total
         FROM sl GROUP BY 1, 2),
 days AS (
   SELECT portfolio_id, chosen_month, chosen_month + CAST(i AS INTEGER) AS day
@@ -543,7 +543,9 @@ ORACLE["reference_rate"] = "WITH" + ENTRIES + "\nSELECT round(official_rate, 6)
 
 
 def _dsum(expr: str) -> str:
-    return f"CAST(sum(CAST({expr} AS DECIMAL(18, 4))) AS DOUBLE)"
+    # Decimals read from the shortest text of each double: nothing is rounded,
+    # and the total is the double nearest to the exact sum.
+    return f"CAST(CAST(sum(CAST(CAST({expr} AS VARCHAR) AS DECIMAL(38, 18))) AS VARCHAR) AS DOUBLE)"
 
 
 KPIS = BASE + "," + ENTRIES + f"""
