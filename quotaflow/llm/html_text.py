@@ -2,12 +2,18 @@
 
 Markup is stripped so that each block element gives a line (character
 references decoded, white space to one space). Lines inside menus, page
-headers and footers, sidebars, notices, adverts, forms and reader comments, and
-lines that are links for the most part, count as blank. The lengths of text in
-a window of WINDOW lines, slid over the page, surge where the article is and
+headers and footers, sidebars, notices, adverts, forms and reader comments
+count as blank. Lines that are links for the most part count as blank too; the lengths of text
+in a window of WINDOW lines, slid over the page, surge where the article is and
 dive to nothing before and after it. The text between two dives with a surge is
 kept, its short first and last blocks too.
 
+Elements end where the HTML standard has them end: by their own end tag, by a
+start tag that implies it (p, li, dd, dt, option, table parts, headings, head)
+or with an element that was open before them. What is left out ends so too, and
+at <main>, which no such element can hold; if its end tag is missing, also at
+<article> (the page is then read twice).
+
 A surge is a window of SURGE characters, or half of the page's fullest window
 if that is less, so that a page with little text keeps it.
 
@@ -47,6 +53,30 @@ MARKS = frozenset(
     "promotion related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe toolbar "
     "widget alert complementary contentinfo search disqus".split())
 
+TABLE_PARTS = frozenset("caption colgroup thead tbody tfoot tr td th".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# Start tags that end an open p, and those that may stand in a head.
+ENDS_P = HEADINGS | frozenset(
+    "address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form header "
+    "hgroup hr li listing main menu nav ol p plaintext pre search section summary table ul xmp".split())
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+# Start tag: the open elements that it ends, the nearest with all inside it.
+ENDS = {
+    **{t: ("p",) for t in ENDS_P}, "li": ("li", "p"), "dd": ("dd", "dt", "p"), "dt": ("dd", "dt", "p"),
+    "option": ("option",), "optgroup": ("optgroup", "option"), "button": ("button",), "select": ("select",),
+    "td": ("td", "th", "caption"), "th": ("td", "th", "caption"), "tr": ("tr", "caption", "colgroup"),
+    **{t: ("thead", "tbody", "tfoot", "caption", "colgroup") for t in ("thead", "tbody", "tfoot")},
+}
+IMPLIED = frozenset(t for ended in ENDS.values() for t in ended)
+# Elements that hide what is open around them: from all, from end tags of other
+# elements too; from a p; from an li, dd or dt.
+SCOPE = frozenset("table td th caption object template svg math".split())
+HIDES_P = SCOPE | {"button"}
+HIDES_ITEM = SCOPE | {"ul", "ol", "dl", "menu", "dir"}
+HIDES_ITEM |= frozenset(
+    "article aside blockquote button center details fieldset figcaption figure footer form header hgroup main nav "
+    "pre section select summary".split()) | HEADINGS
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SPACE = re.compile(r"\s+")
@@ -54,38 +84,97 @@ MARK_WORD = re.compile(r"[a-z]+")
 
 
 class Lines(HTMLParser):
-    """Lines of a page: [text, characters in links, blank]."""
+    """Lines of a page: [text, characters in links, inside article or main]."""
 
-    def __init__(self) -> None:
+    def __init__(self, unclosed: frozenset = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
+        self.known = unclosed  # where the page has start tags whose end tags are missing
+        self.unclosed: set[tuple[int, int]] = set()
+        self.doubtful = False  # whether an article was left out
+        self.starts: list[tuple[int, int]] = []  # of the open elements
         self.lines: list[list] = []
         self.text: list[str] = []
         self.linked = 0
         self.in_link = False
-        self.skip = ""  # the element whose content is left out, and how often it is open
-        self.depth = 0
+        # Open elements but for inline ones: tag, the place of the nearest
+        # element that hides those around it, the places of the open elements
+        # in sight that a start tag may end.
+        self.open: list[tuple[str, int, dict[str, int]]] = []
+        self.places: dict[str, list[int]] = {}  # by tag
+        self.skip = -1  # the place of the element whose content is left out
         self.seen_article = 0
 
     def end_line(self, blank: bool = False) -> None:
         text = SPACE.sub(" ", "".join(self.text)).strip()
         if text or blank:
-            self.lines.append([text, self.linked])
+            self.lines.append([text, self.linked, bool(self.places.get("article") or self.places.get("main"))])
         self.text, self.linked = [], 0
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if self.skip:
-            if tag == self.skip and tag not in VOID:
-                self.depth += 1
+    def push(self, tag: str) -> None:
+        at = len(self.open)
+        _, hidden, near = self.open[-1] if at else ("", -1, {})
+        if tag in SCOPE:
+            # The parts of a table end one another, but not through a cell's table.
+            hidden, near = at, {} if tag == "table" or tag not in TABLE_PARTS else {k: v for k, v in near.items() if k in TABLE_PARTS}
+        elif near and tag in HIDES_ITEM:
+            near = {k: v for k, v in near.items() if k not in ("li", "dd", "dt") and (k != "p" or tag not in HIDES_P)}
+        if tag in IMPLIED:
+            near = {**near, tag: at}
+        self.open.append((tag, hidden, near))
+        self.starts.append(self.getpos())
+        self.places.setdefault(tag, []).append(at)
+
+    def close_from(self, at: int) -> None:
+        """Ends the open element at a place and all inside it."""
+        if self.skip < 0:
+            self.end_line()
+        for tag, _, _ in self.open[at:]:
+            self.places[tag].pop()
+        if len(self.open) - at > 1:
+            self.unclosed.update(s for s, e in zip(self.starts[at + 1:], self.open[at + 1:]) if e[0] not in IMPLIED)
+        del self.open[at:], self.starts[at:]
+        if self.skip >= at:
+            self.skip = -1
+            self.end_line(blank=True)
+
+    def end_implied(self, tag: str) -> None:
+        if tag not in IN_HEAD and self.places.get("head"):
+            self.close_from(self.places["head"][-1])
+        if not self.open:
             return
+        if self.skip >= 0 and tag in ("main", "article") and self.open[self.skip][0] not in UNSEEN:
+            if tag == "main" or self.starts[self.skip] in self.known:
+                self.close_from(self.skip)
+            else:
+                self.doubtful = True
+        near = self.open[-1][2] if self.open else {}
+        ended = [near[t] for t in ENDS.get(tag, ()) if t in near]
+        if ended:
+            self.close_from(min(ended))
+        elif tag in HEADINGS and self.open and self.open[-1][0] in HEADINGS:
+            self.close_from(len(self.open) - 1)
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in INLINE:
-            self.text.append(" " if tag == "br" else "")
-            self.in_link = self.in_link or tag == "a"
+            if self.places.get("head"):
+                self.close_from(self.places["head"][-1])
+            if self.skip < 0:
+                self.text.append(" " if tag == "br" else "")
+                self.in_link = self.in_link or tag == "a"
+            return
+        self.end_implied(tag)
+        if self.skip >= 0:
+            if tag not in VOID:
+                self.push(tag)
             return
         self.end_line()
         self.in_link = False
         self.seen_article += tag == "article"
-        if tag not in VOID and tag not in ("html", "body", "article", "main") and self.left_out(tag, attrs):
-            self.skip, self.depth = tag, 1
+        if tag in VOID or (tag in ("html", "body") and self.places.get(tag)):
+            return
+        self.push(tag)
+        if tag not in ("html", "body", "article", "main") and self.left_out(tag, attrs):
+            self.skip = len(self.open) - 1
 
     def left_out(self, tag: str, attrs: list) -> bool:
         if tag in UNSEEN:
@@ -97,26 +186,27 @@ class Lines(HTMLParser):
         return bool(said) and not MARKS.isdisjoint(MARK_WORD.findall(said))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        if not self.skip and tag not in INLINE:
+        if self.skip < 0 and tag not in INLINE:
             self.end_line()
-        elif not self.skip and tag == "br":
+        elif self.skip < 0 and tag == "br":
             self.text.append(" ")
 
     def handle_endtag(self, tag: str) -> None:
-        if self.skip:
-            if tag == self.skip:
-                self.depth -= 1
-                if not self.depth:
-                    self.skip = ""
-                    self.end_line(blank=True)
-            return
-        if tag == "a":
+        if tag == "a" and self.skip < 0:
             self.in_link = False
-        elif tag not in INLINE:
+        if tag in INLINE:
+            return
+        if self.skip < 0:
             self.end_line()
+        at = self.places.get(tag)
+        # Inside a table's cell, end tags of what is around the table have no effect.
+        if at and (at[-1] >= self.open[-1][1] or tag in TABLE_PARTS or tag in SCOPE or tag in ("html", "body")):
+            self.close_from(at[-1])
 
     def handle_data(self, data: str) -> None:
-        if not self.skip:
+        if self.open and self.open[-1][0] == "head" and data.strip():
+            self.close_from(len(self.open) - 1)
+        if self.skip < 0:
             self.text.append(data)
             if self.in_link:
                 self.linked += len(data.strip())
@@ -125,13 +215,20 @@ class Lines(HTMLParser):
         self.feed(html)
         self.close()
         self.end_line()
+        self.unclosed.update(s for s, e in zip(self.starts, self.open) if e[0] not in IMPLIED)
         return self.lines
 
 
+def lines_of(html: str) -> list[list]:
+    reader = Lines()
+    lines = reader.read(html)
+    return Lines(frozenset(reader.unclosed)).read(html) if reader.doubtful and reader.unclosed else lines
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks, joined by an empty line."""
-    lines = Lines().read(html or "")
-    texts = ["" if linked > LINK_SHARE * len(text) else text for text, linked in lines]
+    lines = lines_of(html or "")
+    texts = ["" if linked > LINK_SHARE * len(text) else text for text, linked, _ in lines]
     # Sums over windows that start at each line, as if the page had blank lines around it.
     padded = [0] * (WINDOW - 1) + [len(t) for t in texts] + [0] * (WINDOW - 1)
     sums = [sum(padded[i:i + WINDOW]) for i in range(len(padded) - WINDOW + 1)]
