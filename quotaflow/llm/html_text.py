@@ -3,7 +3,8 @@
 Markup is stripped so that each block element gives a line (character
 references decoded, white space to one space). Lines inside menus, page
 headers and footers, sidebars, notices, adverts, forms and reader comments
-count as blank. Lines that are links for the most part count as blank too; the lengths of text
+count as blank. Inside <article> and <main> every other line is kept. Outside,
+lines that are links for the most part count as blank too; the lengths of text
 in a window of WINDOW lines, slid over the page, surge where the article is and
 dive to nothing before and after it. The text between two dives with a surge is
 kept, its short first and last blocks too.
@@ -228,7 +229,7 @@ def lines_of(html: str) -> list[list]:
 def main_text(html: str | None) -> str:
     """The article's blocks, joined by an empty line."""
     lines = lines_of(html or "")
-    texts = ["" if linked > LINK_SHARE * len(text) else text for text, linked, _ in lines]
+    texts = ["" if not inside and linked > LINK_SHARE * len(text) else text for text, linked, inside in lines]
     # Sums over windows that start at each line, as if the page had blank lines around it.
     padded = [0] * (WINDOW - 1) + [len(t) for t in texts] + [0] * (WINDOW - 1)
     sums = [sum(padded[i:i + WINDOW]) for i in range(len(padded) - WINDOW + 1)]
@@ -238,12 +239,12 @@ def main_text(html: str | None) -> str:
         # The windows that hold line i start at padded lines i to i + WINDOW - 1.
         around = sums[i:i + WINDOW]
         if any(around):
-            run.append(text)
+            run.append((text, i < len(lines) and lines[i][2]))
             surged = surged or max(around) >= surge > 0
         else:  # the dive: what lies between two is kept if it has a surge
-            kept += [t for t in run if t and surged]
+            kept += [t for t, inside in run if t and (surged or inside)]
             run, surged = [], False
-    kept += [t for t in run if t and surged]
+    kept += [t for t, inside in run if t and (surged or inside)]
     return "\n\n".join(kept)
 
 
