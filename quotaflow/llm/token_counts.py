@@ -42,6 +42,7 @@ from quotaflow.llm.common import widened, without
 
 # The word pattern of the tokenizer file, its classes cut to ASCII (fixed value).
 ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z]+|[0-9]|[^\sA-Za-z0-9]+", re.ASCII)
+CONTRACTIONS = frozenset(("'s", "'t", "'re", "'ve", "'m", "'ll", "'d"))
 CACHE = 250_000  # chunks in each of the two generations that a worker remembers
 PREFIXES = 600_000  # word prefixes that it remembers
 LONG = 240  # symbols; longer words and chunks are not remembered
@@ -174,12 +175,7 @@ class PrefixCounter:
         """closed[1..n] for one word of byte symbols. Those of up to LONG
         symbols are kept, as many words start alike."""
         if len(word) > LONG:
-            out = list(self.word_prefixes(word[:LONG]))
-            for i in range(LONG + 1, len(word) + 1):
-                out.append(self.extend(word[:i]))
-            for i in range(LONG + 1, len(word) + 1):
-                del self.opened[word[:i]]
-            return out
+            return self.long_word(word)
         known = self.closed
         i = len(word)
         while i and word[:i] not in known:
@@ -197,6 +193,30 @@ class PrefixCounter:
             known[prefix] = table
         return table
 
+    def long_word(self, word: str) -> list[int]:
+        """closed[1..n] for one word of any length, its open states (last
+        token, count) in a list by position; nothing is kept of it."""
+        vocab, suffix = self.vocab, self.suffix
+        opened: list[tuple[str, int]] = []
+        out = []
+        for i in range(1, len(word) + 1):
+            open_, closed = None, 0
+            for j in range(i - 1, max(i - self.longest, 0) - 1, -1):
+                token = word[j:i]
+                whole = token + suffix
+                before, n = opened[j - 1] if j else ("", 0)
+                if not closed and whole in vocab and (self.neighbours(before, whole) if j else self.alone(whole)):
+                    closed = n + 1
+                if open_ is None and token in vocab and (self.neighbours(before, token) if j else self.alone(token)):
+                    open_ = (token, n + 1)
+                if closed and open_:
+                    break
+            else:
+                raise ValueError(f"no encoding of {word[max(i - self.longest, 0):i]!r}")
+            opened.append(open_)
+            out.append(closed)
+        return out
+
     # -- one chunk between white space -------------------------------------
     def pieces(self, chunk: str) -> list[tuple[str, int, int]]:
         """(byte symbols, start, end) of the chunk's words."""
@@ -211,11 +231,12 @@ class PrefixCounter:
 
     def chunk_prefixes(self, chunk: str) -> list[int]:
         """Tokens of chunk[:1], chunk[:2], ... each as a text of its own."""
-        if "'" in chunk:  # a shortened contraction is split otherwise
-            return [self.chunk_count(chunk[:i]) for i in range(1, len(chunk) + 1)]
         out, before = [], 0
         for piece, a, b in self.pieces(chunk):
             closed = self.word_prefixes(piece)
+            if piece in CONTRACTIONS:  # cut short, its quote is a word of its own
+                quote = self.word_prefixes("'")[-1]
+                closed = [quote, *(quote + n for n in self.word_prefixes(piece[1:])[:-1]), closed[-1]]
             if len(piece) == b - a:
                 out += closed if not before else [before + n for n in closed]
             else:  # only where a character ends
