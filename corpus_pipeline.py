@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotaflow.llm.common import written
+from quotaflow.llm.common import first_words, written
 from quotaflow.llm.decontaminate import contamination
 from quotaflow.llm.jaccard_join import near_duplicates
 from quotaflow.llm.line_dedup import drop_frequent_lines
@@ -43,8 +43,16 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: documents with the times that each is taken."""
-    return mix_sources(docs)
+    """Documents that the mix does not take go. One row stands for all takes of
+    a document: ``repeats`` times its text and, where ``part_words`` is above 0,
+    once ``part_text``, its first ``part_words`` words (else null). Of a
+    document with repeats 0 only that part is taken: its text is cut to it, and
+    n_chars follows."""
+    mixed = mix_sources(docs).where("taken > 0")
+    cut = F.when(F.col("part_words") > 0, first_words(F.col("text"), F.col("part_words")))
+    mixed = mixed.withColumn("part_text", cut)
+    mixed = mixed.withColumn("text", F.when(F.col("repeats") > 0, F.col("text")).otherwise(F.col("part_text")))
+    return mixed.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 STAGES = [

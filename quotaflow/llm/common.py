@@ -37,6 +37,14 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_WS)), F.lit(0)).cast("long")
 
 
+def first_words(text: Column, n: Column) -> Column:
+    """``text`` up to the end of its ``n``-th word; it must have as many."""
+    parts = F.split(F.translate(text, WS, " " * len(WS)), " ", -1)  # empty between neighbouring spaces
+    ends = F.filter(F.transform(parts, lambda x, i: F.when(x != "", i + 1)), lambda i: i.isNotNull())
+    kept = F.slice(parts, F.lit(1), F.element_at(ends, n.cast("int")))
+    return F.substring(text, F.lit(1), F.char_length(F.array_join(kept, " ")))
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else. ``lower`` does that for texts of ASCII
     only; the others go through ``translate``."""
