@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StructType
 
 from quotaflow.session import scratch_path
 
@@ -27,6 +27,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def worker_cache(key: tuple, make):
+    """What ``make`` returns, made once in a worker process and found again by
+    its later tasks. Modules sent by value are built anew for every task, so
+    their own dictionaries would not last; this one hangs on ``builtins``."""
+    import builtins
+
+    held = builtins.__dict__.setdefault("_quotaflow_worker_cache", {})
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` less the columns that the result is about to define."""
     return df.drop(*[c for c in df.columns if c.lower() in {n.lower() for n in names}])
@@ -52,14 +64,19 @@ def ascii_lower(text: Column) -> Column:
         F.translate(text, UPPER, LOWER))
 
 
+def crc(key: Column) -> Column:
+    """crc32 of a column as text. A null key counts as empty text."""
+    return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary"))
+
+
 def crc_mod(key: Column, n: int) -> Column:
-    """crc32 of a column as text, modulo n. A null key counts as empty text."""
-    return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % n
+    """crc32 of a column as text, modulo n."""
+    return crc(key) % n
 
 
 def widened(df: DataFrame, *fields: tuple[str, str]) -> StructType:
     """The schema of ``df`` with further (name, type) fields."""
     schema = StructType(list(df.schema.fields))
     for name, kind in fields:
-        schema.add(name, kind)
+        schema.add(name, DataType.fromDDL(kind))
     return schema
