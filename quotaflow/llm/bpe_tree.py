@@ -49,9 +49,11 @@ from quotaflow.llm.token_counts import byte_symbols
 # ASCII is an "a", digit a "0", white space a tab, anything else a "!" (fixed value).
 PIECES = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z]+| ?[0-9]+| ?[^ \t-\rA-Za-z0-9]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
 MARGIN = 3  # characters of the longest fixed alternative of the pattern
-LEAF = 1024  # characters encoded in one go
+LEAF = 2048  # characters encoded in one go
 SPREAD = 65_536  # characters encoded in one task
-MEMO = 400_000  # pieces in each of the two generations that a worker remembers
+MEMO = 200_000  # pieces in each of the two generations that a worker remembers
+
+ROWS = 256  # texts in each batch that a worker returns
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -80,8 +82,27 @@ class Node:
         self.start, self.end, self.ends, self.ids = start, end, ends, ids
 
 
+class Decoder:
+    """Bytes of each token of a byte-level tokenizer file."""
+
+    def __init__(self, path: str) -> None:
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        byte_of = {s: b for b, s in enumerate(byte_symbols())}
+
+        def raw(token: str) -> bytes:
+            return bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode("utf-8")
+
+        self.raw = {i: raw(t) for t, i in spec["model"]["vocab"].items()}
+        self.raw |= {a["id"]: raw(a["content"]) for a in spec["added_tokens"]}
+
+    def decode(self, ids) -> str:
+        raw = self.raw
+        return b"".join([raw.get(i, b"") for i in ids]).decode("utf-8", "replace")
+
+
 class TreeEncoder:
-    """Encoder and decoder for one byte-level tokenizer file."""
+    """Encoder for one byte-level tokenizer file."""
 
     def __init__(self, path: str, leaf: int = LEAF) -> None:
         from tokenizers import Tokenizer
@@ -100,17 +121,10 @@ class TreeEncoder:
         longest_first = sorted(self.special, key=len, reverse=True)
         self.parts = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if self.special else None
         self.symbols = byte_symbols()
-        self.symbol_byte = {s: b for b, s in enumerate(self.symbols)}
-        vocab = {**spec["model"]["vocab"], **self.special}
-        self.token = {i: t for t, i in vocab.items()}
-        self.raw = {i: self.token_bytes(t) for i, t in self.token.items()}
+        self.token = {i: t for t, i in spec["model"]["vocab"].items()}
         self.memo: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
 
-    def token_bytes(self, token: str) -> bytes:
-        known = self.symbol_byte
-        return bytes(known[c] for c in token) if all(c in known for c in token) else token.encode("utf-8")
-
     # -- merging ------------------------------------------------------------
     def merge(self, symbols: str) -> tuple[int, ...]:
         return tuple([t.id for t in self.model.tokenize(symbols)])
@@ -221,10 +235,6 @@ class TreeEncoder:
                 out += chain.from_iterable(self.tree(part, self.classed(part), 0, len(part)).ids)
         return out
 
-    def decode(self, ids) -> str:
-        raw = self.raw
-        return b"".join([raw.get(i, b"") for i in ids]).decode("utf-8", "replace")
-
     # -- long texts over several rows ----------------------------------------
     def segments(self, text: str, size: int) -> list[tuple[int, int, str]]:
         """(part, place in the part, text) rows that make up ``text``."""
@@ -263,6 +273,13 @@ class TreeEncoder:
         return out
 
 
+def sliced(batches):
+    """The batches in parts of ROWS rows, so that a worker holds few at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS):
+            yield b.slice(at, ROWS)
+
+
 def encode_texts(docs: DataFrame, path: str, leaf: int = LEAF, spread: int = SPREAD) -> DataFrame:
     """``docs`` (text, ...) with ids (array<int>) and n_tokens."""
     docs = without(docs, "ids", "n_tokens")
@@ -270,7 +287,7 @@ def encode_texts(docs: DataFrame, path: str, leaf: int = LEAF, spread: int = SPR
 
     def encode(batches):
         encoder = worker_cache(("bpe_tree", path, leaf), lambda: TreeEncoder(path, leaf))
-        for b in batches:
+        for b in sliced(batches):
             ids = [encoder.encode(t or "") for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32()))], [*b.schema.names, "ids"])
 
@@ -320,9 +337,9 @@ def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
     encoded = without(encoded, "decoded")
 
     def decode(batches):
-        encoder = worker_cache(("bpe_tree", path, LEAF), lambda: TreeEncoder(path, LEAF))
-        for b in batches:
-            texts = [encoder.decode(ids or ()) for ids in b.column("ids").to_pylist()]
+        decoder = worker_cache(("bpe_decoder", path), lambda: Decoder(path))
+        for b in sliced(batches):
+            texts = [decoder.decode(ids or ()) for ids in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, "decoded"])
 
     return encoded.mapInArrow(decode, widened(encoded, ("decoded", "string")))
