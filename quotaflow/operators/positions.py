@@ -64,7 +64,7 @@ def fund_positions(sheet: DataFrame) -> DataFrame:
         (T.sector_or_default(sector_cell) if sector_cell is not None else F.lit(T.DEFAULT_SECTOR)).alias("sector"),
         "quantity", "avg_cost", "price", "book_value",
         T.scale_dy(F.col("dy_raw")).alias("dy_12m"),
-        (T.strip_py(date_cell) if date_cell is not None else F.lit("-")).alias("ex_date_text"),
+        (F.coalesce(T.strip_py(date_cell), F.lit("-")) if date_cell is not None else F.lit("-")).alias("ex_date_text"),
         T.asset_link(F.col("ticker"), F.lit(FUND)).alias("link"),
     )
     return out

@@ -30,6 +30,8 @@ from quotaflow.operators import positions as P
 from quotaflow.operators import screens as K
 from quotaflow.params import DEFAULT_RUN
 from quotaflow.sources import fixtures as FX
+from quotaflow.sources import sheet_files as SF
+from quotaflow.sources import sheet_fixtures as SX
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -144,6 +146,59 @@ def q_segment(spark, sf):
     return positions(spark, sf).select("portfolio_id", "ticker", "asset_type", "sector", "segment")
 
 
+# ------------------------------------------------------------- sheet files
+FUND_WIDTH = max(P.COL_TICKER, P.COL_QTY, P.COL_PRICE, P.COL_AVG_COST, P.COL_BOOK, P.COL_DY) + 1
+
+
+def _sheet_files(spark, sf, kind):
+    """(rows, ledger) of the fund or manual sheets as files; the expected
+    sources are all customers' portfolios."""
+    root = SX.sheet_root(spark, sf, kind, fund_sheet(spark, sf) if kind == "fund" else manual_sheet(spark, sf))
+    rows = SF.read_sheets(spark, root)
+    expected = FX.table(spark, sf, "customer").select(F.col("c_custkey").alias("portfolio_id"))
+    if kind == "fund":
+        return rows, SF.source_ledger(spark, root, rows, FUND_WIDTH, expected)
+    return rows, SF.source_ledger(spark, root, rows, SF.MANUAL_COLUMNS, expected, header=True)
+
+
+def _fund_file_positions(spark, sf):
+    rows, ledger = _sheet_files(spark, sf, "fund")
+    return P.fund_positions(SF.positional(SF.usable(rows, ledger), P.COL_SECTOR + 1))
+
+
+def _manual_file_positions(spark, sf):
+    rows, ledger = _sheet_files(spark, sf, "manual")
+    return P.manual_positions(SF.headed(SF.usable(rows, ledger)))
+
+
+@register("sheet_positional")
+def q_sheet_positional(spark, sf):
+    """S1 -> P1: fund positions of the sheet files, rows numbered as read."""
+    return rounded(_fund_file_positions(spark, sf).select(*POS_COLS))
+
+
+@register("sheet_headed")
+def q_sheet_headed(spark, sf):
+    """S2 -> P2: manual positions of the sheet files, rows numbered as read."""
+    return rounded(_manual_file_positions(spark, sf).select(*POS_COLS))
+
+
+@register("source_ledger")
+def q_source_ledger(spark, sf):
+    """What became of every expected source."""
+    fund, manual = (_sheet_files(spark, sf, kind)[1].select(F.lit(kind).alias("kind"), "*") for kind in ("fund", "manual"))
+    return fund.unionByName(manual)
+
+
+@register("positions_from_sheets")
+def q_positions_from_sheets(spark, sf):
+    """P1-P7 over the sheet files: an unusable sheet costs its own rows only."""
+    manual = P.enrich_quotes(_manual_file_positions(spark, sf), quotes(spark, sf))
+    pos = P.union_positions(_fund_file_positions(spark, sf), manual).transform(P.dedup_keep_first).transform(
+        P.valuation).transform(P.with_weights)
+    return rounded(pos.select("portfolio_id", "ticker", "asset_type", "sector", "ex_date_text", "market_value", "profit", "weight"))
+
+
 # ------------------------------------------------------------------ screens
 @register("opportunities")
 def q_opportunities(spark, sf):

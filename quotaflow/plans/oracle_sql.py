@@ -726,3 +726,40 @@ SELECT date, symbol, round(close, 6) AS close FROM p
 WHERE symbol IN (SELECT symbol FROM hold) OR symbol IN ('^BVSP', 'IFIX.SA')"""
 
 ORACLE["last_known_good_stream"] = ORACLE["last_known_good"]
+
+
+# Sheet files: which sheets exist and how wide they are (the fixed shapes of the sheet fixtures).
+SHEETS = """
+fund_file AS (
+  SELECT portfolio_id, source_rank, row_number() OVER (PARTITION BY portfolio_id ORDER BY row_idx) - 1 AS row_idx, ticker, asset_type,
+         CASE WHEN portfolio_id % 11 = 5 THEN 'Indefinido' ELSE sector END AS sector, quantity, avg_cost, price, book_value, dy_12m,
+         CASE WHEN portfolio_id % 11 = 5 THEN '-' ELSE ex_date_text END AS ex_date_text, link
+  FROM fund WHERE portfolio_id % 13 <> 4 AND portfolio_id % 11 <> 3),
+manual_file AS (
+  SELECT * REPLACE (row_number() OVER (PARTITION BY portfolio_id ORDER BY row_idx) - 1 AS row_idx)
+  FROM manual WHERE portfolio_id % 7 <> 2 AND portfolio_id % 13 <> 9)"""
+
+ORACLE["sheet_positional"] = with_ctes(FIXTURE, FUND_ROWS, MANUAL_ROWS, SHEETS) + f"\nSELECT {POSITION_COLS} FROM fund_file"
+
+ORACLE["sheet_headed"] = with_ctes(FIXTURE, FUND_ROWS, MANUAL_ROWS, SHEETS) + f"""
+SELECT {POSITION_COLS} FROM (
+  SELECT m.* REPLACE (CASE WHEN asset_type = 'Ação' THEN avg_cost ELSE price END AS price) FROM manual_file m)"""
+
+ORACLE["source_ledger"] = with_ctes(FIXTURE, FUND_ROWS, MANUAL_ROWS) + """,
+f AS (SELECT portfolio_id, count(*) AS n, max(CASE WHEN portfolio_id % 11 = 7 AND row_idx % 3 = 0 THEN 30 ELSE 25 END) AS w
+      FROM fund WHERE portfolio_id % 13 <> 4 GROUP BY 1),
+m AS (SELECT portfolio_id, CASE WHEN portfolio_id % 13 = 9 THEN 0 ELSE count(*) + 1 END AS n FROM manual GROUP BY 1)
+SELECT 'fund' AS kind, c_custkey AS portfolio_id,
+  CASE WHEN n IS NULL THEN 'missing' WHEN c_custkey % 11 = 3 THEN 'narrow' ELSE 'ok' END AS status, coalesce(n, 0) AS n_rows,
+  CAST(CASE WHEN n IS NULL THEN 0 WHEN c_custkey % 11 = 3 THEN 12 WHEN c_custkey % 11 = 5 THEN 18 ELSE w END AS INTEGER) AS width
+FROM customer LEFT JOIN f ON portfolio_id = c_custkey
+UNION ALL
+SELECT 'manual', c_custkey,
+  CASE WHEN n IS NULL THEN 'missing' WHEN c_custkey % 7 = 2 THEN 'narrow' WHEN n = 0 THEN 'empty' ELSE 'ok' END, coalesce(n, 0),
+  CAST(CASE WHEN n IS NULL THEN 0 WHEN c_custkey % 7 = 2 THEN 3 WHEN c_custkey % 7 = 3 THEN 6 ELSE 4 END AS INTEGER)
+FROM customer LEFT JOIN m ON portfolio_id = c_custkey"""
+
+ORACLE["positions_from_sheets"] = with_ctes(FIXTURE, FUND_ROWS, MANUAL_ROWS, SHEETS, POSITIONS.replace(
+    "SELECT * FROM fund UNION ALL SELECT * FROM manual", "SELECT * FROM fund_file UNION ALL SELECT * FROM manual_file")) + """
+SELECT portfolio_id, ticker, asset_type, sector, ex_date_text, round(market_value, 4) AS market_value, round(profit, 4) AS profit,
+       round(weight, 6) AS weight FROM pos"""
