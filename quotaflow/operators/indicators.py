@@ -15,7 +15,10 @@ from __future__ import annotations
 
 import re
 import sys
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -43,139 +46,164 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
          "track", "wbr", "basefont", "bgsound", "command", "frame", "image", "isindex", "keygen", "menuitem",
          "nextid", "spacer"}
 _HIDDEN_TEXT = {"script", "style", "template"}
-_TEXT_VP = re.compile(TEXT_VP_PATTERN, re.IGNORECASE)
+# The two ends of TEXT_VP_PATTERN, looked for apart.
+_TEXT_LABEL = re.compile(TEXT_VP_PATTERN.split(".*?")[0], re.IGNORECASE)
+_TEXT_AMOUNT = re.compile(TEXT_VP_PATTERN.split(".*?")[1], re.IGNORECASE)
+# A letter that no number's text has (it may have those of R$, exponents, inf and nan).
+_OTHER_LETTER = re.compile(r"(?![RinftyaeINFTYAE])[^\W\d_]")
 
 
-class _Node:
-    __slots__ = ("tag", "cls", "id", "parent", "kids")
+class _Page(HTMLParser):
+    """A page as flat lists in document order, read in one pass with a stack of
+    open elements (no recursion, so any depth): an end tag closes the nearest
+    open element of that name (unclosed ones inside it too), stray end tags are
+    ignored, void elements hold nothing. Text under script, style and template
+    and comments is not page text.
 
-    def __init__(self, tag, attrs, parent):
-        self.tag, self.parent, self.kids = tag, parent, []
-        d = dict(attrs)
-        self.cls = set((d.get("class") or "").split())
-        self.id = d.get("id")
-
-
-class _Tree(HTMLParser):
-    """Element tree as the lenient html.parser builder makes it: an end tag
-    closes the nearest open element of that name (unclosed ones inside it
-    too), stray end tags are ignored, void elements never hold children.
-    Text under script/style/template and comments is not page text."""
+    Every element has the interval of places (elements and strings counted
+    together) it spans; what lies inside an element is what lies in its interval.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = _Node("[document]", [], None)
-        self.cur = self.root
-
-    def handle_starttag(self, tag, attrs):
-        node = _Node(tag, attrs, self.cur)
-        self.cur.kids.append(node)
-        if tag not in _VOID:
-            self.cur = node
+        self.place = 0
+        self.ends = {}  # place of an element -> place after its last descendant
+        self.open = []  # (tag, place, inside div.value, inside the quote card, inside its div.value)
+        self.open_tags = Counter()
+        self.strings, self.string_places = [], []
+        self.found = {k: [] for k in ("cell", "desc", "value_span", "card", "head", "body", "tr", "td")}
+        self.table = self.quote = None
+
+    def handle_starttag(self, tag, attrs, empty=False):
+        at, self.place = self.place, self.place + 1
+        d = dict(attrs)
+        cls = set((d.get("class") or "").split()) if tag == "div" else ()
+        value, card, chain = self.open[-1][2:] if self.open else (False, False, False)
+        if tag == "div":
+            for kind, name in (("cell", "cell"), ("desc", "desc"), ("card", "_card"), ("head", "_card-header"), ("body", "_card-body")):
+                if name in cls:
+                    self.found[kind].append(at)
+        elif tag == "span":
+            if value:
+                self.found["value_span"].append(at)
+            if chain and self.quote is None:
+                self.quote = at
+        elif tag in ("tr", "td"):
+            self.found[tag].append(at)
+        if self.table is None and d.get("id") == TABLE_ID:
+            self.table = at
+        if empty or tag in _VOID:
+            self.ends[at] = self.place
+            return
+        is_value = "value" in cls
+        self.open.append((tag, at, value or is_value, card or ("_card" in cls and "cotacao" in cls), chain or (is_value and card)))
+        self.open_tags[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
-        self.cur.kids.append(_Node(tag, attrs, self.cur))
+        self.handle_starttag(tag, attrs, empty=True)
 
     def handle_endtag(self, tag):
-        n = self.cur
-        while n is not None and n.tag != tag:
-            n = n.parent
-        if n is not None and n.parent is not None:
-            self.cur = n.parent
-
-    def handle_data(self, data):
-        if self.cur.tag not in _HIDDEN_TEXT:
-            self.cur.kids.append(data)
-
-
-def _walk(node):
-    for k in node.kids:
-        if isinstance(k, _Node):
-            yield k
-            yield from _walk(k)
-
-
-def _strings(node):
-    for k in node.kids:
-        if isinstance(k, str):
-            yield k
-        else:
-            yield from _strings(k)
+        if self.open_tags[tag]:
+            while self._close() != tag:
+                pass
 
+    def _close(self):
+        tag, at, *_ = self.open.pop()
+        self.open_tags[tag] -= 1
+        self.ends[at] = self.place
+        return tag
 
-def _text(node, strip=False):
-    if strip:
-        return "".join(s.strip() for s in _strings(node) if s.strip())
-    return "".join(_strings(node))
-
-
-def _is(node, tag, *classes):
-    return node.tag == tag and all(c in node.cls for c in classes)
-
-
-def _has_ancestor(node, tag, *classes):
-    p = node.parent
-    while p is not None:
-        if _is(p, tag, *classes):
-            return True
-        p = p.parent
-    return False
-
-
-def _in_chain(node, inner, outer):
-    """``outer inner node`` as a CSS descendant chain: some ancestor matches
-    ``inner`` and one of *its* ancestors matches ``outer``."""
-    p = node.parent
-    while p is not None:
-        if _is(p, *inner) and _has_ancestor(p, *outer):
-            return True
-        p = p.parent
-    return False
-
-
-def _first(node, pred):
-    return next((n for n in _walk(node) if pred(n)), None)
-
-
-def _value_span(scope):
-    """First 'div.value span' under ``scope``."""
-    return _first(scope, lambda n: n.tag == "span" and _has_ancestor(n, "div", "value"))
+    def handle_data(self, data):
+        if not (self.open and self.open[-1][0] in _HIDDEN_TEXT):
+            self.strings.append(data)
+            self.string_places.append(self.place)
+            self.place += 1
+
+    def read(self, html):
+        self.feed(html)
+        self.close()
+        while self.open:
+            self._close()
+        self.stripped = [s.strip() for s in self.strings]
+        upper = [s.upper() for s in self.stripped]
+        self.upper, self.upper_at = "".join(upper), list(accumulate(map(len, upper), initial=0))
+        self.letters_at = list(accumulate((bool(_OTHER_LETTER.search(s)) for s in self.stripped), initial=0))
+        return self
+
+    def inside(self, kind, at, most=None):
+        """The elements of a kind inside the element at ``at``, in order (the
+        first ``most``)."""
+        places = self.found[kind]
+        a, b = bisect_right(places, at), bisect_left(places, self.ends[at])
+        return places[a:b if most is None else min(b, a + most)]
+
+    def first(self, kind, at):
+        return next(iter(self.inside(kind, at, 1)), None)
+
+    def span(self, at):
+        """The strings inside an element, as a range of their numbers."""
+        return bisect_left(self.string_places, at), bisect_left(self.string_places, self.ends[at])
+
+    def text(self, at):
+        return "".join(self.strings[slice(*self.span(at))])
+
+    def holds(self, key, at):
+        """Whether the element's stripped, upper-cased text holds ``key``."""
+        a, b = self.span(at)
+        found = self.upper.find(key, self.upper_at[a], self.upper_at[b])
+        return found >= 0
+
+
+def _text_value(page):
+    """What TEXT_VP_PATTERN captures in the page's text, in one pass: the first
+    label that an amount follows on the same line, and the first such amount."""
+    text = " ".join(s for s in page.stripped if s)
+    amounts = list(_TEXT_AMOUNT.finditer(text))
+    starts = [m.start() for m in amounts]
+    breaks = [m.start() for m in re.finditer("\n", text)]
+    for label in _TEXT_LABEL.finditer(text):
+        i = bisect_left(starts, label.end())
+        if i == len(starts):
+            return None
+        if bisect_left(breaks, label.end()) == bisect_left(breaks, starts[i]):
+            return amounts[i].group(1)
+    return None
 
 
 def extract_page(html: str) -> dict:
-    """Raw strings picked by the reference's selectors from one page."""
-    tree = _Tree()
-    tree.feed(html or "")
-    tree.close()
-    root = tree.root
-    cell_vp, card_dy = [], []
-    for n in _walk(root):
-        if _is(n, "div", "cell"):
-            desc = _first(n, lambda m: _is(m, "div", "desc"))
-            if desc is not None and VP_KEY in _text(desc, strip=True).upper():
-                span = _value_span(n)
-                if span is not None:
-                    cell_vp.append(_text(span))
-        if _is(n, "div", "_card"):
-            head = _first(n, lambda m: _is(m, "div", "_card-header"))
-            if head is not None and DY_CARD_KEY in _text(head, strip=True).upper():
-                body = _first(n, lambda m: _is(m, "div", "_card-body"))
-                if body is not None:
-                    card_dy.append(_text(body))
-    table = _first(root, lambda m: m.id == TABLE_ID)
-    keys, vals, text_vp = [], [], None
-    if table is not None:
-        for tr in (m for m in _walk(table) if m.tag == "tr"):
-            tds = [m for m in _walk(tr) if m.tag == "td"]
-            if len(tds) >= 2:
-                keys.append(_text(tds[0], strip=True).upper())
-                vals.append(_text(tds[1], strip=True))
-        page_text = " ".join(s.strip() for s in _strings(root) if s.strip())
-        m = _TEXT_VP.search(page_text)
-        text_vp = m.group(1) if m else None
-    quote = _first(root, lambda m: m.tag == "span" and _in_chain(m, ("div", "value"), ("div", "_card", "cotacao")))
-    return {"has_table": table is not None, "cell_vp": cell_vp, "card_dy": card_dy, "table_keys": keys,
-            "table_vals": vals, "text_vp": text_vp, "quote_raw": _text(quote) if quote is not None else None}
+    """Raw strings picked by the reference's selectors from one page. Of the
+    table's rows those that may give a value: the key holds one of the two names
+    and the value has characters of numbers only."""
+    page = _Page().read(html or "")
+    cell_vp, card_dy, keys, vals = [], [], [], []
+    for at in page.found["cell"]:
+        desc = page.first("desc", at)
+        if desc is not None and page.holds(VP_KEY, desc):
+            value = page.first("value_span", at)
+            if value is not None:
+                cell_vp.append(value)
+    for at in page.found["card"]:
+        head = page.first("head", at)
+        if head is not None and page.holds(DY_CARD_KEY, head):
+            body = page.first("body", at)
+            if body is not None:
+                card_dy.append(body)
+    if page.table is not None:
+        for tr in page.inside("tr", page.table):
+            cells = page.inside("td", tr, 2)
+            if len(cells) < 2:
+                continue
+            key, value = cells
+            a, b = page.span(value)
+            named = [k for k in (VP_KEY, DY_TABLE_KEY) if page.holds(k, key)]
+            if named and page.letters_at[a] == page.letters_at[b]:
+                keys.append(" ".join(named))
+                vals.append("".join(page.stripped[a:b]))
+    # The last match of a card decides, so its text is all that is returned.
+    return {"has_table": page.table is not None, "cell_vp": [page.text(at) for at in cell_vp[-1:]],
+            "card_dy": [page.text(at) for at in card_dy[-1:]], "table_keys": keys, "table_vals": vals,
+            "text_vp": _text_value(page) if page.table is not None else None,
+            "quote_raw": page.text(page.quote) if page.quote is not None else None}
 
 
 # The extractor travels with each task (pickled by value), so executors need
@@ -188,8 +216,8 @@ NOTHING = {"has_table": False, "cell_vp": [], "card_dy": [], "table_keys": [], "
 
 
 def _extract_or_miss(html: str | None) -> dict | None:
-    """The page's raw fields; None for a page that cannot be read (nested
-    beyond the interpreter's depth, broken markup): a miss, not a failed job."""
+    """The page's raw fields; None for a page that cannot be read (the parser
+    gives up on its markup): a miss, not a failed job."""
     try:
         return extract_page(html)
     except Exception:  # noqa: BLE001 - whatever a page does, the others go on
