@@ -27,6 +27,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing reads any more, and let Spark
+    drop the shuffle files of finished queries: its cleaner acts only when the
+    driver collects garbage, which a large heap puts off for long."""
+    for df in tables:
+        files = df.inputFiles()
+        folder = files[0].rsplit("/", 1)[0] if files else ""
+        if "/llm-" in folder:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
+
+
 def worker_cache(key: tuple, make):
     """What ``make`` returns, made once in a worker process and found again by
     its later tasks. Modules sent by value are built anew for every task, so

@@ -46,13 +46,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quotaflow.llm.common import written
+from quotaflow.llm.common import discard, written
 
 BITS = 4096  # bits a block
 SPARE = 4  # a fourth more blocks than differences
+HOT = 1000  # members of a bucket whose hub is found by an aggregate and a join
 CELL_BITS = 16  # cells in which elements of differences are counted
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -201,11 +202,34 @@ def components(links: DataFrame) -> DataFrame:
         up = step.select(F.col("node").alias("up"), F.col("label").alias("up_label"))
         done = written(step.join(up, F.col("label") == F.col("up"), "left").select(
             "node", "old", F.least("label", F.coalesce("up_label", "label")).alias("label")), "labels")
-        if done.where("old <> label").isEmpty():
+        settled = done.where("old <> label").isEmpty()
+        discard(labels)
+        if settled:
+            discard(edges)
             return done.select("node", F.col("label").alias("component"))
         labels = done.select("node", "label")
 
 
+def bucket_pairs(reps: DataFrame) -> DataFrame:
+    """(hub, doc) of all buckets of ``reps`` (doc_id, keys): every member but
+    the hub with it. A bucket of up to HOT members is ordered by one window; the
+    hubs of larger ones come from an aggregate that is joined back, which Spark
+    can split, so no bucket is one task's work."""
+    blocks = reps.select(F.col("doc_id").alias("rep"), F.explode("keys").alias("key"))
+    shared = written(blocks.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+    met = F.sum("n").over(Window.partitionBy("rep"))  # a document's own blocks
+    ranked = written(blocks.join(shared, "key").select("key", "rep", "n", met.alias("met")), "ranked")
+    discard(shared)
+    best = Window.partitionBy("key").orderBy(F.desc("met"), "rep")
+    small = ranked.where(F.col("n") <= HOT).select("rep", F.first("rep").over(best).alias("hub"))
+    large = ranked.where(F.col("n") > HOT)
+    hubs = large.groupBy("key").agg((-F.max(F.struct("met", (-F.col("rep")).alias("order")))["order"]).alias("hub"))
+    found = small.unionByName(large.join(hubs, "key").select("rep", "hub"))
+    pairs = written(found.where("hub <> rep").select("hub", F.col("rep").alias("doc")).distinct(), "pairs")
+    discard(ranked)
+    return pairs
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row for each of ``docs``
     (doc_id, text)."""
@@ -223,22 +247,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     sig = ["n_shingles", "sig1", "sig2"]
     classes = written(nodes.groupBy(*sig).agg(F.min("doc_id").alias("rep")), "classes")
     reps = nodes.join(classes.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi")
-    blocks = reps.select(F.col("doc_id").alias("rep"), F.explode("keys").alias("key"))
-    shared = written(blocks.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
-    members = written(blocks.join(shared, "key"), "members")
-    met = written(members.groupBy("rep").agg(F.sum("n").alias("met")), "met")
-    ranked = members.join(met, "rep").select("key", F.struct(F.col("met"), (-F.col("rep")).alias("order")).alias("rank"))
-    hubs = written(ranked.groupBy("key").agg((-F.max("rank")["order"]).alias("hub")), "hubs")
-    pairs = written(members.join(hubs, "key").where("hub <> rep").select("hub", F.col("rep").alias("doc")).distinct(), "pairs")
+    pairs = bucket_pairs(reps)
     wanted = written(pairs.select("doc").union(pairs.select("hub")).distinct(), "wanted")
     some = written(named.join(wanted, F.col("doc_id") == F.col("doc"), "left_semi"), "texts")
     first = written(verified(some, pairs, width, percent), "verified")
+    discard(pairs, wanted, some)
     links = first.where("links").select(F.col("hub").alias("a"), F.col("doc").alias("b"))
-    first = rarest_first(first)
+    links, every = written(links, "links"), first
+    first = rarest_first(every)
+    discard(every)
     for nearest in (True, False):
-        more = related(crossed(first, components(links), nearest, percent), first, percent)
-        links = written(links.unionByName(more), "links")
+        labels = components(links)
+        met = crossed(first, labels, nearest, percent)
+        more = written(links.unionByName(related(met, first, percent)), "links")
+        discard(links, labels, met)
+        links = more
     found = components(links)
+    discard(first, links)
     classed = nodes.select("doc_id", *sig).join(classes, sig).select(F.col("doc_id").alias("id"), "rep")
     of_doc = classed.join(found, F.col("rep") == F.col("node"), "left").select(
         "id", F.coalesce("component", "rep").alias("component"))
