@@ -34,9 +34,12 @@ from __future__ import annotations
 import json
 import re
 import sys
+from array import array
 from bisect import bisect_left, bisect_right
-from itertools import accumulate, chain
+from collections.abc import Callable
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -45,13 +48,16 @@ from pyspark.sql import functions as F
 from quotaflow.llm.common import widened, without, worker_cache, written
 from quotaflow.llm.token_counts import byte_symbols
 
-# The tokenizer's word pattern over classed text, where every letter beyond
-# ASCII is an "a", digit a "0", white space a tab, anything else a "!" (fixed value).
+# The tokenizer's word pattern (fixed value) for texts whose characters are all
+# classed alike by Python, and for classed text, where every letter beyond ASCII
+# is an "a", digit a "0", white space a tab, anything else a "!".
+WORDS = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 PIECES = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z]+| ?[0-9]+| ?[^ \t-\rA-Za-z0-9]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
+LIKE = {"a": re.compile(r"[^\W\d_]"), "0": re.compile(r"\d"), "\t": re.compile(r"\s"), "!": re.compile(r"[^\s\w]|_")}
 MARGIN = 3  # characters of the longest fixed alternative of the pattern
 LEAF = 2048  # characters encoded in one go
 SPREAD = 65_536  # characters encoded in one task
-MEMO = 200_000  # pieces in each of the two generations that a worker remembers
+MEMO = 300_000  # pieces in each of the two generations that a worker remembers
 
 ROWS = 256  # texts in each batch that a worker returns
 
@@ -59,29 +65,53 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 class Classes(dict):
-    """Code point -> class character; the library itself is asked once for each."""
+    """Code point -> class character; the library itself is asked once for each.
+    ``alike`` are the characters that Python's patterns class as the library does."""
 
     def __init__(self, pieces) -> None:
         self.pieces = pieces
+        self.alike: set[str] = set()
+        self.met: set[str] = set()
 
     def __missing__(self, code: int) -> str:
         c = chr(code)
-        if code < 128:
-            self[code] = c
-        else:
-            self[code] = next((k for k in "a0\t" if len(self.pieces(k + c)) == 1), "!")
+        kind = next((k for k in "a0\t" if len(self.pieces(k + c)) == 1), "!")
+        self[code] = c if code < 128 else kind
+        if LIKE[kind].match(c):
+            self.alike.add(c)
         return self[code]
 
+    def all_alike(self, text: str) -> bool:
+        """Whether Python's patterns class all characters of ``text`` as the library does."""
+        found = set(text)
+        if not found <= self.alike:
+            for c in found - self.met:
+                self.met.add(c)
+                self[ord(c)]
+        return found <= self.alike
+
 
 class Node:
-    """The exact encoding of text[start:end]: where its pieces end, and their tokens."""
+    """The exact encoding of text[start:end]: where its pieces end, and their
+    tokens (the bytes of their ids)."""
 
     __slots__ = ("start", "end", "ends", "ids")
 
-    def __init__(self, start: int, end: int, ends: list[int], ids: list[tuple[int, ...]]) -> None:
+    def __init__(self, start: int, end: int, ends: list[int], ids: list[bytes]) -> None:
         self.start, self.end, self.ends, self.ids = start, end, ends, ids
 
 
+Find = Callable[[str], list[str]]  # cuts a (classed) text into pieces
+
+
+def packed(ids) -> bytes:
+    return array("i", ids).tobytes()
+
+
+def unpacked(ids: bytes) -> array:
+    return array("i", ids)
+
+
 class Decoder:
     """Bytes of each token of a byte-level tokenizer file."""
 
@@ -93,12 +123,26 @@ class Decoder:
         def raw(token: str) -> bytes:
             return bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode("utf-8")
 
-        self.raw = {i: raw(t) for t, i in spec["model"]["vocab"].items()}
-        self.raw |= {a["id"]: raw(a["content"]) for a in spec["added_tokens"]}
+        tokens = {i: raw(t) for t, i in spec["model"]["vocab"].items()}
+        tokens |= {a["id"]: raw(a["content"]) for a in spec["added_tokens"]}
+        listed = [tokens.get(i, b"") for i in range(max(tokens) + 2)]  # the last stands for unknown ids
+        self.bytes = np.frombuffer(b"".join(listed), np.uint8)
+        self.sizes = np.array([len(x) for x in listed], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def decode_all(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+        """The texts of several id lists, given one after the other."""
+        ids = np.where((ids >= 0) & (ids < len(self.sizes)), ids, len(self.sizes) - 1)
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.starts[ids] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+        raw = self.bytes[at].tobytes()
+        cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        return [raw[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
 
     def decode(self, ids) -> str:
-        raw = self.raw
-        return b"".join([raw.get(i, b"") for i in ids]).decode("utf-8", "replace")
+        known = np.array([-1 if i is None else i for i in ids], np.int64)
+        return self.decode_all(known, np.array([len(known)]))[0]
 
 
 class TreeEncoder:
@@ -122,56 +166,62 @@ class TreeEncoder:
         self.parts = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if self.special else None
         self.symbols = byte_symbols()
         self.token = {i: t for t, i in spec["model"]["vocab"].items()}
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     # -- merging ------------------------------------------------------------
-    def merge(self, symbols: str) -> tuple[int, ...]:
-        return tuple([t.id for t in self.model.tokenize(symbols)])
+    def merge(self, symbols: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(symbols)]
 
-    def piece(self, text: str) -> tuple[int, ...]:
+    def piece(self, text: str) -> bytes:
         """Tokens of one piece; those of up to a leaf are remembered."""
         got = self.memo.get(text)
         if got is None:
             got = self.older.get(text)
             if got is None:
-                got = self.merge("".join(map(self.symbols.__getitem__, text.encode("utf-8"))))
+                got = packed(self.merge("".join(map(self.symbols.__getitem__, text.encode("utf-8")))))
             if len(text) <= self.leaf:
                 if len(self.memo) >= MEMO:
                     self.older, self.memo = self.memo, {}
                 self.memo[text] = got
         return got
 
-    def join_tokens(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
+    def join_tokens(self, left: bytes, right: bytes) -> bytes:
         """Tokens of one piece from those of its two parts."""
-        k = 4
+        k, wide = 4, array("i").itemsize
         while True:
-            a, b = left[max(len(left) - k, 0):], right[:k]
+            a, b = unpacked(left[max(len(left) - k * wide, 0):]), unpacked(right[:k * wide])
             window = self.merge("".join([self.token[i] for i in (*a, *b)]))
-            if (k >= len(left) or window[0] == a[0]) and (k >= len(right) or window[-1] == b[-1]):
-                return left[: len(left) - len(a)] + window + right[len(b):]
+            if (k * wide >= len(left) or window[0] == a[0]) and (k * wide >= len(right) or window[-1] == b[-1]):
+                return left[: len(left) - len(a) * wide] + packed(window) + right[len(b) * wide:]
             k *= 2
 
     # -- scanning and joining -----------------------------------------------
-    def classed(self, text: str) -> str:
-        return text if text.isascii() else text.translate(self.classes)
+    def view(self, text: str) -> tuple[str, Find]:
+        """What is scanned in place of ``text``, and how it is cut into pieces."""
+        if self.classes.all_alike(text):
+            return text, WORDS.findall
+        return text.translate(self.classes), PIECES.findall
 
-    def scan(self, kinds: str, start: int, end: int) -> list[int]:
+    def scan(self, kinds: str, find: Find, start: int, end: int) -> list[int]:
         """Ends of the pieces of text[start:end] as a text of its own."""
-        return list(accumulate(map(len, PIECES.findall(kinds[start:end])), initial=start))[1:]
+        return list(accumulate(map(len, find(kinds[start:end])), initial=start))[1:]
 
-    def leaf_node(self, text: str, kinds: str, start: int, end: int) -> Node:
-        ends = self.scan(kinds, start, end)
+    def leaf_node(self, text: str, kinds: str, find: Find, start: int, end: int) -> Node:
+        words = find(kinds[start:end])
+        ends = list(accumulate(map(len, words), initial=start))
+        if kinds is not text:
+            words = map(text.__getitem__, map(slice, ends, ends[1:]))
         get, piece = self.memo.get, self.piece  # a turned memo is still right
-        return Node(start, end, ends, [get(w) or piece(w) for w in map(text.__getitem__, map(slice, [start, *ends], ends))])
+        return Node(start, end, ends[1:], [get(w) or piece(w) for w in words])
 
-    def tree(self, text: str, kinds: str, start: int, end: int) -> Node:
+    def tree(self, text: str, kinds: str, find: Find, start: int, end: int) -> Node:
         if end - start <= self.leaf:
-            return self.leaf_node(text, kinds, start, end)
+            return self.leaf_node(text, kinds, find, start, end)
         middle = (start + end) // 2
-        return self.join(text, kinds, self.tree(text, kinds, start, middle), self.tree(text, kinds, middle, end))
+        return self.join(text, kinds, find, self.tree(text, kinds, find, start, middle), self.tree(text, kinds, find, middle, end))
 
-    def join(self, text: str, kinds: str, left: Node, right: Node) -> Node:
+    def join(self, text: str, kinds: str, find: Find, left: Node, right: Node) -> Node:
         """The encoding of two neighbouring stretches from those of each."""
         if not left.ends or not right.ends:
             return left if left.ends else right
@@ -183,7 +233,7 @@ class TreeEncoder:
             first = max(sure - grow, 0)
             begin = left.ends[first - 1] if first else left.start
             stop = right.ends[min(grow, len(right.ends)) - 1]
-            window = self.scan(kinds, begin, stop)
+            window = self.scan(kinds, find, begin, stop)
             agrees = window[: sure - first] == left.ends[first:sure]
             limit = stop if stop == right.end else stop - MARGIN
             ends = window[sure - first:]
@@ -214,7 +264,7 @@ class TreeEncoder:
             anchor = e
         return Node(left.start, right.end, out_ends + right.ends[used:], out_ids + right.ids[used:])
 
-    def part(self, text: str, node: Node, start: int, end: int) -> tuple[int, ...]:
+    def part(self, text: str, node: Node, start: int, end: int) -> bytes:
         """Tokens of a stretch of one piece, from the node if a piece of its own there."""
         at = bisect_left(node.ends, end)
         if at < len(node.ends) and node.ends[at] == end and (node.ends[at - 1] if at else node.start) == start:
@@ -226,14 +276,17 @@ class TreeEncoder:
         """Plain parts at even places, special strings at odd ones."""
         return self.parts.split(text) if self.parts and any(s in text for s in self.special) else [text]
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
+    def encode_packed(self, text: str) -> bytes:
+        out: list[bytes] = []
         for k, part in enumerate(self.split(text)):
             if k % 2:
-                out.append(self.special[part])
+                out.append(packed([self.special[part]]))
             elif part:
-                out += chain.from_iterable(self.tree(part, self.classed(part), 0, len(part)).ids)
-        return out
+                out += self.tree(part, *self.view(part), 0, len(part)).ids
+        return b"".join(out)
+
+    def encode(self, text: str) -> list[int]:
+        return unpacked(self.encode_packed(text)).tolist()
 
     # -- long texts over several rows ----------------------------------------
     def segments(self, text: str, size: int) -> list[tuple[int, int, str]]:
@@ -241,36 +294,40 @@ class TreeEncoder:
         return [(k, i, part if k % 2 else part[i:i + size]) for k, part in enumerate(self.split(text))
                 for i in (range(1) if k % 2 else range(0, len(part), size))]
 
-    def segment(self, part: int, text: str) -> tuple[list[int], list[int], list[int]]:
-        """(ends, token count by piece, tokens) of one row."""
+    def segment(self, part: int, text: str) -> tuple[list[int], list[int], bytes]:
+        """(ends, bytes of ids by piece, ids) of one row."""
         if part % 2:
-            return [len(text)], [1], [self.special[text]]
-        node = self.tree(text, self.classed(text), 0, len(text))
-        return node.ends, [len(x) for x in node.ids], list(chain.from_iterable(node.ids))
-
-    def assemble(self, rows: list[tuple[int, int, str, list[int], list[int], list[int]]]) -> list[int]:
-        """Tokens of a document from (part, place, text, *segment) of all its rows."""
-        out: list[int] = []
+            ids = packed([self.special[text]])
+            return [len(text)], [len(ids)], ids
+        node = self.tree(text, *self.view(text), 0, len(text))
+        return node.ends, [len(x) for x in node.ids], b"".join(node.ids)
+
+    def assemble(self, rows: list[tuple[int, int, str, list[int], list[int], bytes]]) -> bytes:
+        """Ids of a document from (part, place, text, *segment) of all its rows."""
+        out: list[bytes] = []
         by_part: dict[int, list] = {}
         for row in sorted(rows, key=lambda r: r[:2]):
             by_part.setdefault(row[0], []).append(row)
         for part, found in by_part.items():
             if part % 2:
-                out += found[0][5]
+                out.append(found[0][5])
                 continue
             text = "".join([r[2] for r in found])
-            kinds = self.classed(text)
+            kinds, find = self.view(text)
             level = []
-            for _, at, own, ends, counts, ids in found:
-                tokens, used = [], 0
-                for n in counts:
-                    tokens.append(tuple(ids[used:used + n]))
-                    used += n
-                level.append(Node(at, at + len(own), [at + e for e in ends], tokens))
+            for _, at, own, ends, sizes, ids in found:
+                cuts = list(accumulate(sizes, initial=0))
+                level.append(Node(at, at + len(own), [at + e for e in ends], [ids[a:b] for a, b in zip(cuts, cuts[1:])]))
             while len(level) > 1:
-                level = [self.join(text, kinds, *level[k:k + 2]) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
-            out += chain.from_iterable(level[0].ids)
-        return out
+                level = [self.join(text, kinds, find, *level[k:k + 2]) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
+            out += level[0].ids
+        return b"".join(out)
+
+
+def id_lists(rows: list[bytes]) -> pa.ListArray:
+    """An Arrow list of ids for each packed list."""
+    ends = np.cumsum([0, *map(len, rows)]) // array("i").itemsize
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(rows), np.int32)))
 
 
 def sliced(batches):
@@ -288,8 +345,8 @@ def encode_texts(docs: DataFrame, path: str, leaf: int = LEAF, spread: int = SPR
     def encode(batches):
         encoder = worker_cache(("bpe_tree", path, leaf), lambda: TreeEncoder(path, leaf))
         for b in sliced(batches):
-            ids = [encoder.encode(t or "") for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32()))], [*b.schema.names, "ids"])
+            ids = [encoder.encode_packed(t or "") for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, id_lists(ids)], [*b.schema.names, "ids"])
 
     size = F.coalesce(F.char_length("text"), F.lit(0))
     short = docs.where(size <= spread).mapInArrow(encode, schema)
@@ -316,17 +373,17 @@ def encode_texts(docs: DataFrame, path: str, leaf: int = LEAF, spread: int = SPR
         for b in batches:
             found = [encoder.segment(p, t) for p, t in zip(b.column("part").to_pylist(), b.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays(
-                [*b.columns, *[pa.array([f[i] for f in found], lists) for i in range(3)]],
-                ["long_key", "part", "place", "text", "ends", "counts", "ids"])
+                [*b.columns, *[pa.array([f[i] for f in found], kind) for i, kind in enumerate((lists, lists, pa.binary()))]],
+                ["long_key", "part", "place", "text", "ends", "sizes", "ids"])
 
     def assemble(table: pa.Table) -> pa.Table:
         encoder = worker_cache(("bpe_tree", path, leaf), lambda: TreeEncoder(path, leaf))
-        cols = [table.column(c).to_pylist() for c in ("part", "place", "text", "ends", "counts", "ids")]
-        ids = encoder.assemble(list(zip(*cols)))
-        return pa.table({"long_key": pa.array([table.column("long_key")[0].as_py()], pa.int64()), "ids": pa.array([ids], pa.list_(pa.int32()))})
+        cols = [table.column(c).to_pylist() for c in ("part", "place", "text", "ends", "sizes", "ids")]
+        ids = id_lists([encoder.assemble(list(zip(*cols)))])
+        return pa.table({"long_key": pa.array([table.column("long_key")[0].as_py()], pa.int64()), "ids": ids})
 
     cuts = long.select(key, "text").mapInArrow(cut, fields).repartition("long_key", "part", "place")
-    encoded = cuts.mapInArrow(encode_rows, fields + ", ends array<int>, counts array<int>, ids array<int>")
+    encoded = cuts.mapInArrow(encode_rows, fields + ", ends array<int>, sizes array<int>, ids binary")
     whole = encoded.groupBy("long_key").applyInArrow(assemble, "long_key long, ids array<int>")
     joined = long.join(whole, F.col(key) == F.col("long_key")).select(*docs.columns, "ids")
     return short.unionByName(joined).withColumn("n_tokens", F.size("ids").cast("long"))
@@ -339,7 +396,8 @@ def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
     def decode(batches):
         decoder = worker_cache(("bpe_decoder", path), lambda: Decoder(path))
         for b in sliced(batches):
-            texts = [decoder.decode(ids or ()) for ids in b.column("ids").to_pylist()]
+            ids = b.column("ids")
+            texts = decoder.decode_all(ids.flatten().fill_null(-1).to_numpy(), ids.value_lengths().fill_null(0).to_numpy())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, "decoded"])
 
     return encoded.mapInArrow(decode, widened(encoded, ("decoded", "string")))

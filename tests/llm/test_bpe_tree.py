@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from quotaflow.llm.bpe_tree import PIECES, Decoder, TreeEncoder, decode_ids, encode_texts
+from quotaflow.llm.bpe_tree import PIECES, WORDS, Decoder, TreeEncoder, decode_ids, encode_texts, unpacked
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -29,7 +29,7 @@ def test_joins_are_exact(leaf):
         want = ids(text)
         assert encoder.encode(text) == want
         rows = encoder.segments(text, 2 * leaf)
-        assert encoder.assemble([(*x, *encoder.segment(x[0], x[2])) for x in rows[::-1]]) == want
+        assert unpacked(encoder.assemble([(*x, *encoder.segment(x[0], x[2])) for x in rows[::-1]])).tolist() == want
         assert DECODER.decode(want) == LIBRARY.decode(want, skip_special_tokens=False)
 
 
@@ -45,11 +45,19 @@ def test_ascii_classes_are_the_library_s():
             assert [b - a for _, (a, b) in pieces(text)] == list(map(len, PIECES.findall(text))), repr(text)
 
 
+def test_characters_python_classes_otherwise_go_the_other_way():
+    encoder = TreeEncoder(PATH)
+    for text in ("a²b", "x\x1cy", "١٢", "é ü", "中文。", "a_b", "\x85 a", "Ⅷ", "ª", "a\u0301"):
+        kinds, find = encoder.view(text)
+        assert [b - a for _, (a, b) in LIBRARY.pre_tokenizer.pre_tokenize_str(text)] == list(map(len, find(kinds))), repr(text)
+    assert encoder.view("Plain ASCII and é")[1] == WORDS.findall and encoder.view("a²")[1] == PIECES.findall
+
+
 def test_decoding_takes_any_ids():
     broken = ids("é😀")
     for part in (broken[1:], broken[:-1], [50256, *broken[:1], 50256]):
         assert DECODER.decode(part) == LIBRARY.decode(part, skip_special_tokens=False)
-    assert DECODER.decode([None, 10**6]) == ""
+    assert DECODER.decode([None, 10**6, -5]) == "" == DECODER.decode([])
 
 
 def test_encode_texts(spark):
