@@ -54,6 +54,8 @@ from quotaflow.llm.common import discard, written
 BITS = 4096  # bits a block
 SPARE = 4  # a fourth more blocks than differences
 HOT = 1000  # members of a bucket whose hub is found by an aggregate and a join
+WORDS = 200_000  # words whose hashes a worker remembers
+ROWS = 512  # texts in each batch that a worker returns
 CELL_BITS = 16  # cells in which elements of differences are counted
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -81,7 +83,7 @@ class Shingler:
         if not words:
             return np.zeros(0, U)
         seen = self.seen
-        if len(seen) > 500_000:
+        if len(seen) > WORDS:
             seen.clear()
         for w in set(words).difference(seen):
             seen[w] = self.hash(w)
@@ -121,7 +123,7 @@ def block_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
 def _sets(width: int, percent: int):
     def run(batches):
         shingler = Shingler(width)
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             sizes, sums, xors, keys = [], [], [], []
             for text in batch.column("text").to_pylist():
                 h = shingler.shingles(text)
