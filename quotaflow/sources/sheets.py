@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from quotaflow.functions import text as T
+from quotaflow.sources import commits as CM
+from quotaflow.sources.sheet_files import csv_cells
 
 # Fixed values (must equal the reference's).
 SELIC_NAME = "SELIC"
@@ -23,14 +25,15 @@ _JSON_NUMBER = r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL\(.*\)|BOOLEA
 
 
 # ------------------------------------------------------------------ sheets
-def read_sheet(spark: SparkSession, path: str, header: bool = False, n_columns: int = 25) -> DataFrame:
-    """Every cell as text. Headerless sheets get positional names
-    ``_c0.._cN`` (an explicit all-string schema, no inference pass); headed
-    sheets keep their header names."""
+def read_sheet(spark: SparkSession, path: str, header: bool = False) -> DataFrame:
+    """One sheet, every cell as text. Headerless sheets get positional
+    names ``_c0.._cN``, as many as the widest row has cells; headed sheets keep
+    their header names. For many sheets with their row order see ``sheet_files``."""
     reader = spark.read.option("header", header).option("mode", "PERMISSIVE")
     if header:
         return reader.option("inferSchema", False).csv(path)
-    schema = StructType([StructField(f"_c{i}", StringType()) for i in range(n_columns)])
+    width = spark.read.text(path).agg(F.max(F.size(csv_cells(F.col("value"))))).first()[0] or 0
+    schema = StructType([StructField(f"_c{i}", StringType()) for i in range(width)])
     return reader.schema(schema).csv(path)
 
 
@@ -108,8 +111,9 @@ def named_rate(named: DataFrame) -> DataFrame:
 # --------------------------------------------------------------- snapshots
 def write_snapshot(positions: DataFrame, kpis: DataFrame, path: str, ts: _dt.datetime) -> str:
     """Positions (seven columns, nulls -> 0) and totals under one
-    snapshot id. Each snapshot is a new partition, so readers never see an
-    empty or half-cleared target; rewriting the same id is idempotent."""
+    snapshot id, each a new partition, then the commit that makes both visible.
+    Readers never see an empty, half-cleared or half-written snapshot; writing
+    the same id again replaces it."""
     sid = ts.strftime("%Y%m%d%H%M%S")
     stamp = F.lit(ts).cast("timestamp")
     numeric = {"price", "market_value", "price_to_book", "dy_12m"}
@@ -122,18 +126,19 @@ def write_snapshot(positions: DataFrame, kpis: DataFrame, path: str, ts: _dt.dat
      .withColumn("snapshot_id", F.lit(sid))
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("snapshot_id").parquet(f"{path}/totals"))
+    CM.commit(positions.sparkSession, path, sid)
     return sid
 
 
 def read_latest_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(totals, positions) of the newest snapshot id. A position row
+    """(totals, positions) of the newest committed snapshot. A position row
     whose portfolio has no totals row raises when evaluated (the reference
     fails the whole read, never returning partial data)."""
-    totals = spark.read.parquet(f"{path}/totals")
-    positions = spark.read.parquet(f"{path}/positions")
-    newest = totals.agg(F.max("snapshot_id").alias("snapshot_id"))
-    t = totals.join(newest, "snapshot_id", "left_semi")
-    p = positions.join(newest, "snapshot_id", "left_semi")
+    found = CM.newest(spark, path)
+    if found is None:
+        raise FileNotFoundError(f"no committed snapshot under {path}")
+    t = CM.at_version(spark.read.parquet(f"{path}/totals"), "snapshot_id", found[0])
+    p = CM.at_version(spark.read.parquet(f"{path}/positions"), "snapshot_id", found[0])
     checked = p.join(t.select("portfolio_id", F.lit(True).alias("_has_totals")), "portfolio_id", "left")
     checked = checked.where(F.when(F.col("_has_totals"), F.lit(True))
                             .otherwise(F.raise_error(F.lit("snapshot has no totals row")).cast("boolean"))
