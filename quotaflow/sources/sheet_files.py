@@ -17,7 +17,7 @@ that can't contributes nothing and fails nobody else (P4).
 Defined results: blank lines are rows of empty cells; a byte-order mark at a
 sheet's start is dropped; bytes that are no UTF-8 become U+FFFD; a file that
 cannot be decompressed to its end makes its whole source unusable; an expected
-source without a file is listed as missing; folders that nobody expects are read
+source without a row is listed as missing; folders that nobody expects are read
 and listed only where no list of sources is given.
 """
 
@@ -26,7 +26,7 @@ from __future__ import annotations
 import sys
 import zlib
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,7 +35,7 @@ from quotaflow.session import stage
 
 USABLE, MISSING, EMPTY, NARROW, UNREADABLE = "ok", "missing", "empty", "narrow", "unreadable"
 MANUAL_COLUMNS = 4  # the manual sheet's columns, whatever their names (fixed value)
-_SCHEMA = "value string, portfolio_id long"
+_ROWS = "portfolio_id long, row_idx long, width int, cells array<string>"
 _CELL = r',("(?:[^"]|"")*"|[^,]*)'
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -64,9 +64,11 @@ def read_sheets(spark: SparkSession, root: str) -> DataFrame:
     cells), ``row_idx`` from 0 in sheet order and ``width`` the sheet's. The
     lines are written once to the shared folder, so that ranges and rows are
     those of one reading."""
-    lines = spark.read.schema(_SCHEMA).option("ignoreCorruptFiles", True).text(root)
+    lines = spark.read.option("ignoreCorruptFiles", True).text(root)
+    if "portfolio_id" not in lines.columns:  # no file at all
+        return spark.createDataFrame([], _ROWS)
     read = stage(lines.select(
-        "portfolio_id", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.col("portfolio_id").cast("long").alias("portfolio_id"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("seq"), csv_cells(F.col("value")).alias("cells")), "sheet-rows")
     key = ["portfolio_id", "file", "block"]
     ranges = read.groupBy(*key).agg(F.min("seq").alias("first"), F.count(F.lit(1)).alias("n"), F.max(F.size("cells")).alias("widest"))
@@ -82,9 +84,9 @@ def read_sheets(spark: SparkSession, root: str) -> DataFrame:
 def _cut_short(batches):
     """Names of the gzip files that do not decompress to their end; only a
     window of each file's decompressed bytes is held."""
-    for pdf in batches:
+    for batch in batches:
         bad = []
-        for path, content in zip(pdf["path"], pdf["content"]):
+        for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
             left, good = content, len(content) > 0
             while good and left:
                 unpacker = zlib.decompressobj(zlib.MAX_WBITS | 16)
@@ -97,7 +99,7 @@ def _cut_short(batches):
                 good = good and unpacker.eof
             if not good:
                 bad.append(path)
-        yield pd.DataFrame({"path": bad})
+        yield pa.RecordBatch.from_arrays([pa.array(bad, pa.string())], ["path"])
 
 
 def unreadable_sources(spark: SparkSession, root: str) -> DataFrame:
@@ -105,7 +107,7 @@ def unreadable_sources(spark: SparkSession, root: str) -> DataFrame:
     packed = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(root)
     if "portfolio_id" not in packed.columns:  # no such file
         return spark.createDataFrame([], "portfolio_id long")
-    bad = packed.select("path", "content").mapInPandas(_cut_short, "path string")
+    bad = packed.select("path", "content").mapInArrow(_cut_short, "path string")
     return bad.select(F.regexp_extract("path", r"portfolio_id=(\d+)/", 1).cast("long").alias("portfolio_id")).distinct()
 
 
