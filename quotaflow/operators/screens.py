@@ -3,9 +3,8 @@
 Per-portfolio scalars (means, totals) come from a partial aggregate joined
 back on ``portfolio_id``; top-k uses ``row_number() <= k`` which Spark plans
 as a partial WindowGroupLimit before the exchange, so a hot portfolio is cut
-to k rows per map task before anything is shuffled. Unlimited sorted
-listings use a global ``orderBy`` (range partitioning) rather than a window,
-so one large portfolio is spread over many tasks.
+to k rows per map task before anything is shuffled. Unlimited listings are
+not sorted here; whoever shows them sorts what is shown.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 from quotaflow.functions import numeric as N
 from quotaflow.functions import text as T
 from quotaflow.operators import positions as P
-from quotaflow.params import ScreenParams
+from quotaflow.params import OFFICIAL, ScreenParams, columns_of
 
 # Fixed values of the screens (must equal the reference's).
 OPPORTUNITY_TOP = 4
@@ -71,39 +70,50 @@ def _top_k(df: DataFrame, k: int, *order: Column) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def opportunities(positions: DataFrame, params: ScreenParams, k: int = OPPORTUNITY_TOP) -> DataFrame:
+def opportunities(positions: DataFrame, params: ScreenParams | None, k: int = OPPORTUNITY_TOP,
+                  privacy: bool | Column = False) -> DataFrame:
     """K1: FII with P/VP in [min, max], DY >= min and weight strictly below
     the mean weight; contribution = max(0, total*mean weight - value) must be
     >= min; order P/VP asc, DY desc, contribution desc, then source order;
-    top k per portfolio."""
-    p = params.normalized()
+    top k per portfolio. ``params`` None reads each row's own
+    (``params.with_params``). In privacy mode (N18) the section is empty."""
+    p = columns_of(params)
     cand = with_means(positions).where(
         (F.col("asset_type") == "FII")
-        & (F.col("price_to_book") >= p.pvp_min) & (F.col("price_to_book") <= p.pvp_max)
-        & (F.col("dy_12m") >= p.dy_min)
+        & (F.col("price_to_book") >= p["pvp_min"]) & (F.col("price_to_book") <= p["pvp_max"])
+        & (F.col("dy_12m") >= p["dy_min"]) & _shown(privacy)
     ).where(F.col("weight") < F.col("mean_weight"))
     cand = cand.withColumn(
         "suggested_contribution",
         F.greatest(F.lit(0.0), F.col("target_value") - F.col("market_value")),
-    ).where(F.col("suggested_contribution") >= p.contribution_min)
+    ).where(F.col("suggested_contribution") >= p["contribution_min"])
     top = _top_k(cand, k, F.col("price_to_book").asc(), F.col("dy_12m").desc(),
                  F.col("suggested_contribution").desc(), F.col("source_rank"), F.col("row_idx"))
     return top.select("portfolio_id", "rank", "ticker", "sector", "segment", "price", "price_to_book",
                       "dy_12m", "weight", "market_value", "suggested_contribution", "link")
 
 
-def classify_risk(positions: DataFrame, params: ScreenParams, official_rate: float | Column) -> DataFrame:
-    """K2: reasons, rank and label for every FII row.
+def _shown(privacy: bool | Column) -> Column:
+    """The two card sections are left out in privacy mode."""
+    return ~(privacy if isinstance(privacy, Column) else F.lit(privacy))
+
+
+def classify_risk(positions: DataFrame, params: ScreenParams | None, official_rate: float | Column | None = None) -> DataFrame:
+    """K2: reasons, rank and label for every FII row. ``params`` None reads each
+    row's own parameters and rate (``params.with_params``).
 
     Rank/label: Baixo Yield + Armadilha -> 0; Baixo Yield -> 1; Caro -> 2;
     any other reasons -> 3 (joined); none -> 99 'Observação'. P/VP 0 counts
     as < 0.7."""
-    official = official_rate if isinstance(official_rate, Column) else F.lit(float(official_rate))
-    used = F.lit(float(params.selic)) if params.selic > 0 else official
-    limit = F.when(used > 0, used).otherwise(official)
+    p = columns_of(params)
+    if params is None:
+        official = F.col(OFFICIAL)
+    else:
+        official = official_rate if isinstance(official_rate, Column) else F.lit(float(official_rate))
+    limit = F.when(p["selic"] > 0, p["selic"]).otherwise(official)
     funds = with_means(positions).where(F.col("asset_type") == "FII")
     brick = (F.col("segment") == T.BRICK_LABEL) if "segment" in positions.columns else T.is_brick(F.col("sector"))
-    share = F.when(brick, F.lit(params.brick_pct)).otherwise(F.lit(params.paper_pct))
+    share = F.when(brick, p["brick_pct"]).otherwise(p["paper_pct"])
     floor_dy = F.col("mean_dy") * LOW_YIELD_MEAN_SHARE
     threshold = F.when(limit > 0, F.greatest(floor_dy, limit * share)).otherwise(floor_dy)
     pvp, dy = F.col("price_to_book"), F.col("dy_12m")
@@ -123,9 +133,10 @@ def classify_risk(positions: DataFrame, params: ScreenParams, official_rate: flo
     }).drop("total_value", "n_positions", "mean_weight", "target_value", "mean_dy")
 
 
-def risk_radar(classified: DataFrame, k: int = RADAR_TOP) -> DataFrame:
-    """K3: drop 'Observação'; rank asc, value desc, source order; top k."""
-    flagged = classified.where(F.col("risk_reasons") != WATCH)
+def risk_radar(classified: DataFrame, k: int = RADAR_TOP, privacy: bool | Column = False) -> DataFrame:
+    """K3: drop 'Observação'; rank asc, value desc, source order; top k. In
+    privacy mode (N18) the section is empty."""
+    flagged = classified.where((F.col("risk_reasons") != WATCH) & _shown(privacy))
     top = _top_k(flagged, k, F.col("risk_rank"), F.col("market_value").desc(), F.col("source_rank"), F.col("row_idx"))
     return top.select("portfolio_id", "rank", "ticker", "sector", "segment", "price", "avg_cost", "price_to_book",
                       "dy_12m", "weight", "market_value", "risk_reasons", "risk_rank", "risk_label", "link")
@@ -149,11 +160,10 @@ def value_matrix(positions: DataFrame) -> DataFrame:
 
 
 def best_discounts(positions: DataFrame) -> DataFrame:
-    """K5: FII with 0.1 < P/VP < 1.0, ascending P/VP (ticker breaks ties)."""
+    """K5: FII with 0.1 < P/VP < 1.0. Shown by ascending P/VP; readers sort."""
     return (positions.where((F.col("asset_type") == "FII") & (F.col("price_to_book") < DISCOUNT_HIGH)
                             & (F.col("price_to_book") > DISCOUNT_LOW))
-            .select("portfolio_id", "ticker", "price", "price_to_book", "dy_12m", "market_value", "weight")
-            .orderBy("portfolio_id", "price_to_book", "ticker"))
+            .select("portfolio_id", "ticker", "price", "price_to_book", "dy_12m", "market_value", "weight"))
 
 
 # Fixed column order of the inventory table (Link shown as Ficha).

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import datetime as _dt
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -25,6 +28,38 @@ class ScreenParams:
         return self
 
 
+PREFIX = "k0_"  # columns of the parameters on position rows
+OFFICIAL = PREFIX + "official_rate"
+
+
+def with_params(positions: DataFrame, overrides: DataFrame, defaults: ScreenParams, official_rate: Column) -> DataFrame:
+    """K0 as a relation: each position with its portfolio's parameters.
+
+    ``overrides`` (portfolio_id and any of the parameters; one row a portfolio)
+    lies over the default layer: a null, a missing column or a missing portfolio
+    means the default, and of the rate the official one (the scalar that A7's
+    chain gives). P/VP max is raised to the min when it is lower; an override of
+    the rate that is not above 0 means the official rate."""
+    names = [f.name for f in fields(ScreenParams)]
+    given = [n for n in names if n in overrides.columns]
+    own = overrides.select(F.col("portfolio_id"), *[F.col(n).cast("double").alias(f"_{n}") for n in given])
+    joined = positions.join(own, "portfolio_id", "left")
+    value = {n: F.coalesce(F.col(f"_{n}"), F.lit(getattr(defaults, n))) if n in given else F.lit(getattr(defaults, n)) for n in names}
+    value["selic"] = F.coalesce(F.col("_selic"), official_rate) if "selic" in given else official_rate
+    value["pvp_max"] = F.greatest(value["pvp_min"], value["pvp_max"])
+    out = joined.withColumns({PREFIX + n: c for n, c in value.items()} | {OFFICIAL: official_rate})
+    used = F.when(F.col(PREFIX + "selic") > 0, F.col(PREFIX + "selic")).otherwise(F.col(OFFICIAL))
+    return out.withColumn(PREFIX + "selic", used).drop(*[f"_{n}" for n in given])
+
+
+def columns_of(params: ScreenParams | None) -> dict[str, Column]:
+    """The parameters as columns: constants, or (None) those of ``with_params``."""
+    if params is None:
+        return {f.name: F.col(PREFIX + f.name) for f in fields(ScreenParams)}
+    p = params.normalized()
+    return {f.name: F.lit(float(getattr(p, f.name))) for f in fields(ScreenParams)}
+
+
 @dataclass(frozen=True)
 class RunParams:
     """Everything a run depends on besides data; never ``current_date()``."""
