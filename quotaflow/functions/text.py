@@ -157,6 +157,19 @@ def fmt_percent(x: Column) -> Column:
     return F.when(x.isNotNull(), F.concat(F.coalesce(_special_text(x * 100), body), F.lit("%")))
 
 
+def py_number(x: Column) -> Column:
+    """A double as Python's ``repr`` and CSV writer give it: the fewest digits
+    that read back as the same double, with an exponent from 1e16 on and below
+    1e-4. Spark's text has further digits for some doubles, and none of its
+    expressions tells which are superfluous, so an Arrow batch at a time goes
+    through Python: use it on the few rows of a report."""
+    @F.pandas_udf("string")
+    def text(values):
+        return values.map(repr)
+
+    return F.when(x.isNotNull(), text(x))
+
+
 def masked(formatted: Column, privacy: bool | Column) -> Column:
     """Every formatted amount becomes the mask in privacy mode."""
     p = privacy if isinstance(privacy, Column) else F.lit(bool(privacy))

@@ -28,9 +28,11 @@ def _plain_2dp(x: Column) -> Column:
     return F.regexp_replace(F.format_number(x, 2), ",", "")
 
 
-def _csv_field(c: Column) -> Column:
-    """A value as pandas writes it to CSV: doubles in shortest form, text
-    quoted only when it holds a comma, quote or newline."""
+def _csv_field(c: Column, is_double: bool) -> Column:
+    """A value as pandas writes it to CSV: doubles as Python prints them (NaN is
+    empty), text quoted only when it holds a comma, quote or newline."""
+    if is_double:
+        return T.py_number(F.nanvl(c, F.lit(None)))
     s = c.cast("string")
     needs = s.rlike('[,"\\n\\r]')
     return F.when(needs, F.concat(F.lit('"'), F.replace(s, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(s)
@@ -60,7 +62,8 @@ def context(positions: DataFrame, totals: DataFrame, k: int = K.REPORT_TOP) -> D
     top = K.top_by_value(positions, k)
     cols = [(c, h) for c, h in CONTEXT_COLUMNS if c in top.columns]
     header = ",".join(h for _, h in cols)
-    line = F.concat_ws(",", *[F.coalesce(_csv_field(F.col(c)), F.lit("")) for c, _ in cols])
+    doubles = {f.name for f in top.schema.fields if f.dataType.typeName() == "double"}
+    line = F.concat_ws(",", *[F.coalesce(_csv_field(F.col(c), c in doubles), F.lit("")) for c, _ in cols])
     lines = top.groupBy("portfolio_id").agg(
         F.array_sort(F.collect_list(F.struct(F.col("rank"), line.alias("line")))).alias("rows"))
     csv = F.concat(F.lit(header + "\n"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n"), F.lit("\n"))
