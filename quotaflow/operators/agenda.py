@@ -68,12 +68,11 @@ def chosen_months(agenda: DataFrame, reference, month: _dt.date | None = None) -
 
 
 def month_slice(agenda: DataFrame, chosen: DataFrame) -> DataFrame:
-    """C3 + C8: rows of the chosen month (six detail columns), sorted by
-    portfolio, date, then ticker."""
+    """C3 + C8: rows of the chosen month (six detail columns). Shown by date,
+    then ticker; readers sort."""
     sl = agenda.join(chosen, (agenda.portfolio_id == chosen.portfolio_id)
                      & (agenda.month == chosen.chosen_month), "left_semi")
-    return (sl.select("portfolio_id", "ticker", "ex_date_text", "ex_date", "status", "est_dividend", "detail_link")
-            .orderBy("portfolio_id", "ex_date", "ticker"))
+    return sl.select("portfolio_id", "ticker", "ex_date_text", "ex_date", "status", "est_dividend", "detail_link")
 
 
 def metrics(agenda: DataFrame, chosen: DataFrame, reference) -> DataFrame:
@@ -91,17 +90,15 @@ def metrics(agenda: DataFrame, chosen: DataFrame, reference) -> DataFrame:
 
 
 def by_date(agenda: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Dividend total per date of the chosen month, ascending."""
+    """Dividend total per date of the chosen month."""
     sl = agenda.join(chosen, "portfolio_id", "left").where(F.col("month") == F.col("chosen_month"))
-    return (sl.groupBy("portfolio_id", "ex_date").agg(N.exact_money_sum(F.col("est_dividend")).alias("total"))
-            .orderBy("portfolio_id", "ex_date"))
+    return sl.groupBy("portfolio_id", "ex_date").agg(N.exact_money_sum(F.col("est_dividend")).alias("total"))
 
 
 def by_ticker(agenda: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Dividend total per asset of the chosen month, descending."""
+    """Dividend total per asset of the chosen month. Shown largest first."""
     sl = agenda.join(chosen, "portfolio_id", "left").where(F.col("month") == F.col("chosen_month"))
-    return (sl.groupBy("portfolio_id", "ticker").agg(N.exact_money_sum(F.col("est_dividend")).alias("total"))
-            .orderBy(F.col("portfolio_id"), F.col("total").desc(), F.col("ticker")))
+    return sl.groupBy("portfolio_id", "ticker").agg(N.exact_money_sum(F.col("est_dividend")).alias("total"))
 
 
 def default_month_by_date(agenda: DataFrame, reference) -> DataFrame:

@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 
 
 def by_sector(positions: DataFrame) -> DataFrame:
-    """Value per (portfolio, sector), largest first."""
-    return (positions.groupBy("portfolio_id", "sector")
-            .agg(F.sum("market_value").alias("sector_value"))
-            .orderBy(F.col("portfolio_id"), F.col("sector_value").desc(), F.col("sector")))
+    """Value per (portfolio, sector). Shown largest first; readers sort."""
+    return positions.groupBy("portfolio_id", "sector").agg(F.sum("market_value").alias("sector_value"))
 
 
 def hierarchy(positions: DataFrame) -> DataFrame:

@@ -296,7 +296,10 @@ def lookup(requests: DataFrame, cache: DataFrame, fresh: DataFrame) -> DataFrame
     req = requests.select(T.clean_key(F.col("ticker")).alias("ticker")).distinct()
     c = cache.select("ticker", F.col("vp").alias("c_vp"), F.col("dy").alias("c_dy"), F.lit(True).alias("in_cache"))
     f = fresh.select("ticker", F.col("vp").alias("f_vp"), F.col("dy").alias("f_dy"), F.lit(True).alias("in_fresh"))
-    j = req.join(c, "ticker", "left").join(f, "ticker", "left")
+    return _looked_up(req.join(c, "ticker", "left").join(f, "ticker", "left"))
+
+
+def _looked_up(j: DataFrame) -> DataFrame:
     src = (F.when(F.col("in_cache"), F.lit(SOURCE_CACHE)).when(F.col("in_fresh"), F.lit(SOURCE_LIVE))
            .otherwise(F.lit(SOURCE_MISSING)))
     return j.select("ticker",
@@ -305,11 +308,29 @@ def lookup(requests: DataFrame, cache: DataFrame, fresh: DataFrame) -> DataFrame
                     src.alias("source"))
 
 
-def not_found(requests: DataFrame, cache: DataFrame, fresh: DataFrame) -> DataFrame:
-    """H7 misses: requested tickers neither cached nor found (left-anti)."""
+def known_values(found: DataFrame, cached: Column) -> DataFrame:
+    """H7's two sources in one pass over the extracted pages: per ticker the
+    latest row among the ``cached`` ones and among all."""
+    row, order = F.struct("vp", "dy"), F.struct("ts", "page_id")
+    best = found.groupBy("ticker").agg(
+        F.max_by(F.when(cached, row), F.when(cached, order)).alias("c"), F.max_by(row, order).alias("f"),
+        F.max(F.when(cached, True)).alias("in_cache"))
+    return best.select("ticker", F.col("c.vp").alias("c_vp"), F.col("c.dy").alias("c_dy"), "in_cache",
+                       F.col("f.vp").alias("f_vp"), F.col("f.dy").alias("f_dy"))
+
+
+def lookup_pages(requests: DataFrame, found: DataFrame, cached: Column) -> DataFrame:
+    """H7 over extracted pages, of which the ``cached`` ones were there before:
+    as ``lookup``, with one parse of the pages and one join."""
+    req = requests.select(T.clean_key(F.col("ticker")).alias("ticker")).distinct()
+    j = req.join(known_values(found, cached).withColumn("in_fresh", F.lit(True)), "ticker", "left")
+    return _looked_up(j)
+
+
+def not_found(requests: DataFrame, found: DataFrame) -> DataFrame:
+    """H7 misses: requested tickers that no page gave (left-anti)."""
     req = requests.select(T.clean_key(F.col("ticker")).alias("ticker")).distinct()
-    known = cache.select("ticker").unionByName(fresh.select("ticker"))
-    return req.join(known, "ticker", "left_anti")
+    return req.join(found.select("ticker").distinct(), "ticker", "left_anti")
 
 
 def cache_status(latest_table: DataFrame) -> DataFrame:

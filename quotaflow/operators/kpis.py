@@ -2,8 +2,7 @@
 
 Per-portfolio figures are one partial aggregate. Scalar market inputs
 (inflation, reference rate) are one-row global aggregates; they are attached
-with an equi-join on a constant key against a broadcast side whose size is
-one row by construction (a global aggregate), never a cartesian product.
+as scalar subqueries.
 """
 
 from __future__ import annotations
@@ -21,11 +20,10 @@ INFLATION_WINDOW = 12
 
 
 def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row frame to every row of ``df``."""
-    key = "__scalar_key"
-    return (df.withColumn(key, F.lit(1))
-            .join(F.broadcast(one_row.withColumn(key, F.lit(1))), key)
-            .drop(key))
+    """Attach the columns of a one-row frame to every row of ``df``: one scalar
+    subquery, no join."""
+    row = one_row.select(F.struct(*one_row.columns)).scalar()
+    return df.select("*", *[row[c].alias(c) for c in one_row.columns])
 
 
 def compounded_rate(entries: DataFrame, default: float = INFLATION_FALLBACK) -> DataFrame:
@@ -63,8 +61,8 @@ def reference_rate(named_hit: DataFrame | None, series_last: DataFrame | None,
 
 def portfolio_kpis(positions: DataFrame, scalars: DataFrame, income_goal: float) -> DataFrame:
     """A1-A5 per portfolio. ``scalars`` is one row with ``inflation``,
-    ``official_rate`` and ``used_rate`` (a global aggregate, attached by an
-    equi-join to a one-row broadcast side). Money totals are exact
+    ``official_rate`` and ``used_rate`` (a global aggregate, attached as a
+    scalar subquery). Money totals are exact
     fixed-point sums."""
     v = F.col("market_value")
     agg = positions.groupBy("portfolio_id").agg(

@@ -28,6 +28,7 @@ from quotaflow.operators import series as S
 from quotaflow.functions import text as T
 from quotaflow.operators import positions as P
 from quotaflow.operators import screens as K
+from quotaflow import params as PR
 from quotaflow.params import DEFAULT_RUN
 from quotaflow.sources import fixtures as FX
 from quotaflow.sources import sheet_files as SF
@@ -136,6 +137,35 @@ def q_valuation(spark, sf):
         "price_to_book", "return_pct"))
 
 
+@register("valuation_scrubbed")
+def q_valuation_scrubbed(spark, sf):
+    """P6 + N19 on positions with prices, costs and yields that are no numbers
+    (row_idx % 7: 0 inf price, 1 NaN price, 2 -inf cost, 3 NaN yield)."""
+    funds = P.fund_positions(fund_sheet(spark, sf))
+    manual = P.enrich_quotes(P.manual_positions(manual_sheet(spark, sf)), quotes(spark, sf))
+    n = F.col("row_idx") % 7
+    broken = P.dedup_keep_first(P.union_positions(funds, manual)).withColumns({
+        "price": F.when(n == 0, float("inf")).when(n == 1, float("nan")).otherwise(F.col("price")),
+        "avg_cost": F.when(n == 2, float("-inf")).otherwise(F.col("avg_cost")),
+        "dy_12m": F.when(n == 3, float("nan")).otherwise(F.col("dy_12m"))})
+    return rounded(P.valuation(broken).select(
+        "portfolio_id", "ticker", "asset_type", "price", "avg_cost", "dy_12m", "market_value", "invested", "profit",
+        "monthly_income", "price_to_book", "return_pct"))
+
+
+@register("valid_ticker_mixed")
+def q_valid_ticker_mixed(spark, sf):
+    """N7 over every part: tickers of the right and of wrong shapes (k % 8)."""
+    k = F.col("p_partkey")
+    t = FX.ticker_from_key(k)
+    m = k % 8
+    shaped = (F.when(m == 0, t).when(m == 1, F.concat(t, F.lit("B"))).when(m == 2, F.concat(F.substring(t, 1, 3), F.lit("11")))
+              .when(m == 3, F.concat(F.substring(t, 1, 4), F.lit("12"))).when(m == 4, F.concat(t, F.lit("C")))
+              .when(m == 5, F.concat(F.lit(" "), F.lower(t), F.lit("\t"))).when(m == 6, F.concat(F.lit("1"), F.substring(t, 2, 5)))
+              .otherwise(F.lit("")))
+    return FX.table(spark, sf, "part").select(k.alias("k"), T.is_valid_ticker(T.clean_key(shaped)).alias("valid"))
+
+
 @register("weights")
 def q_weights(spark, sf):
     return rounded(positions(spark, sf).select("portfolio_id", "ticker", "asset_type", "market_value", "weight"))
@@ -219,6 +249,68 @@ def q_risk_radar(spark, sf):
                                           "risk_label", "risk_reasons"))
 
 
+def _param_overrides(spark, sf):
+    """Stand-in for the users' parameters: one row for three customers in four.
+    By c_custkey % 4: 0 a P/VP max below the min; 1 a lower yield and the account
+    balance as least contribution; 2 a rate of their own (0 for every other one,
+    which means the official rate) and other shares of it; 3 none."""
+    c = FX.table(spark, sf, "customer")
+    k = F.col("c_custkey")
+    case = lambda m, v: F.when(k % 4 == m, v)
+    return c.where(k % 4 != 3).select(
+        k.alias("portfolio_id"), case(0, F.lit(0.95)).alias("pvp_min"), case(0, F.lit(0.5)).alias("pvp_max"),
+        case(1, F.lit(0.085)).alias("dy_min"), case(1, F.greatest(F.col("c_acctbal"), F.lit(0.0))).alias("contribution_min"),
+        case(2, F.when(k % 8 == 2, 0.0).otherwise(0.15)).alias("selic"), case(2, F.lit(0.5)).alias("brick_pct"),
+        case(2, F.lit(0.9)).alias("paper_pct"))
+
+
+def _positions_with_params(spark, sf, named: bool = True, series: str = "SELIC"):
+    """Positions with each portfolio's parameters; the official rate is A7's
+    chain over the rate sources (``named`` False: the named list failed)."""
+    hit = SH.named_rate(SH.named_rates(stored_input(spark, sf, "named_rate_payload"))) if named else None
+    rate = K2.reference_rate(hit, SH.last_entries(_payloads(spark, sf, series), 1))
+    return PR.with_params(positions(spark, sf), _param_overrides(spark, sf), DEFAULT_RUN.screens,
+                          rate.select("official_rate").scalar())
+
+
+@register("opportunities_by_params")
+def q_opportunities_by_params(spark, sf):
+    """K0 + K1: every portfolio by its own parameters."""
+    return rounded(K.opportunities(_positions_with_params(spark, sf), None))
+
+
+@register("risk_by_params")
+def q_risk_by_params(spark, sf):
+    """K0 + A7 + K2: every portfolio by its own parameters and rate."""
+    c = K.classify_risk(_positions_with_params(spark, sf), None)
+    return rounded(c.select("portfolio_id", "ticker", F.col("k0_selic").alias("used_rate"), "risk_reasons", "risk_rank", "risk_label"))
+
+
+@register("risk_by_series_rate")
+def q_risk_by_series_rate(spark, sf):
+    """A7's second source into K2: the named list is not there."""
+    c = K.classify_risk(_positions_with_params(spark, sf, named=False), None)
+    return rounded(c.select("portfolio_id", "ticker", F.col("k0_selic").alias("used_rate"), "risk_rank"))
+
+
+@register("risk_by_default_rate")
+def q_risk_by_default_rate(spark, sf):
+    """A7's default into K2: no named list, and no such series."""
+    c = K.classify_risk(_positions_with_params(spark, sf, named=False, series="none"), None)
+    return rounded(c.select("portfolio_id", "ticker", F.col("k0_selic").alias("used_rate"), "risk_rank"))
+
+
+@register("private_sections")
+def q_private_sections(spark, sf):
+    """K1 and K3 where odd portfolios are in privacy mode."""
+    hidden = F.col("portfolio_id") % 2 == 1
+    pos = positions(spark, sf)
+    cols = ["portfolio_id", "rank", "ticker"]
+    opp = K.opportunities(pos, DEFAULT_RUN.screens, privacy=hidden).select(F.lit("opportunities").alias("section"), *cols)
+    radar = K.risk_radar(K.classify_risk(pos, DEFAULT_RUN.screens, DEFAULT_RUN.official_rate), privacy=hidden)
+    return opp.unionByName(radar.select(F.lit("radar").alias("section"), *cols))
+
+
 @register("value_matrix")
 def q_value_matrix(spark, sf):
     return rounded(K.value_matrix(positions(spark, sf)))
@@ -324,18 +416,15 @@ def _small(spark, sf):
     return qty, S.clean_panel(stored_input(spark, sf, "small_panel"), SMALL_REF, months)
 
 
-def cdi_rates(spark, sf, even_days_only=True):
-    """CDI as (series_id, rate_date, rate): the daily percent / 100; even
-    days only, so the as-of step has gaps to bridge."""
-    r = FX.daily_rates(spark, sf)
-    if even_days_only:
-        r = r.where(F.dayofmonth("rate_date") % 2 == 0)
-    return r.select(F.lit(S.CDI_SERIES).alias("series_id"), "rate_date", (F.col("valor") / 100).alias("rate"))
+def cdi_rates(spark, sf):
+    """S4's CDI entries as (series_id, rate_date, rate), the percent / 100."""
+    r = SH.rate_series(_payloads(spark, sf, S.CDI_SERIES))
+    return r.select("series_id", "rate_date", (F.col("valor") / 100).alias("rate"))
 
 
 @register("cumulative_index")
 def q_cumulative_index(spark, sf):
-    idx = S.cumulative_index(cdi_rates(spark, sf, even_days_only=False))
+    idx = S.cumulative_index(cdi_rates(spark, sf))
     return rounded(idx.select("series_id", "rate_date", "cum_index"))
 
 
@@ -371,23 +460,40 @@ def q_benchmark_align(spark, sf):
 def q_rate_asof(spark, sf):
     qty, panel = _small(spark, sf)
     axis = S.portfolio_series(qty, panel, BENCH_SYMS).select("portfolio_id", "date")
-    asof = S.rate_asof(axis, S.cumulative_index(cdi_rates(spark, sf), 220))
+    asof = S.rate_asof(axis, S.cumulative_index(cdi_rates(spark, sf), S.DEFAULT_PERIOD[1]))
     return rounded(asof.withColumnRenamed("value", "cum_index"))
 
 
-def _evolution(spark, sf):
+def _evolution_inputs(spark, sf):
     qty = K2.qty_by_ticker(stored_input(spark, sf, "small_holdings"))
-    return S.evolution(qty, stored_input(spark, sf, "small_panel"), cdi_rates(spark, sf), SMALL_REF, "6 meses")
+    return qty, stored_input(spark, sf, "small_panel"), cdi_rates(spark, sf), SMALL_REF, "6 meses"
 
 
 @register("rebased_series")
 def q_rebased_series(spark, sf):
-    return rounded(_evolution(spark, sf))
+    return rounded(S.evolution(*_evolution_inputs(spark, sf)))
 
 
 @register("evolution_wide")
 def q_evolution_wide(spark, sf):
-    return rounded(S.evolution_wide(_evolution(spark, sf)))
+    return rounded(S.evolution_wide(*_evolution_inputs(spark, sf)))
+
+
+def _holed_panel(spark, sf):
+    """The small panel with closes that are no numbers, as market data has them:
+    NaN, inf and -inf on about every fifth row."""
+    p = stored_input(spark, sf, "small_panel")
+    n = (F.dayofmonth("date") + F.ascii(F.substring("symbol", 4, 1))) % 15
+    return p.withColumn("close", F.when(n == 3, float("nan")).when(n == 7, float("inf")).when(n == 11, float("-inf"))
+                        .otherwise(F.col("close")))
+
+
+@register("portfolio_series_holed")
+def q_portfolio_series_holed(spark, sf):
+    """T9 + T4: closes that are no numbers are gaps."""
+    qty = K2.qty_by_ticker(stored_input(spark, sf, "small_holdings"))
+    panel = S.clean_panel(_holed_panel(spark, sf), SMALL_REF, S.lookback("6 meses")[0])
+    return rounded(S.portfolio_series(qty, panel, BENCH_SYMS), {"value"})
 
 
 @register("relative_performance")
@@ -455,26 +561,21 @@ def q_quotes(spark, sf):
     return rounded(H.quotes(_raw_pages(spark, sf)), {"quote"})
 
 
-CACHE_CUTOFF = datetime.datetime(2024, 1, 5)
-
-
 def _lookup_inputs(spark, sf):
-    """H7 inputs: the cache holds what was fetched before the cutoff; fresh
-    extraction covers every page; every part's ticker is requested (half of
-    them in lower case with blanks, to exercise trim + upper)."""
+    """H7 inputs: every page, a third of which (page_id % 3 = 0) the cache had
+    before; every part's ticker is requested (half of them in lower case with
+    blanks, to exercise trim + upper)."""
     found = H.indicators(_raw_pages(spark, sf))
-    cache = H.latest(found.where(F.col("ts") < F.lit(CACHE_CUTOFF)))
-    fresh = H.latest(found)
     k = F.col("p_partkey")
     req = (FX.table(spark, sf, "part")
            .select(F.when(k % 2 == 0, F.concat(F.lit(" "), F.lower(FX.ticker_from_key(k)), F.lit(" ")))
                    .otherwise(FX.ticker_from_key(k)).alias("ticker")))
-    return req, cache, fresh
+    return req, found
 
 
 @register("indicator_lookup")
 def q_indicator_lookup(spark, sf):
-    return rounded(H.lookup(*_lookup_inputs(spark, sf)))
+    return rounded(H.lookup_pages(*_lookup_inputs(spark, sf), F.col("page_id") % 3 == 0))
 
 
 @register("indicator_not_found")
@@ -508,9 +609,12 @@ def _scalars(spark, sf, override=None):
     return K2.attach_scalars(infl, rate)
 
 
+RATE_ENTRIES = 260  # entries that the rate source is asked for (fixed value)
+
+
 @register("rate_series")
 def q_rate_series(spark, sf):
-    return rounded(SH.rate_series(stored_input(spark, sf, "rate_payloads"), last_n=20))
+    return rounded(SH.rate_series(stored_input(spark, sf, "rate_payloads"), last_n=RATE_ENTRIES))
 
 
 @register("named_rate")
@@ -619,6 +723,15 @@ def q_snapshot_latest(spark, sf):
                    {"total_invested"})
 
 
+@register("totals_text")
+def q_totals_text(spark, sf):
+    """N5 -> N2: the totals as the report's sheet holds them, in text, and read
+    back by the strict parser."""
+    t, _ = _snapshot(spark, sf)
+    read = {c: T.parse_strict(T.fmt_currency(F.col(c))).alias(c) for c in ("total_value", "total_invested")}
+    return t.select("portfolio_id", *read.values())
+
+
 @register("morning_report")
 def q_morning_report(spark, sf):
     t, _ = _snapshot(spark, sf)
@@ -631,6 +744,30 @@ def q_report_context(spark, sf):
     return R.context(p, t)
 
 
+def powers_of_ten(x, n):
+    """x times 1e-12 to 1e20 by n % 33, to reach every notation of a number."""
+    factor = F.lit(1e20)
+    for i in range(32):
+        factor = F.when(n % 33 == i, F.lit(float(f"1e{i - 12}"))).otherwise(factor)
+    return x * factor
+
+
+@register("report_context_wide")
+def q_report_context_wide(spark, sf):
+    """R2 with prices of every magnitude (quantity times a power of ten)."""
+    p = positions(spark, sf)
+    k = K2.portfolio_kpis(p, _scalars(spark, sf), DEFAULT_RUN.income_goal)
+    return R.context(p.withColumn("price", powers_of_ten(F.col("quantity"), F.col("row_idx"))), k)
+
+
+@register("number_text")
+def q_number_text(spark, sf):
+    """Python's number text over every line item, at every magnitude."""
+    li = FX.table(spark, sf, "lineitem")
+    x = powers_of_ten(F.col("l_extendedprice") * (1 - F.col("l_discount")), F.col("l_orderkey") + F.col("l_linenumber"))
+    return li.select("l_orderkey", "l_linenumber", T.py_number(x).alias("text"))
+
+
 # --------------------------------------------------------- scalar functions
 @register("parse_to_f")
 def q_parse_to_f(spark, sf):
@@ -720,14 +857,11 @@ def q_strip_fences(spark, sf):
 
 @register("price_panel")
 def q_price_panel(spark, sf):
-    """Closes of the held symbols (left-semi join to the holdings) and the
-    benchmarks over the 6-month look-back (a date predicate on the scan)."""
+    """Closes of the held symbols and the benchmarks over the 6-month
+    look-back (a predicate on the panel's months and dates)."""
     months, _ = S.lookback("6 meses")
-    panel = S.clean_panel(stored_input(spark, sf, "small_panel"), SMALL_REF, months)
-    held = S.holdings_symbols(K2.qty_by_ticker(stored_input(spark, sf, "small_holdings"))).select("symbol")
-    own = panel.join(held, "symbol", "left_semi")
-    bench = panel.where(F.col("symbol").isin(*BENCH_SYMS))
-    return rounded(own.unionByName(bench).select("date", "symbol", "close"))
+    qty = K2.qty_by_ticker(stored_input(spark, sf, "small_holdings"))
+    return rounded(S.price_panel(qty, stored_input(spark, sf, "small_panel"), SMALL_REF, months, BENCH_SYMS))
 
 
 REFRESH_SCHEMA = "page_id long, ticker string, url string, final_url string, status int, ts timestamp, html string"
@@ -740,7 +874,7 @@ def q_last_known_good_stream(spark, sf):
     (availableNow), and the newest version of the keyed table is returned."""
     run = scratch_path(spark, f"refresh-{uuid.uuid4().hex}")
     pages = stored_input(spark, sf, "refresh_pages")
-    pages.repartition(4, F.col("page_id") % 4).write.parquet(f"{run}/pages")
+    pages.write.option("maxRecordsPerFile", 1000).parquet(f"{run}/pages")
     q = RS.refresh_stream(spark, f"{run}/pages", REFRESH_SCHEMA, f"{run}/latest", f"{run}/checkpoint")
     q.awaitTermination()
     if q.exception() is not None:

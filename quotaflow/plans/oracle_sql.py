@@ -27,10 +27,10 @@ def _ticker(k: str) -> str:
 # Fixture holdings, numeric (FIXTURES.md 2.1).
 FIXTURE = f"""
 hold AS (
-  SELECT o.o_custkey AS portfolio_id, l.l_partkey AS k, sum(l.l_quantity) AS qty
+  SELECT o.o_custkey AS portfolio_id, l.l_partkey % 456976 AS k, sum(l.l_quantity) AS qty
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey GROUP BY 1, 2),
 pstat AS (
-  SELECT l_partkey AS k, round(sum(l_extendedprice) / sum(l_quantity), 2) AS mkt_price,
+  SELECT l_partkey % 456976 AS k, round(sum(l_extendedprice) / sum(l_quantity), 2) AS mkt_price,
          (200 * (sum(CAST(round(l_discount * 100) AS BIGINT)) + sum(CAST(round(l_tax * 100) AS BIGINT))) + count(*))
            // (2 * count(*)) AS dy_hund
   FROM lineitem GROUP BY 1),
@@ -48,7 +48,8 @@ fx AS (
                  WHEN 3 THEN 'ÚLTIMO DIA ÚTIL'
                  WHEN 4 THEN '-'
                  ELSE strftime(DATE '2024-06-01' + CAST(h.k % 90 AS INTEGER), '%d/%m/%y') END AS ex_date_text
-  FROM hold h JOIN pstat s ON s.k = h.k JOIN part p ON p.p_partkey = h.k)"""
+  FROM hold h JOIN pstat s ON s.k = h.k JOIN (
+    SELECT DISTINCT ON (p_partkey % 456976) * FROM part ORDER BY p_partkey) p ON p.p_partkey % 456976 = h.k)"""
 
 FUND_ROWS = """
 fund AS (
@@ -328,16 +329,16 @@ FROM cells GROUP BY 1, 2, 3"""
 # IGNORE NULLS windows; the CDI as-of step is DuckDB's ASOF JOIN.
 _UT = _ticker("user_id")
 SMALL = f"""
-WITH ev AS (SELECT CAST(ts AS DATE) AS date, user_id, event_type, value FROM events),
+WITH ev AS (SELECT CAST(ts AS DATE) AS date, user_id % 456976 AS user_id, event_type, value FROM events),
 panel AS (
   SELECT date, {_UT} || '.SA' AS symbol, floor((2 * sum(CAST(round(value * 100) AS BIGINT)) + count(*)) / (2 * count(*))) / 100.0 AS close FROM ev GROUP BY date, user_id
   UNION ALL SELECT date, '^BVSP', floor((2 * sum(CAST(round(value * 100) AS BIGINT)) + count(*)) / (2 * count(*))) / 100.0 FROM ev WHERE event_type = 'view' GROUP BY date
-  UNION ALL SELECT date, 'IFIX.SA', floor((2 * sum(CAST(round(value * 100) AS BIGINT)) + count(*)) / (2 * count(*))) / 100.0 FROM ev WHERE event_type = 'click' AND day(date) % 2 = 0 GROUP BY date),
+  UNION ALL SELECT CAST(date - CAST(day(date) % 2 AS INTEGER) AS DATE), 'IFIX.SA', floor((2 * sum(CAST(round(value * 100) AS BIGINT)) + count(*)) / (2 * count(*))) / 100.0 FROM ev WHERE event_type = 'click' GROUP BY 1),
 p AS (SELECT * FROM panel WHERE date BETWEEN DATE '2023-12-15' AND DATE '2024-06-15'),
 hold AS (
-  SELECT user_id % 5 AS portfolio_id, user_id AS row_idx, {_UT} AS ticker, {_UT} || '.SA' AS symbol,
+  SELECT user_id // 30 AS portfolio_id, user_id AS row_idx, {_UT} AS ticker, {_UT} || '.SA' AS symbol,
          CASE WHEN user_id % 3 > 0 THEN 'FII' ELSE 'Ação' END AS asset_type, CAST(1 + user_id % 7 AS DOUBLE) AS quantity
-  FROM (SELECT DISTINCT user_id FROM events)),
+  FROM (SELECT DISTINCT user_id FROM ev)),
 own AS (SELECT DISTINCT h.portfolio_id, p.date FROM hold h JOIN p USING (symbol)),
 axis AS (
   SELECT * FROM own UNION
@@ -363,11 +364,11 @@ bench AS (
     FROM carteira c CROSS JOIN bnames n LEFT JOIN p ON p.symbol = n.symbol AND p.date = c.date)
   WHERE value IS NOT NULL),
 rates AS (
-  SELECT CAST(ts AS DATE) AS rate_date, round(avg(value) / 1000, 4) / 100 AS rate
-  FROM events WHERE event_type = 'signup' GROUP BY 1),
+  SELECT date AS rate_date, floor((2 * sum(CAST(round(value * 100) AS BIGINT)) + count(*)) / (2 * count(*))) / 100000.0 / 100 AS rate
+  FROM ev WHERE event_type = 'signup' AND day(date) % 11 <> 0 GROUP BY 1),
 idx AS (
   SELECT rate_date, product(1 + rate) OVER (ORDER BY rate_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_index
-  FROM rates WHERE day(rate_date) % 2 = 0),
+  FROM rates),
 cdi AS (
   SELECT c.portfolio_id, 'CDI' AS series, c.date, i.cum_index AS value
   FROM carteira c ASOF JOIN idx i ON c.date >= i.rate_date),
@@ -386,13 +387,7 @@ rebased AS (
                ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS base FROM rb)
   WHERE v IS NOT NULL AND base <> 0)"""
 
-ORACLE["cumulative_index"] = """
-WITH rates AS (
-  SELECT CAST(ts AS DATE) AS rate_date, round(avg(value) / 1000, 4) / 100 AS rate
-  FROM events WHERE event_type = 'signup' GROUP BY 1)
-SELECT 'CDI' AS series_id, rate_date,
-       round(product(1 + rate) OVER (ORDER BY rate_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS cum_index
-FROM rates"""
+ORACLE["cumulative_index"] = SMALL + "\nSELECT 'CDI' AS series_id, rate_date, round(cum_index, 6) AS cum_index FROM idx"
 
 ORACLE["gap_fill"] = SMALL + "\nSELECT portfolio_id, ticker, date, round(close, 6) AS close FROM filled"
 
@@ -429,7 +424,7 @@ FROM hs LEFT JOIN b USING (portfolio_id, symbol)"""
 
 ORACLE["portfolio_series_large"] = f"""
 WITH hold0 AS (
-  SELECT o.o_custkey AS portfolio_id, l.l_partkey AS k, sum(l.l_quantity) AS quantity
+  SELECT o.o_custkey AS portfolio_id, l.l_partkey % 456976 AS k, sum(l.l_quantity) AS quantity
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey GROUP BY 1, 2),
 hold AS (SELECT portfolio_id, {_ticker('k')} AS ticker, {_ticker('k')} || '.SA' AS symbol, quantity
          FROM hold0 WHERE k % 10 < 9),
@@ -497,7 +492,7 @@ ORACLE["indicators"] = PAGES + "\nSELECT page_id, ticker, round(vp, 6) AS vp, ro
 ORACLE["quotes"] = PAGES + "\nSELECT page_id, ticker, round(quote, 4) AS quote FROM ex"
 
 LOOKUP = PAGES + f"""
-, cache AS (SELECT ticker, vp, dy FROM ind WHERE page_id < 96),  -- fetched before 2024-01-05 (ts = 2024-01-01 + id hours)
+, cache AS (SELECT ticker, vp, dy FROM ind WHERE page_id % 3 = 0),
 req AS (SELECT DISTINCT {_ticker('p_partkey')} AS ticker FROM part)"""
 ORACLE["indicator_lookup"] = LOOKUP + """
 SELECT r.ticker, round(CASE WHEN c.ticker IS NOT NULL THEN c.vp ELSE i.vp END, 6) AS vp,
@@ -509,7 +504,7 @@ SELECT ticker FROM req WHERE ticker NOT IN (SELECT ticker FROM ind)"""
 
 REFRESH = PAGES + f"""
 , rf AS (
-  SELECT {_ticker('page_id % 40')} AS ticker, page_id, vp, dy FROM (SELECT page_id, vp, dy FROM ind)),
+  SELECT {_ticker('(page_id // 6)')} AS ticker, page_id, vp, dy FROM (SELECT page_id, vp, dy FROM ind)),
 lkg AS (SELECT DISTINCT ON (ticker) ticker, page_id, vp, dy FROM rf ORDER BY ticker, page_id DESC)"""
 ORACLE["last_known_good"] = REFRESH + "\nSELECT ticker, round(vp, 6) AS vp, round(dy, 6) AS dy, page_id FROM lkg"
 ORACLE["cache_status"] = REFRESH + "\nSELECT count(DISTINCT ticker) AS cached_tickers FROM lkg"
@@ -535,7 +530,7 @@ sc AS (SELECT inflation, official_rate, official_rate AS used_rate FROM infl, se
 ORACLE["rate_series"] = "WITH" + ENTRIES + """
 SELECT series_id, d AS rate_date, round(valor, 6) AS valor FROM (
   SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY d DESC) AS rn FROM ent)
-WHERE rn <= 20 AND valor IS NOT NULL"""
+WHERE rn <= 260 AND valor IS NOT NULL"""
 
 ORACLE["named_rate"] = "WITH" + ENTRIES + "\nSELECT round(official_rate, 6) AS rate FROM selic"
 ORACLE["compounded_rate"] = "WITH" + ENTRIES + "\nSELECT round(inflation, 6) AS inflation FROM infl"
@@ -763,3 +758,103 @@ ORACLE["positions_from_sheets"] = with_ctes(FIXTURE, FUND_ROWS, MANUAL_ROWS, SHE
     "SELECT * FROM fund UNION ALL SELECT * FROM manual", "SELECT * FROM fund_file UNION ALL SELECT * FROM manual_file")) + """
 SELECT portfolio_id, ticker, asset_type, sector, ex_date_text, round(market_value, 4) AS market_value, round(profit, 4) AS profit,
        round(weight, 6) AS weight FROM pos"""
+
+
+# Parameters by portfolio (the fixed overrides of the parameter stand-in) and the rate chain.
+def _params(official: str) -> str:
+    return f"""
+, k0 AS (
+  SELECT c_custkey AS portfolio_id, 
+    CASE WHEN c_custkey % 4 = 0 THEN 0.95 ELSE 0.8 END AS pvp_min,
+    greatest(CASE WHEN c_custkey % 4 = 0 THEN 0.95 ELSE 0.8 END, CASE WHEN c_custkey % 4 = 0 THEN 0.5 ELSE 0.99 END) AS pvp_max,
+    CASE WHEN c_custkey % 4 = 1 THEN 0.085 ELSE 0.09 END AS dy_min,
+    CASE WHEN c_custkey % 4 = 1 THEN greatest(c_acctbal, 0) ELSE 1000 END AS contribution_min,
+    CASE WHEN c_custkey % 8 = 6 THEN 0.15 ELSE ({official}) END AS used_rate,
+    CASE WHEN c_custkey % 4 = 2 THEN 0.5 ELSE 0.6 END AS brick_pct, CASE WHEN c_custkey % 4 = 2 THEN 0.9 ELSE 0.8 END AS paper_pct
+  FROM customer)"""
+
+
+_NAMED_RATE = """SELECT floor((2 * sum(CAST(round(value * 100) AS BIGINT)) + count(*)) / (2 * count(*))) / 1000.0 / 100
+  FROM events WHERE event_type = 'signup'"""
+_SERIES_RATE = """SELECT max_by(valor, d) / 100 FROM (
+  SELECT CAST(ts AS DATE) AS d, floor((2 * sum(CAST(round(value * 100) AS BIGINT)) + count(*)) / (2 * count(*))) / 1000.0 AS valor
+  FROM events WHERE event_type = 'view' GROUP BY 1)"""
+
+ORACLE["opportunities_by_params"] = BASE + _params(_NAMED_RATE) + """
+, opp AS (
+  SELECT p.*, k.contribution_min, greatest(0.0, m.total_value / m.n_positions - p.market_value) AS suggested_contribution
+  FROM pos p JOIN means m USING (portfolio_id) JOIN k0 k USING (portfolio_id)
+  WHERE p.asset_type = 'FII' AND p.price_to_book BETWEEN k.pvp_min AND k.pvp_max AND p.dy_12m >= k.dy_min
+    AND p.weight < m.mean_weight),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY portfolio_id ORDER BY price_to_book, dy_12m DESC,
+                               suggested_contribution DESC, source_rank, row_idx) AS rank
+  FROM opp WHERE suggested_contribution >= contribution_min)
+SELECT portfolio_id, CAST(rank AS INTEGER) AS rank, ticker, sector, segment, round(price, 4) AS price,
+       round(price_to_book, 6) AS price_to_book, round(dy_12m, 6) AS dy_12m, round(weight, 6) AS weight,
+       round(market_value, 4) AS market_value, round(suggested_contribution, 2) AS suggested_contribution, link
+FROM ranked WHERE rank <= 4"""
+
+
+def _risk_by(official: str) -> str:
+    return BASE + _params(official) + RISK.replace(
+        "0.12 * CASE WHEN p.segment = 'Tijolo' THEN 0.6 ELSE 0.8 END",
+        "k.used_rate * CASE WHEN p.segment = 'Tijolo' THEN k.brick_pct ELSE k.paper_pct END").replace(
+        "SELECT p.*, ", "SELECT p.*, k.used_rate,").replace(
+        "FROM pos p JOIN means m USING (portfolio_id)", "FROM pos p JOIN means m USING (portfolio_id) JOIN k0 k USING (portfolio_id)")
+
+
+ORACLE["risk_by_params"] = _risk_by(_NAMED_RATE) + """
+SELECT portfolio_id, ticker, round(used_rate, 6) AS used_rate, risk_reasons, risk_rank, risk_label FROM risk3"""
+ORACLE["risk_by_series_rate"] = _risk_by(_SERIES_RATE) + """
+SELECT portfolio_id, ticker, round(used_rate, 6) AS used_rate, risk_rank FROM risk3"""
+ORACLE["risk_by_default_rate"] = _risk_by("0.12::DOUBLE") + """
+SELECT portfolio_id, ticker, round(used_rate, 6) AS used_rate, risk_rank FROM risk3"""
+
+ORACLE["private_sections"] = f"""
+SELECT 'opportunities' AS section, portfolio_id, rank, ticker FROM ({ORACLE["opportunities"]}) WHERE portfolio_id % 2 = 0
+UNION ALL
+SELECT 'radar', portfolio_id, rank, ticker FROM ({ORACLE["risk_radar"]}) WHERE portfolio_id % 2 = 0"""
+
+
+def _power(n: str) -> str:
+    return f"CASE {n} % 33 " + " ".join(f"WHEN {i} THEN 1e{i - 12}::DOUBLE" for i in range(33)) + " END"
+
+
+ORACLE["report_context_wide"] = ORACLE["report_context"].replace(
+    "CAST(price AS VARCHAR)", f"CAST(quantity * ({_power('row_idx')}) AS VARCHAR)")
+
+ORACLE["number_text"] = f"""
+SELECT l_orderkey, l_linenumber, CAST(l_extendedprice * (1 - l_discount) * ({_power('(l_orderkey + l_linenumber)')}) AS VARCHAR) AS text
+FROM lineitem"""
+
+
+# Closes that are no numbers (the fixed rule of the holed panel) are gaps.
+ORACLE["portfolio_series_holed"] = SMALL.replace(
+    "p AS (SELECT * FROM panel WHERE", "p AS (SELECT date, symbol, CASE WHEN (day(date) + ascii(substr(symbol, 4, 1))) % 15 IN (3, 7, 11) "
+    "THEN NULL ELSE close END AS close FROM panel WHERE") + "\nSELECT portfolio_id, date, round(value, 2) AS value FROM carteira"
+
+ORACLE["totals_text"] = KPIS + """
+SELECT portfolio_id, CAST(printf('%.2f', total_value) AS DOUBLE) AS total_value,
+       CAST(printf('%.2f', total_invested) AS DOUBLE) AS total_invested FROM kpi"""
+
+ORACLE["valid_ticker_mixed"] = "SELECT p_partkey AS k, p_partkey % 8 IN (0, 1, 5) AS valid FROM part"
+
+# Figures of rows whose price, cost or yield is no number: such a number counts as 0 wherever it would show.
+ORACLE["valuation_scrubbed"] = with_ctes(FIXTURE, FUND_ROWS, MANUAL_ROWS, POSITIONS.replace(
+    "sum(market_value) OVER (PARTITION BY portfolio_id)", "1.0")) + """
+, d AS (SELECT *, row_idx % 7 AS n, asset_type IN ('FII', 'Ação') AS units FROM dedup),
+v AS (
+  SELECT *, CASE WHEN n IN (0, 1) THEN 0.0 ELSE price END AS pr,
+         CASE WHEN n = 2 THEN 0.0 ELSE avg_cost END AS co, CASE WHEN n = 3 THEN 0.0 ELSE dy_12m END AS dy,
+         CASE WHEN n IN (0, 1) THEN 0.0 WHEN units THEN quantity * price ELSE price END AS mv,
+         CASE WHEN units AND n <> 2 AND avg_cost > 0 THEN quantity * avg_cost
+              WHEN n IN (0, 1) THEN 0.0 WHEN units THEN quantity * price ELSE price END AS inv
+  FROM d)
+SELECT portfolio_id, ticker, asset_type, round(pr, 4) AS price, round(co, 4) AS avg_cost, round(dy, 6) AS dy_12m,
+       round(mv, 4) AS market_value, round(inv, 4) AS invested,
+       round(CASE WHEN n IN (0, 1) THEN 0.0 ELSE mv - inv END, 4) AS profit,
+       round(CASE WHEN asset_type = 'FII' AND n NOT IN (0, 1, 3) THEN mv * dy / 12 ELSE 0.0 END, 4) AS monthly_income,
+       round(CASE WHEN book_value > 0 THEN pr / book_value ELSE 0.0 END, 6) AS price_to_book,
+       round(CASE WHEN inv > 0 THEN mv / inv - 1 ELSE 0.0 END, 6) AS return_pct
+FROM v"""

@@ -28,7 +28,8 @@ SECTOR_BY_TYPE = {
     "SMALL": "Fundo de Fundos",
     "LARGE": "Híbrido",
 }
-DUPLICATE_ROW_OFFSET = 1_000_000_000
+TICKERS = 26 ** 4  # four letters; parts and users beyond share a ticker
+DUPLICATE_ROW_OFFSET = 1_000_000_000  # above every ticker key
 TOTAL_ROW_OFFSET = 2_000_000_000
 
 
@@ -55,7 +56,11 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[SparkSe
         # that follows it) runs on every core.
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         df = df.repartition(n, "portfolio_id") if "portfolio_id" in df.columns else df.repartition(n)
-        df.write.mode("overwrite").parquet(path)
+        if name.endswith("_panel"):  # prices are stored by month
+            df = df.withColumn("month", F.trunc("date", "month")).repartition("month")
+            df.write.mode("overwrite").partitionBy("month").parquet(path)
+        else:
+            df.write.mode("overwrite").parquet(path)
         _STORED[key] = path
     return spark.read.parquet(path)
 
@@ -67,6 +72,12 @@ def ticker_from_key(k: Column) -> Column:
     return F.concat(letter(26 ** 3), letter(26 ** 2), letter(26), letter(1), F.lit("11"))
 
 
+def ticker_key(k: Column) -> Column:
+    """The number of a part's or user's ticker: keys TICKERS apart share one, so
+    everything that is known by ticker is grouped by this number first."""
+    return F.pmod(k, F.lit(TICKERS))
+
+
 def asset_type_from_key(k: Column) -> Column:
     m = F.pmod(k, F.lit(10))
     return F.when(m < 7, F.lit("FII")).when(m < 9, F.lit("Ação")).otherwise(F.lit("Outros"))
@@ -87,27 +98,27 @@ def money_text(x: Column, k: Column) -> Column:
 
 
 def part_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per part: market price, DY in hundredths of a percent (exact integer
+    """Per ticker (its part; of several the first): market price, DY in hundredths of a percent (exact integer
     arithmetic, half-up), part type and retail price."""
     li = table(spark, sf_dir, "lineitem")
-    stats = li.groupBy(F.col("l_partkey").alias("k")).agg(
+    stats = li.groupBy(ticker_key(F.col("l_partkey")).alias("k")).agg(
         F.round(F.sum("l_extendedprice") / F.sum("l_quantity"), 2).alias("mkt_price"),
         (F.sum(F.round(F.col("l_discount") * 100).cast("bigint"))
          + F.sum(F.round(F.col("l_tax") * 100).cast("bigint"))).alias("dy_k"),
         F.count(F.lit(1)).alias("n"),
     )
-    part = table(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("k"), "p_type", "p_retailprice")
+    part = table(spark, sf_dir, "part").groupBy(ticker_key(F.col("p_partkey")).alias("k")).agg(
+        F.min_by("p_type", "p_partkey").alias("p_type"), F.min_by("p_retailprice", "p_partkey").alias("p_retailprice"))
     return stats.join(part, "k").withColumn(
         "dy_hund", F.floor((F.col("dy_k") * 200 + F.col("n")) / (F.col("n") * 2)).cast("bigint"))
 
 
 def holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per (customer, part) with the summed quantity."""
+    """One row per (customer, ticker) with the summed quantity."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     return (li.join(orders, li.l_orderkey == orders.o_orderkey)
-            .groupBy(F.col("o_custkey").alias("portfolio_id"), F.col("l_partkey").alias("k"))
+            .groupBy(F.col("o_custkey").alias("portfolio_id"), ticker_key(F.col("l_partkey")).alias("k"))
             .agg(F.sum("l_quantity").alias("qty")))
 
 
@@ -214,27 +225,28 @@ def small_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gappy daily closes ``(date, symbol, close)`` from ``events``: one
     stock per user (average value of the user's events that day, in cents), plus
     the two benchmarks: '^BVSP' = daily average of 'view' events, 'IFIX.SA'
-    = daily average of 'click' events on even days only."""
-    ev = table(spark, sf_dir, "events").select(F.to_date("ts").alias("date"), "user_id", "event_type", "value")
+    = average of the 'click' events of two days, a close every other day."""
+    ev = table(spark, sf_dir, "events").select(
+        F.to_date("ts").alias("date"), ticker_key(F.col("user_id")).alias("user_id"), "event_type", "value")
     # Closes are quoted in cents.
     stocks = ev.groupBy("date", "user_id").agg(_avg_cents(F.col("value")).alias("close")).select(
         "date", F.concat(ticker_from_key(F.col("user_id")), F.lit(".SA")).alias("symbol"), "close")
     ibov = (ev.where(F.col("event_type") == "view").groupBy("date").agg(_avg_cents(F.col("value")).alias("close"))
             .select("date", F.lit(IBOV_SYMBOL).alias("symbol"), "close"))
-    ifix = (ev.where((F.col("event_type") == "click") & (F.dayofmonth("date") % 2 == 0))
-            .groupBy("date").agg(_avg_cents(F.col("value")).alias("close"))
+    ifix = (ev.where(F.col("event_type") == "click")
+            .groupBy(F.date_sub("date", F.dayofmonth("date") % 2).alias("date")).agg(_avg_cents(F.col("value")).alias("close"))
             .select("date", F.lit(IFIX_SYMBOL).alias("symbol"), "close"))
     return stocks.unionByName(ibov).unionByName(ifix)
 
 
 def small_holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions that hold the small panel's stocks: user u is held by
-    portfolio u % 5 with quantity 1 + u % 7 (FII when u % 3 > 0, else Ação);
+    portfolio u // 30 with quantity 1 + u % 7 (FII when u % 3 > 0, else Ação);
     ``row_idx`` = u gives the position order."""
     u = F.col("user_id")
-    users = table(spark, sf_dir, "events").select("user_id").distinct()
+    users = table(spark, sf_dir, "events").select(ticker_key(u).alias("user_id")).distinct()
     return users.select(
-        F.pmod(u, F.lit(5)).alias("portfolio_id"), F.lit(0).alias("source_rank"), u.alias("row_idx"),
+        F.floor(u / 30).cast("long").alias("portfolio_id"), F.lit(0).alias("source_rank"), u.alias("row_idx"),
         ticker_from_key(u).alias("ticker"),
         F.when(F.pmod(u, F.lit(3)) > 0, F.lit("FII")).otherwise(F.lit("Ação")).alias("asset_type"),
         (F.pmod(u, F.lit(7)) + 1).cast("double").alias("quantity"))
@@ -244,7 +256,7 @@ def large_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sparse daily closes ``(date, symbol, close)`` from ``lineitem``: per
     ship date and part, sum(extended price) / sum(quantity) in cents."""
     li = table(spark, sf_dir, "lineitem")
-    return (li.groupBy(F.to_date("l_shipdate").alias("date"), F.col("l_partkey").alias("k"))
+    return (li.groupBy(F.to_date("l_shipdate").alias("date"), ticker_key(F.col("l_partkey")).alias("k"))
             .agg(_cents_ratio(F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")),
                               F.sum(F.col("l_quantity").cast("bigint"))).alias("close"))
             .select("date", F.concat(ticker_from_key(F.col("k")), F.lit(".SA")).alias("symbol"), "close"))
@@ -330,10 +342,10 @@ def indicator_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def refresh_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Refresh rounds (FIXTURES.md 2.8): the same pages, re-keyed to 40
-    tickers (page_id % 40), so each ticker is fetched several times."""
+    """Refresh rounds (FIXTURES.md 2.8): the same pages, six in a row re-keyed
+    to one ticker, so each ticker is fetched several times."""
     return (indicator_pages(spark, sf_dir)
-            .withColumn("ticker", ticker_from_key(F.pmod(F.col("page_id"), F.lit(40)))))
+            .withColumn("ticker", ticker_from_key(F.floor(F.col("page_id") / 6))))
 
 
 # Fixed fixture rule: series id -> (event type, divisor of the average in

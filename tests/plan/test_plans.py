@@ -38,3 +38,45 @@ def test_facts_are_not_the_broadcast_side(spark, sf_small):
         df.collect()  # final adaptive plan
         final = plan_of(df).split("Initial Plan")[0]
         assert "BuildLeft" not in final, name
+
+
+def final_plan(df):
+    df.collect()
+    return plan_of(df).split("Initial Plan")[0]
+
+
+def test_no_nested_loops_in_series_and_kpis(spark, sf_small):
+    qs = E.queries()
+    for name in ["relative_performance", "rebased_series", "evolution_wide", "gap_fill", "portfolio_series", "benchmark_align",
+                 "rate_asof", "portfolio_kpis", "real_income", "risk_by_params"]:
+        p = final_plan(qs[name](spark, sf_small))
+        assert "NestedLoopJoin" not in p and "CartesianProduct" not in p, name
+
+
+def test_gap_fill_has_no_window_by_holding(spark, sf_small):
+    p = plan_of(E.queries()["gap_fill"](spark, sf_small))
+    windows = [line for line in p.splitlines() if "Window [" in line]
+    assert windows and not any("ticker" in line or "portfolio_id" in line for line in windows)
+
+
+def test_panel_is_read_once_and_by_month(spark, sf_small):
+    p = plan_of(E.queries()["price_panel"](spark, sf_small))
+    assert p.count("close:double>") == 1
+    assert "PartitionFilters: [isnotnull(month" in p and "2023-12-01" in p
+
+
+def test_lookup_parses_the_pages_once(spark, sf_small):
+    qs = E.queries()
+    for name in ["indicator_lookup", "indicator_not_found"]:
+        assert plan_of(qs[name](spark, sf_small)).split("Initial Plan")[0].count("MapInPandas") == 1, name
+
+
+def test_listings_are_not_sorted_as_a_whole(spark, sf_small):
+    qs = E.queries()
+    for name in ["sector_exposure", "best_discounts", "agenda_month", "agenda_by_date", "agenda_by_ticker"]:
+        assert "rangepartitioning" not in plan_of(qs[name](spark, sf_small)), name
+
+
+def test_evolution_computes_the_portfolio_series_once(spark, sf_small):
+    p = final_plan(E.queries()["evolution_wide"](spark, sf_small))
+    assert p.count("sum(_w") <= 2 or p.count("Window [sum(") <= 2
