@@ -67,12 +67,17 @@ def chosen_months(agenda: DataFrame, reference, month: _dt.date | None = None) -
             .withColumn("chosen_month", F.trunc(F.lit(month).cast("date"), "month")))
 
 
+def _in_month(agenda: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The agenda's rows of each portfolio's chosen month: a semi-join, so that
+    the agenda can't become the side that is broadcast."""
+    return agenda.join(chosen, (agenda.portfolio_id == chosen.portfolio_id) & (agenda.month == chosen.chosen_month), "left_semi")
+
+
 def month_slice(agenda: DataFrame, chosen: DataFrame) -> DataFrame:
     """C3 + C8: rows of the chosen month (six detail columns). Shown by date,
     then ticker; readers sort."""
-    sl = agenda.join(chosen, (agenda.portfolio_id == chosen.portfolio_id)
-                     & (agenda.month == chosen.chosen_month), "left_semi")
-    return sl.select("portfolio_id", "ticker", "ex_date_text", "ex_date", "status", "est_dividend", "detail_link")
+    return _in_month(agenda, chosen).select(
+        "portfolio_id", "ticker", "ex_date_text", "ex_date", "status", "est_dividend", "detail_link")
 
 
 def metrics(agenda: DataFrame, chosen: DataFrame, reference) -> DataFrame:
@@ -80,7 +85,7 @@ def metrics(agenda: DataFrame, chosen: DataFrame, reference) -> DataFrame:
     chosen month is the reference's month, else 0; pending = max(total -
     passed, 0)."""
     ref = _ref(reference)
-    sl = agenda.join(chosen, "portfolio_id", "left").where(F.col("month") == F.col("chosen_month"))
+    sl = _in_month(agenda, chosen).withColumnRenamed("month", "chosen_month")
     is_current = F.col("chosen_month") == F.trunc(ref, "month")
     agg = sl.groupBy("portfolio_id", "chosen_month").agg(
         N.exact_money_sum(F.col("est_dividend")).alias("month_total"),
@@ -91,13 +96,13 @@ def metrics(agenda: DataFrame, chosen: DataFrame, reference) -> DataFrame:
 
 def by_date(agenda: DataFrame, chosen: DataFrame) -> DataFrame:
     """Dividend total per date of the chosen month."""
-    sl = agenda.join(chosen, "portfolio_id", "left").where(F.col("month") == F.col("chosen_month"))
+    sl = _in_month(agenda, chosen)
     return sl.groupBy("portfolio_id", "ex_date").agg(N.exact_money_sum(F.col("est_dividend")).alias("total"))
 
 
 def by_ticker(agenda: DataFrame, chosen: DataFrame) -> DataFrame:
     """Dividend total per asset of the chosen month. Shown largest first."""
-    sl = agenda.join(chosen, "portfolio_id", "left").where(F.col("month") == F.col("chosen_month"))
+    sl = _in_month(agenda, chosen)
     return sl.groupBy("portfolio_id", "ticker").agg(N.exact_money_sum(F.col("est_dividend")).alias("total"))
 
 
