@@ -53,7 +53,7 @@ from quotaflow.llm.common import discard, written
 
 BITS = 4096  # bits a block
 SPARE = 4  # a fourth more blocks than differences
-HOT = 1000  # members of a bucket whose hub is found by an aggregate and a join
+HOT = 200  # members of a bucket whose hub is found by an aggregate and a join
 WORDS = 200_000  # words whose hashes a worker remembers
 ROWS = 512  # texts in each batch that a worker returns
 CELL_BITS = 16  # cells in which elements of differences are counted
