@@ -2,10 +2,20 @@
 ``quotaflow.llm`` whose decisions take effect. Each stage's rows are written as
 Parquet and read again as the next one's documents, so a lost executor costs
 the running stage's tasks only.
+
+Defined results, of every stage: a document with null or empty text has no words
+and is rejected by the quality rules (a later stage alone would keep it, but the
+mix, which takes nothing of it); a null doc_id, lang or source is kept as it is,
+null sources being one source; rows that share a doc_id are judged each on its
+own text, but by near_dedup as one document; an empty table gives no rows;
+further columns pass through unchanged, whatever their names, but for those that
+``mixing`` adds, which replace columns of their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,15 +27,25 @@ from quotaflow.llm.mixing import mix_sources
 from quotaflow.llm.quality import quality_bands
 
 
+DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def beside(docs: DataFrame, apply: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``apply``'s rows with the columns of ``docs``; those beyond a document's
+    stand under other names meanwhile, so that none is taken for an operator's."""
+    others = {c: f"_own_{i}" for i, c in enumerate(docs.columns) if c not in DOCUMENT}
+    done = apply(docs.withColumnsRenamed(others))
+    return done.select(*[F.col(others.get(c, c)).alias(c) for c in docs.columns])
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
-    return quality_bands(docs).where("kept").select(*docs.columns)
+    return beside(docs, lambda d: quality_bands(d).where("kept"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that ten documents or more hold go from all; n_chars follows."""
-    cleaned = drop_frequent_lines(docs)
-    return cleaned.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    return beside(docs, lambda d: drop_frequent_lines(d).withColumn("n_chars", F.char_length("text").cast("long")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +59,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return contamination(docs, benchmark).where("not contaminated").select(*docs.columns)
+    return beside(docs, lambda d: contamination(d, benchmark).where("not contaminated"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
