@@ -64,30 +64,36 @@ def locate(url: Column) -> Column:
 
 
 # ------------------------------------------------------------------- rates
+def _entries(payloads: DataFrame) -> DataFrame:
+    """(series_id, data, rate_date, valor) of all entries; ``valor`` and
+    ``rate_date`` are null when their text is no number or date."""
+    entries = payloads.select("series_id", F.inline(F.from_json("payload", "array<struct<data:string,valor:string>>")))
+    return entries.select("series_id", "data", F.try_to_date("data", "dd/MM/yyyy").alias("rate_date"),
+                          T.to_number(F.col("valor")).alias("valor"))
+
+
+def _last(entries: DataFrame, last_n: int) -> DataFrame:
+    w = Window.partitionBy("series_id").orderBy(F.col("rate_date").desc())
+    return entries.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= last_n).drop("_rn")
+
+
 def rate_series(payloads: DataFrame, last_n: int | None = None) -> DataFrame:
     """``(series_id, payload)`` rows, each a JSON array of
     ``{data: 'dd/MM/yyyy', valor: text}`` -> ``(series_id, rate_date, valor)``:
     the last ``last_n`` entries by date, then non-numeric values dropped,
-    valor as a percent number (divide by 100 for a fraction)."""
-    entries = payloads.select("series_id", F.inline(F.from_json(
-        "payload", "array<struct<data:string,valor:string>>")))
-    e = entries.select("series_id", F.try_to_date("data", "dd/MM/yyyy").alias("rate_date"),
-                       T.to_number(F.col("valor")).alias("valor"))
+    valor as a percent number (divide by 100 for a fraction). A series with a
+    date that can't be read has failed as a whole: it gives no rows."""
+    bad = F.max(F.col("data").isNotNull() & F.col("rate_date").isNull()).over(Window.partitionBy("series_id"))
+    e = _entries(payloads).withColumn("_bad", bad).where(~F.col("_bad")).drop("_bad", "data")
     if last_n is not None:
-        w = Window.partitionBy("series_id").orderBy(F.col("rate_date").desc())
-        e = e.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= last_n).drop("_rn")
+        e = _last(e, last_n)
     return e.where(F.col("valor").isNotNull() & ~F.isnan("valor") & F.col("rate_date").isNotNull())
 
 
 def last_entries(payloads: DataFrame, last_n: int) -> DataFrame:
     """The last ``last_n`` entries per series, numeric or not (``valor`` is
     null when the text is not a number)."""
-    entries = payloads.select("series_id", F.inline(F.from_json(
-        "payload", "array<struct<data:string,valor:string>>")))
-    e = entries.select("series_id", F.try_to_date("data", "dd/MM/yyyy").alias("rate_date"),
-                       T.to_number(F.col("valor")).alias("valor"))
-    w = Window.partitionBy("series_id").orderBy(F.col("rate_date").desc())
-    return e.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= last_n).drop("_rn")
+    return _last(_entries(payloads).drop("data"), last_n)
 
 
 def named_rates(payload: DataFrame) -> DataFrame:

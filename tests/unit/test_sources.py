@@ -34,6 +34,14 @@ def test_rate_series_last_n_then_numeric(spark):
     assert got == [("2024-01-03", 0.05), ("2024-01-04", 10.0)]
 
 
+def test_a_bad_date_fails_its_series_only(spark):
+    rows = [("CDI", payload([("01/01/2024", "0.04"), ("2024?", "0.05")])), ("CDI", payload([("03/01/2024", "0.06")])),
+            ("IPCA", payload([("01/02/2024", "0.3"), (None, "0.4")]))]
+    df = spark.createDataFrame(rows, "series_id string, payload string")
+    assert [(r.series_id, str(r.rate_date), r.valor) for r in SH.rate_series(df).collect()] == [("IPCA", "2024-02-01", 0.3)]
+    assert SH.last_entries(df, 2).count() == 4
+
+
 def test_named_rate_needs_a_number(spark):
     items = '[{"nome": "SELIC meta", "valor": "10.5"}, {"nome": "Taxa Selic", "valor": 10.25}, {"nome": "SELIC", "valor": 11}]'
     df = spark.createDataFrame([(items,)], "payload string")
