@@ -632,6 +632,24 @@ def q_reference_rate(spark, sf):
     return rounded(_scalars(spark, sf).select("official_rate", "used_rate"))
 
 
+@register("inflation_fallback")
+def q_inflation_fallback(spark, sf):
+    """A6 over a series with an entry that is no number: the default."""
+    return rounded(K2.compounded_rate(SH.last_entries(_payloads(spark, sf, S.CDI_SERIES), K2.INFLATION_WINDOW)))
+
+
+@register("reference_rate_chain")
+def q_reference_rate_chain(spark, sf):
+    """A7's branches: the named list, the series, the default, a user's rate."""
+    named = SH.named_rate(SH.named_rates(stored_input(spark, sf, "named_rate_payload")))
+    series = SH.last_entries(_payloads(spark, sf, "SELIC"), 1)
+    none = SH.last_entries(_payloads(spark, sf, "none"), 1)
+    cases = {"named": K2.reference_rate(named, series), "series": K2.reference_rate(None, series),
+             "default": K2.reference_rate(None, none), "user": K2.reference_rate(named, series, override=0.13)}
+    rows = [df.select(F.lit(name).alias("branch"), "official_rate", "used_rate") for name, df in cases.items()]
+    return rounded(rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3]))
+
+
 def _kpis(spark, sf):
     return K2.portfolio_kpis(positions(spark, sf), _scalars(spark, sf), DEFAULT_RUN.income_goal)
 

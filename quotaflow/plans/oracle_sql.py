@@ -858,3 +858,16 @@ SELECT portfolio_id, ticker, asset_type, round(pr, 4) AS price, round(co, 4) AS
        round(CASE WHEN book_value > 0 THEN pr / book_value ELSE 0.0 END, 6) AS price_to_book,
        round(CASE WHEN inv > 0 THEN mv / inv - 1 ELSE 0.0 END, 6) AS return_pct
 FROM v"""
+
+
+ORACLE["inflation_fallback"] = "WITH" + ENTRIES + """
+SELECT round(CASE WHEN count(*) = count(valor) THEN product(1 + valor / 100) - 1 ELSE 0.045 END, 6) AS inflation
+FROM (SELECT valor FROM ent WHERE series_id = 'CDI' ORDER BY d DESC LIMIT 12)"""
+
+ORACLE["reference_rate_chain"] = "WITH" + ENTRIES + """,
+r AS (SELECT official_rate AS named, (SELECT max_by(valor, d) / 100 FROM ent WHERE series_id = 'SELIC') AS series FROM selic)
+SELECT branch, round(official, 6) AS official_rate, round(used, 6) AS used_rate FROM (
+  SELECT 'named' AS branch, named AS official, named AS used FROM r
+  UNION ALL SELECT 'series', series, series FROM r
+  UNION ALL SELECT 'default', 0.12::DOUBLE, 0.12::DOUBLE FROM r
+  UNION ALL SELECT 'user', named, 0.13::DOUBLE FROM r)"""
