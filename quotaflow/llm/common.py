@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
@@ -27,18 +27,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished queries: its cleaner acts
+    only when the driver collects garbage, which a large heap puts off for long."""
+    spark._jvm.System.gc()
+
+
 def discard(*tables: DataFrame) -> None:
-    """Delete tables of ``written`` that nothing reads any more, and let Spark
-    drop the shuffle files of finished queries: its cleaner acts only when the
-    driver collects garbage, which a large heap puts off for long."""
+    """Delete tables of ``written`` that nothing reads any more, and free the
+    shuffle files of finished queries."""
     for df in tables:
         files = df.inputFiles()
         folder = files[0].rsplit("/", 1)[0] if files else ""
         if "/llm-" in folder:
             path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-    if tables:
-        tables[0].sparkSession._jvm.System.gc()
+    free_shuffles(tables[0].sparkSession)
 
 
 def worker_cache(key: tuple, make):

@@ -49,7 +49,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quotaflow.llm.common import discard, written
+from quotaflow.llm.common import discard, free_shuffles, written
 
 BITS = 4096  # bits a block
 SPARE = 4  # a fourth more blocks than differences
@@ -219,6 +219,7 @@ def bucket_pairs(reps: DataFrame) -> DataFrame:
     can split, so no bucket is one task's work."""
     blocks = reps.select(F.col("doc_id").alias("rep"), F.explode("keys").alias("key"))
     shared = written(blocks.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+    free_shuffles(reps.sparkSession)  # of the counts
     met = F.sum("n").over(Window.partitionBy("rep"))  # a document's own blocks
     ranked = written(blocks.join(shared, "key").select("key", "rep", "n", met.alias("met")), "ranked")
     discard(shared)
