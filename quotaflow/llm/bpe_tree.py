@@ -57,7 +57,7 @@ LIKE = {"a": re.compile(r"[^\W\d_]"), "0": re.compile(r"\d"), "\t": re.compile(r
 MARGIN = 3  # characters of the longest fixed alternative of the pattern
 LEAF = 2048  # characters encoded in one go
 SPREAD = 65_536  # characters encoded in one task
-MEMO = 300_000  # pieces in each of the two generations that a worker remembers
+MEMO = 150_000  # pieces in each of the two generations that a worker remembers
 
 ROWS = 256  # texts in each batch that a worker returns
 
