@@ -5,6 +5,12 @@ sheet in name order; names that end in .gz are compressed. A record is one line;
 and may be quoted with doubled inner quotes. Rows may be ragged; a sheet is as
 wide as its widest row and shorter rows end in empty cells.
 
+Many small sheets come packed instead: ``root/packed=1/<files>.txt``, plain text
+whose records begin with the sheet's portfolio id and a comma. A sheet's records
+stand together in a file and go on in the next file by name, so the number of
+files follows the bytes, not the sheets. Records without an id belong to no
+sheet; compressed files are not read there.
+
 Sheets are read by byte ranges, so a sheet that holds a third of all rows is
 read by many tasks. A row's number comes from where it was read: the ranges of
 a sheet stand in the order (file, start of range), a range's first row follows
@@ -65,11 +71,16 @@ def read_sheets(spark: SparkSession, root: str) -> DataFrame:
     lines are written once to the shared folder, so that ranges and rows are
     those of one reading."""
     lines = spark.read.option("ignoreCorruptFiles", True).text(root)
-    if "portfolio_id" not in lines.columns:  # no file at all
+    portfolio, record = F.col("portfolio_id").cast("long"), F.col("value")
+    if "packed" in lines.columns:
+        lines = spark.read.option("pathGlobFilter", "*.txt").text(root)
+        head = F.substring_index("value", ",", 1)
+        portfolio, record = head.try_cast("long"), F.substring(F.col("value"), F.length(head) + 2, F.length("value"))
+    elif "portfolio_id" not in lines.columns:  # no file at all
         return spark.createDataFrame([], _ROWS)
     read = stage(lines.select(
-        F.col("portfolio_id").cast("long").alias("portfolio_id"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("seq"), csv_cells(F.col("value")).alias("cells")), "sheet-rows")
+        portfolio.alias("portfolio_id"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("seq"), csv_cells(record).alias("cells")), "sheet-rows")
     key = ["portfolio_id", "file", "block"]
     ranges = read.groupBy(*key).agg(F.min("seq").alias("first"), F.count(F.lit(1)).alias("n"), F.max(F.size("cells")).alias("widest"))
     sheet = Window.partitionBy("portfolio_id")
