@@ -42,7 +42,7 @@ from quotaflow.session import stage
 USABLE, MISSING, EMPTY, NARROW, UNREADABLE = "ok", "missing", "empty", "narrow", "unreadable"
 MANUAL_COLUMNS = 4  # the manual sheet's columns, whatever their names (fixed value)
 _ROWS = "portfolio_id long, row_idx long, width int, cells array<string>"
-_CELL = r',("(?:[^"]|"")*"|[^,]*)'
+_CELL = r',("[^"]*(?:""[^"]*)*"|[^,]*)'
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -60,7 +60,7 @@ def csv_line(cells: Column) -> Column:
     """One CSV record of an array of cells; null cells are empty."""
     def quoted(c: Column) -> Column:
         c = F.coalesce(c, F.lit(""))
-        return F.when(c.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+        return F.when(c == "", c).when(c.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
 
     return F.array_join(F.transform(cells, quoted), ",")
 
@@ -80,14 +80,19 @@ def read_sheets(spark: SparkSession, root: str) -> DataFrame:
         return spark.createDataFrame([], _ROWS)
     read = stage(lines.select(
         portfolio.alias("portfolio_id"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("seq"), csv_cells(record).alias("cells")), "sheet-rows")
-    key = ["portfolio_id", "file", "block"]
-    ranges = read.groupBy(*key).agg(F.min("seq").alias("first"), F.count(F.lit(1)).alias("n"), F.max(F.size("cells")).alias("widest"))
+        F.monotonically_increasing_id().alias("seq"), csv_cells(record).alias("cells")).withColumn(
+            "task", F.shiftright("seq", 33)), "sheet-rows")
+    # A task reads a file's range at one go, so the ranges' numbers of reading do not
+    # overlap: rows meet their range by these, without the file's name.
+    key = ["portfolio_id", "task", "block"]
+    ranges = read.groupBy(*key, "file").agg(F.min("seq").alias("first"), F.max("seq").alias("last"), F.count(F.lit(1)).alias("n"),
+                                            F.max(F.size("cells")).alias("widest"))
     sheet = Window.partitionBy("portfolio_id")
     before = sheet.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.select(*key, "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"),
+    ranges = ranges.select(*key, "first", "last", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"),
                            F.max("widest").over(sheet).alias("width"))
-    rows = read.join(ranges, key).withColumn("row_idx", F.col("start") + F.col("seq") - F.col("first"))
+    rows = read.drop("file").join(ranges, key).where(F.col("seq").between(F.col("first"), F.col("last")))
+    rows = rows.withColumn("row_idx", F.col("start") + F.col("seq") - F.col("first"))
     mark = F.transform("cells", lambda c, i: F.when(i == 0, F.regexp_replace(c, "^﻿", "")).otherwise(c))
     return rows.select("portfolio_id", "row_idx", "width", F.when(F.col("row_idx") == 0, mark).otherwise(F.col("cells")).alias("cells"))
 
@@ -117,7 +122,7 @@ def unreadable_sources(spark: SparkSession, root: str) -> DataFrame:
     """(portfolio_id) of the sheets with a file that is no whole gzip stream."""
     packed = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(root)
     if "portfolio_id" not in packed.columns:  # no such file
-        return spark.createDataFrame([], "portfolio_id long")
+        return spark.range(0).withColumnRenamed("id", "portfolio_id")
     bad = packed.select("path", "content").mapInArrow(_cut_short, "path string")
     return bad.select(F.regexp_extract("path", r"portfolio_id=(\d+)/", 1).cast("long").alias("portfolio_id")).distinct()
 
@@ -139,8 +144,10 @@ def source_ledger(spark: SparkSession, root: str, rows: DataFrame, min_width: in
 
 
 def usable(rows: DataFrame, ledger: DataFrame) -> DataFrame:
-    """The rows of usable sources only: an unusable one contributes nothing."""
-    return rows.join(ledger.where(F.col("status") != USABLE), "portfolio_id", "left_anti")
+    """The rows of usable sources only: an unusable one contributes nothing. The
+    ids of the unusable ones are written first, so that few of them are broadcast
+    and the rows are not shuffled for them."""
+    return rows.join(stage(ledger.where(F.col("status") != USABLE).select("portfolio_id"), "unusable"), "portfolio_id", "left_anti")
 
 
 def positional(rows: DataFrame, n_columns: int) -> DataFrame:
