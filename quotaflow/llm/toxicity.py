@@ -14,8 +14,8 @@ The fit uses every labelled row, whole texts, in tasks: after a first start on
 one share of the rows, each task trains a copy of the model on its own share and
 the copies are averaged, a table row over the tasks that met it, once a pass.
 Languages are counted and thresholds found over all rows as well; raw scores are
-counted by thousandths for that. Only models and counts of fixed size reach the
-driver. Every text is scored whole; a filter is a sum of table rows, added up
+counted by thousandths for that. Only one model a pass, and counts of fixed size,
+reach the driver. Every text is scored whole; a filter is a sum of table rows, added up
 once a distinct word.
 
 Defined results: raw scores beyond 30 count as 30 in the calibration; null and empty texts score as a text without words; without
@@ -31,11 +31,11 @@ import sys
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotaflow.llm.common import crc_mod, written
+from quotaflow.llm.common import crc_mod, discard, free_shuffles, written
 
 TABLE = 1 << 15  # rows of each hashed table
 STEMS = (4, 5)  # bytes of a word's start
@@ -107,9 +107,14 @@ class TextConvolution:
         h = np.maximum(self.pooled(cells)[0] + self.bias, 0)
         return float(h @ self.out + self.out_bias[0])
 
-    def values(self) -> list[np.ndarray]:
-        """All that training changes, the squared gradients' sums after it."""
-        return [self.tables, *self.filters, self.bias, self.out, self.out_bias, self.seen_tables, *self.seen_filters, self.seen_out]
+    def small(self) -> list[np.ndarray]:
+        """All that training changes but the tables: values, then sums of squared gradients."""
+        return [*self.filters, self.bias, self.out, self.out_bias, *self.seen_filters, self.seen_out]
+
+    def parts(self) -> list[np.ndarray]:
+        """All that training changes: each table with its squared gradients' sums,
+        (2, TABLE, DEPTH), then the rest in one row."""
+        return [*map(np.stack, zip(self.tables, self.seen_tables)), np.concatenate([v.ravel() for v in self.small()])]
 
     def meet(self, texts: list[np.ndarray], labels: np.ndarray, rarity: float) -> None:
         """One pass over some rows; ``rarity`` is the weight of a label 1."""
@@ -118,17 +123,25 @@ class TextConvolution:
         for start in range(0, len(order), BATCH):
             self.step(order[start:start + BATCH], texts, labels, weight)
 
-    def join(self, copies: list[list[np.ndarray]]) -> None:
-        """Take the mean of trained copies; a table's row and its gradients are
-        averaged over the copies that changed it."""
-        n = len(WIDTHS) + 4
-        before = self.seen_tables.astype(np.float32)
-        for k, own in enumerate(self.values()):
-            if k in (0, n):
-                moved = sum((c[n] != before).any(axis=2, keepdims=True).astype(np.float32) for c in copies)
-                own += sum(c[k] - own for c in copies) / np.maximum(moved, 1)
-            else:
-                own += sum(c[k] - own for c in copies) / len(copies)
+    def change(self, part: int, copies: list[np.ndarray]) -> np.ndarray:
+        """How one of the parts moves to the mean of trained copies of it; a table's
+        row and its gradients are averaged over the copies that changed it."""
+        before = self.parts()[part]
+        total = sum(c - before for c in copies)
+        if part == len(self.tables):
+            return total / len(copies)
+        own = before[1].astype(np.float32)
+        moved = sum((c[1] != own).any(axis=1, keepdims=True).astype(np.float32) for c in copies)
+        return total / np.maximum(moved, 1)
+
+    def move(self, part: int, change: np.ndarray) -> None:
+        if part < len(self.tables):
+            self.tables[part] += change[0]
+            self.seen_tables[part] += change[1]
+            return
+        small = self.small()
+        for v, c in zip(small, np.split(change, np.cumsum([v.size for v in small])[:-1])):
+            v += c.reshape(v.shape)
 
     def step(self, rows, texts, labels, weight) -> None:
         grad_f = [np.zeros_like(f) for f in self.filters]
@@ -279,7 +292,11 @@ def fit_toxicity(labelled: DataFrame) -> TextConvolution | None:
     # Dealt once by hash, in an order that any cluster repeats.
     dealt = written(made.repartition(tasks, "deal").sortWithinPartitions("deal", "doc_id"), "dealt")
     shares = dealt.coalesce(tasks)
-    model, context = TextConvolution(), made.sparkSession.sparkContext
+    names = sorted(r.lang for r in made.where("lang is not null").select("lang").distinct().collect()) or ["und"]
+    discard(made)
+    spark = dealt.sparkSession
+    model, context = TextConvolution(), spark.sparkContext
+    shapes = [p.shape for p in model.parts()]
     rarity = float(np.sqrt((n_train - hits) / max(1, hits)))
 
     def one_pass(rows: DataFrame, number: int) -> None:
@@ -292,23 +309,34 @@ def fit_toxicity(labelled: DataFrame) -> TextConvolution | None:
                 texts, labels = _rows_of(b)
                 own.meet(texts, labels, rarity)
                 met += len(texts)
-            return [v.astype(np.float32) for v in own.values()] if met else None
-
-        copies = _by_task(rows, work)
-        if copies:
-            model.join(copies)
+            if met:
+                made = [p.astype(np.float32).tobytes() for p in own.parts()]
+                copy = TaskContext.get().partitionId()
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(made)), pa.int32()), pa.array([copy] * len(made), pa.int32()),
+                                                  pa.array(made, pa.binary())], ["part", "copy", "made"])
+
+        def mean(copies):
+            copies, learnt = copies.sort_by("copy"), pickle.loads(shared.value)
+            part = copies.column("part")[0].as_py()
+            arrays = [np.frombuffer(c.as_buffer(), np.float32).reshape(shapes[part]) for c in copies.column("made")]
+            return pa.table({"part": pa.array([part], pa.int32()), "made": pa.array([learnt.change(part, arrays).tobytes()], pa.binary())})
+
+        # Copies are averaged in tasks, a part of the model in each: the driver gets one model, not every copy.
+        copies = rows.mapInArrow(work, "part int, copy int, made binary")
+        for part, made in copies.groupBy("part").applyInArrow(mean, "part int, made binary").collect():
+            model.move(part, np.frombuffer(made).reshape(shapes[part]))
         shared.destroy()
+        free_shuffles(spark)
 
     train = shares.where(~aside)
     if tasks > 1:  # a common start, without which copies drift apart
-        start = written(dealt.where(~aside & (F.pmod(F.floor(F.col("deal") / 4), F.lit(max(1, n_train // SHARE))) == 0)), "start").coalesce(1)
+        start = written(dealt.where(~aside & (F.pmod(F.floor(F.col("deal") / 4), F.lit(max(1, n_train // SHARE))) == 0)), "start")
         for i in range(EPOCHS // 2):
-            one_pass(start, 1000 + i)
+            one_pass(start.coalesce(1), 1000 + i)
+        discard(start)
     for i in range(min(EPOCHS, max(LEAST_EPOCHS, -(-ENOUGH // max(1, n_train))))):
         one_pass(train, i)
 
-    names = sorted(r.lang for r in made.where("lang is not null").select("lang").distinct().collect()) or ["und"]
-
     def speech(batches):
         counts = np.zeros((TABLE, len(names)), np.float32)
         for b in batches:
@@ -331,6 +359,7 @@ def fit_toxicity(labelled: DataFrame) -> TextConvolution | None:
 
     found = dealt.where(aside).select("cells", "toxic").mapInArrow(raw, "lang int, raw int, toxic long").groupBy("lang", "raw").agg(
         F.sum("toxic").alias("hits"), F.count(F.lit(1)).alias("n")).collect()
+    discard(dealt)
     model.calibrate(np.array([tuple(r) for r in found], np.float64).reshape(-1, 4))
     return model
 
