@@ -184,11 +184,15 @@ def verified(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> Da
                        F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
     members = pairs.join(load, "hub").select(
         "hub", "doc", F.lit(False).alias("is_hub"), F.pmod(F.xxhash64("doc"), F.col("copies")).cast("int").alias("copy"))
-    sent = texts.join(hubs.unionByName(members), F.col("doc_id") == F.col("doc")).select("hub", "copy", "doc", "is_hub", "text")
+    # Written, its size is known: while it is small the texts are not shuffled to meet it.
+    wanted = written(hubs.unionByName(members), "wanted")
+    sent = texts.join(wanted, F.col("doc_id") == F.col("doc")).select("hub", "copy", "doc", "is_hub", "text")
     sent = sent.repartition("hub", "copy").sortWithinPartitions("hub", "copy", F.desc("is_hub"), "doc")
-    return sent.select("hub", "doc", "is_hub", "text").mapInPandas(
+    found = written(sent.select("hub", "doc", "is_hub", "text").mapInPandas(
         _verify(width, percent),
-        "hub long, doc long, n long, n_hub long, links boolean, short int, long int, delta array<long>")
+        "hub long, doc long, n long, n_hub long, links boolean, short int, long int, delta array<long>"), "verified")
+    discard(wanted)
+    return found
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -239,22 +243,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     schema = "doc_id long, n_shingles long, sig1 long, sig2 long, keys array<long>"
     sets = written(texts.mapInArrow(_sets(width, percent), schema), "sets")
-    rows, named = sets.select("doc_id", "n_shingles"), texts.where("doc_id is not null")
-    twice = written(sets.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
+    sizes = written(sets.drop("keys"), "sizes")
+    rows, named = sizes.select("doc_id", "n_shingles"), texts.where("doc_id is not null")
+    twice = written(rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
     if not twice.isEmpty():  # the greatest text stands for the document
         one = named.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
         named = named.join(twice, "doc_id", "left_anti").unionByName(one)
+        discard(sets)
         sets = written(named.mapInArrow(_sets(width, percent), schema), "sets")
-    nodes = sets.where("doc_id is not null and n_shingles > 0")
+        sizes = written(sets.drop("keys"), "sizes")
+    filled = "doc_id is not null and n_shingles > 0"
+    nodes = sizes.where(filled)
     # Equal sets: one class, known by its smallest doc_id.
     sig = ["n_shingles", "sig1", "sig2"]
     classes = written(nodes.groupBy(*sig).agg(F.min("doc_id").alias("rep")), "classes")
-    reps = nodes.join(classes.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi")
+    reps = sets.where(filled).join(classes.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi")
     pairs = bucket_pairs(reps)
-    wanted = written(pairs.select("doc").union(pairs.select("hub")).distinct(), "wanted")
-    some = written(named.join(wanted, F.col("doc_id") == F.col("doc"), "left_semi"), "texts")
-    first = written(verified(some, pairs, width, percent), "verified")
-    discard(pairs, wanted, some)
+    discard(sets)  # the blocks, the greater part of all that is written
+    first = verified(named, pairs, width, percent)
+    discard(pairs)
     links = first.where("links").select(F.col("hub").alias("a"), F.col("doc").alias("b"))
     links, every = written(links, "links"), first
     first = rarest_first(every)
