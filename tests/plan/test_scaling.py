@@ -89,3 +89,35 @@ def test_sheet_rows_meet_their_range_by_numbers(spark):
     outer = kept._jdf.queryExecution().executedPlan().toString()
     assert any("BroadcastHashJoin" in line and "LeftAnti" in line for line in outer.splitlines())
     assert kept.select("portfolio_id").distinct().count() == len([p for p in range(50) if p % 13 != 4 and p % 11 != 3])
+
+
+def scanned(df):
+    return df._jdf.queryExecution().optimizedPlan().toString(), " ".join(df.inputFiles())
+
+
+def test_single_readers_stage_no_positions(spark, sf_small):
+    qs = E.queries()
+    for name in ["real_income", "agenda", "hierarchy_rollup", "dividend_calendar", "valuation"]:
+        plan, files = scanned(qs[name](spark, sf_small))
+        assert "/positions-" not in files and "fund_sheet" in files, name
+        assert "pf_total_value" not in plan, name  # weights that nobody reads
+
+
+def test_staged_positions_hold_what_is_read(spark, sf_small):
+    qs = E.queries()
+    for name, unread in {"opportunities": {"ex_date_text", "quantity", "profit"}, "risk_classify": {"link", "ex_date_text", "invested"},
+                         "inventory": {"ex_date_text", "book_value"}, "private_sections": {"monthly_income", "return_pct"}}.items():
+        files = [f for f in qs[name](spark, sf_small).inputFiles() if "/positions-" in f]
+        assert files and not unread & set(spark.read.parquet(files[0]).columns), name
+
+
+def test_snapshot_and_agenda_leave_no_row_checkpoint(spark, sf_small):
+    for name in ["agenda_month", "agenda_metrics"]:
+        plan, files = scanned(E.queries()[name](spark, sf_small))
+        assert "/agenda-" in files and "ExistingRDD" not in plan and "LogicalRDD" not in plan, name
+
+
+def test_brick_sectors_with_blanks_at_the_ends(spark):
+    rows = [("  Log\u00edstica\u00a0", True), ("\u2003h\u00edbrido", True), ("Pap\u00e9is / CRI", False), ("", False), (None, False), ("  ", False)]
+    df = spark.createDataFrame(rows, "s string, want boolean").select("want", T.is_brick(F.col("s")).alias("got"))
+    assert all(r.want == r.got for r in df.collect())
