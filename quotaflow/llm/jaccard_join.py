@@ -20,6 +20,13 @@ bucket; its hub is the member met most in all buckets (ties: the least id).
 Every member is verified against the hub only, on whole texts, so a bucket of
 n members costs n verifications, not n squared.
 
+Before that, members without a partner go: a short sketch of a set (parities of
+its shingles, one or two bits a shingle) differs from a linked set's by d bits at
+most. The sketches of all members of a hub are compared in one task, and each
+component of those that may link is verified against a hub of its own. Passages
+that many texts hold thus bring together no texts that differ otherwise. A hub
+with more than GROUP members keeps them all.
+
 Pairs of members that don't both link with the hub are found from their
 differences to the hub, D(x) = set of x and hub's, in one or the other:
 |D(x) & D(y)| >= (|D(x)| + |D(y)| - d) / 2 for a linked pair. That is an overlap
@@ -57,6 +64,8 @@ HOT = 200  # members of a bucket whose hub is found by an aggregate and a join
 WORDS = 200_000  # words whose hashes a worker remembers
 ROWS = 512  # texts in each batch that a worker returns
 CELL_BITS = 16  # cells in which elements of differences are counted
+SKETCH = 8192  # greatest number of bits in a set's short sketch
+GROUP = 4096  # members of a hub whose sketches are all compared
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -120,22 +129,115 @@ def block_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(keys)
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """Parities of a set's shingles: the least power of two of bits above their
+    number (64 to SKETCH), in words of 64."""
+    bits = min(SKETCH, max(64, 1 << len(hashes).bit_length()))
+    at = (hashes >> U(16)) & U(bits - 1)
+    odd = np.bincount(at.astype(np.int64), minlength=bits).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view(U)
+
+
+def may_link(sizes: np.ndarray, sketches: list[np.ndarray], percent: int) -> np.ndarray:
+    """Matrix: whether two sets may link, as far as their sizes and sketches tell.
+    A sketch of more words is folded to the width of the other."""
+    widths = np.array([len(x) for x in sketches])
+    found = np.zeros((len(sizes), len(sizes)), bool)
+    for w in np.unique(widths):
+        rows = np.flatnonzero(widths == w)
+        own = np.stack([sketches[i] for i in rows])
+        for v in np.unique(widths[widths >= w]):
+            cols = np.flatnonzero(widths == v)
+            folded = np.bitwise_xor.reduce(np.stack([sketches[i] for i in cols]).reshape(len(cols), v // w, w), axis=1)
+            step = max(1, (1 << 20) // (len(cols) * int(w)))
+            for at in range(0, len(rows), step):
+                part = rows[at:at + step]
+                apart = np.bitwise_count(own[at:at + step, None] ^ folded[None]).sum(axis=2, dtype=np.int64)
+                a, b = sizes[part, None], sizes[None, cols]
+                near = np.maximum(apart, abs(a - b)) <= (a + b) * (100 - percent) // (100 + percent)
+                found[np.ix_(part, cols)] = near
+                found[np.ix_(cols, part)] = near.T
+    return found
+
+
+def _partners(percent: int):
+    """Rows (hub, doc, n, sketch) in order of hub, the hub's own among them: one
+    row (hub, doc) for each member but the hub of a component of those that may
+    link. The group's hub is that of its own component, elsewhere the member
+    with the most partners (ties: the least id)."""
+
+    def split(group: pa.Table):
+        hub, docs = group["hub"][0].as_py(), group["doc"].to_numpy()
+        near = may_link(group["n"].to_numpy(), [np.frombuffer(x, U) for x in group["sketch"].to_pylist()], percent)
+        np.fill_diagonal(near, False)
+        met = near.sum(axis=1)
+        left = met > 0
+        for first in np.lexsort((docs, -met, docs != hub)):
+            if not left[first]:
+                continue
+            member, edge = np.zeros(len(docs), bool), np.array([first])
+            member[first] = True
+            while len(edge):
+                edge = np.flatnonzero(near[edge].any(axis=0) & ~member)
+                member[edge] = True
+            left &= ~member
+            member[first] = False
+            yield docs[first], docs[member]
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            rest = table if rest is None else pa.concat_tables([rest, table])
+            ends = np.flatnonzero(np.diff(rest["hub"].to_numpy())) + 1
+            if len(ends):
+                yield from answer(rest, [0, *ends])
+                rest = rest.slice(ends[-1])
+        if rest is not None and rest.num_rows:
+            yield from answer(rest, [0, rest.num_rows])
+
+    def answer(table, ends):
+        found = [x for at, end in zip(ends, ends[1:]) for x in split(table.slice(at, end - at))]
+        if found:
+            hubs = np.repeat([hub for hub, _ in found], [len(docs) for _, docs in found])
+            yield pa.RecordBatch.from_arrays([pa.array(hubs), pa.array(np.concatenate([docs for _, docs in found]))], ["hub", "doc"])
+
+    return run
+
+
+def partners(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of the (hub, doc) pairs those that are to be verified, by the sketches in
+    ``sets`` (doc_id, n_shingles, sketch)."""
+    sizes = written(pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("members")), "groups")
+    pairs = pairs.join(sizes, "hub")
+    small, hubs = pairs.where(F.col("members") < GROUP), sizes.where(F.col("members") < GROUP)
+    rows = small.select("hub", "doc").unionByName(hubs.select("hub", F.col("hub").alias("doc")))
+    rows = rows.join(sets, F.col("doc") == F.col("doc_id")).select("hub", "doc", F.col("n_shingles").alias("n"), "sketch")
+    found = rows.repartition("hub").sortWithinPartitions("hub", "doc").mapInArrow(_partners(percent), "hub long, doc long")
+    large = pairs.where(F.col("members") >= GROUP).select("hub", "doc")
+    done = written(found.unionByName(large).distinct(), "partners")
+    discard(sizes)
+    return done
+
+
 def _sets(width: int, percent: int):
     def run(batches):
         shingler = Shingler(width)
         for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
-            sizes, sums, xors, keys = [], [], [], []
+            sizes, sums, xors, short, keys = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 h = shingler.shingles(text)
                 sizes.append(len(h))
                 sums.append(int(h.sum(dtype=U).view(np.int64)))
                 xors.append(int(np.bitwise_xor.reduce(mix(h)).view(np.int64)))
+                short.append(sketch(h).tobytes())
                 keys.append(np.unique(block_keys(h, percent)).view(np.int64))
             lengths = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             listed = pa.ListArray.from_arrays(lengths, np.concatenate([*keys, np.zeros(0, np.int64)]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), pa.array(xors, pa.int64()), listed],
-                ["doc_id", "n_shingles", "sig1", "sig2", "keys"])
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), pa.array(xors, pa.int64()),
+                 pa.array(short, pa.binary()), listed],
+                ["doc_id", "n_shingles", "sig1", "sig2", "sketch", "keys"])
 
     return run
 
@@ -241,7 +343,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """(doc_id, n_shingles, component_id), one row for each of ``docs``
     (doc_id, text)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    schema = "doc_id long, n_shingles long, sig1 long, sig2 long, keys array<long>"
+    schema = "doc_id long, n_shingles long, sig1 long, sig2 long, sketch binary, keys array<long>"
     sets = written(texts.mapInArrow(_sets(width, percent), schema), "sets")
     sizes = written(sets.drop("keys"), "sizes")
     rows, named = sizes.select("doc_id", "n_shingles"), texts.where("doc_id is not null")
@@ -258,8 +360,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     sig = ["n_shingles", "sig1", "sig2"]
     classes = written(nodes.groupBy(*sig).agg(F.min("doc_id").alias("rep")), "classes")
     reps = sets.where(filled).join(classes.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi")
-    pairs = bucket_pairs(reps)
-    discard(sets)  # the blocks, the greater part of all that is written
+    # Written, as it is read twice and its exchange is the size of the blocks.
+    reps = written(reps.select("doc_id", "keys"), "reps")
+    discard(sets)
+    met = bucket_pairs(reps)
+    discard(reps)  # the blocks, the greater part of all that is written
+    pairs = partners(met, nodes, percent)
+    discard(met)
     first = verified(named, pairs, width, percent)
     discard(pairs)
     links = first.where("links").select(F.col("hub").alias("a"), F.col("doc").alias("b"))
@@ -327,12 +434,17 @@ def crossed(first: DataFrame, found: DataFrame, nearest: bool, percent: int) ->
     """(hub, x, y) pairs still to compare: members of one hub of which x at
     least doesn't link with it, that are in different components so far and
     whose differences to the hub share an element of their prefixes. If
-    ``nearest``, x meets one member for each element, the one nearest the hub."""
+    ``nearest``, x meets one member for each element, the one nearest the hub.
+
+    Of two members in different components one is outside the hub's, and doesn't
+    link with it: that one is x. (Where no member links, a member's component
+    stands for the hub's.)"""
     d = first.join(found, F.col("doc") == F.col("node"), "left").select(
         "hub", "doc", "n", "links", "short", "long", "delta", F.coalesce("component", "doc").alias("part"))
     every = d.where("short > 0").select(
         "hub", F.size("delta").alias("m"), "doc", "part", "links", "n", F.posexplode(F.slice("delta", F.lit(1), F.col("short"))).alias("j", "element"))
-    far = d.where("not links").select(
+    main = d.groupBy("hub").agg(F.coalesce(F.min(F.when(F.col("links"), F.col("part"))), F.min("part")).alias("main"))
+    far = d.where("not links").join(main, "hub").where(F.col("part") != F.col("main")).select(
         "hub", F.col("doc").alias("x"), F.col("part").alias("x_part"), F.col("n").alias("x_n"), F.size("delta").alias("x_m"), "short",
         F.posexplode(F.slice("delta", F.lit(1), F.col("long"))).alias("i", "element"))
     if nearest:
